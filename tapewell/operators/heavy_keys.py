@@ -60,9 +60,10 @@ def key_percentiles(counts: DataFrame, shares: Sequence[float] = (0.5,)) -> Data
     wanted = wanted.select("key", "part", "before", F.explode(targets).alias("t"), "n").where((F.col("t.rank") > F.col("before")) & (F.col("t.rank") <= F.col("before") + F.col("n")))
     wanted = wanted.groupBy("key", "part").agg(F.first("before").alias("before"), F.collect_list("t").alias("targets"))  # at most one entry per share
     running = F.sum("n").over(Window.partitionBy("key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = wanted.select(F.col("key").alias("k"), F.col("part").alias("p"), "before", "targets")
     hits = (
-        placed.join(wanted, (placed["key"].eqNullSafe(wanted["key"])) & (placed["part"] == wanted["part"]))
-        .select(placed["key"], placed["part"], "value", "n", "before", "targets")
+        placed.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
+        .select("key", "part", "value", "n", "before", "targets")
         .withColumn("upto", F.col("before") + running)
         .select("key", "value", F.explode(F.filter("targets", lambda t: (t["rank"] > F.col("upto") - F.col("n")) & (t["rank"] <= F.col("upto")))).alias("t"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewell.operators import heavy_keys as heavy
-from tapewell.operators import rolling
+from tapewell.operators import rolling, spikes
 from tapewell.operators.records import clean_tickers, latest_records, once
 from tapewell.session import table
 
@@ -27,6 +27,17 @@ def p4_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    faults = spikes.faulty_bars(table(spark, folder, "stock_returns"), "ticker", "date")
+    return faults.select("ticker", F.date_format("date", "yyyy-MM-dd").alias("date")).distinct()
+
+
+def p6_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Every faulty bar with the kind of fault, the field that deviates most and by how many scales."""
+    faults = spikes.faulty_bars(table(spark, folder, "stock_returns"), "ticker", "date")
+    return faults.withColumn("deviation", F.round("deviation", 3))
+
+
 def _mentions(spark: SparkSession, folder: str) -> DataFrame:
     return latest_records(table(spark, folder, "mention"), "id", "ingested_at", ["tickers", "score"])
 
@@ -83,6 +94,8 @@ roll AS (SELECT ticker, date,
 QUERIES = {
     "p4_found": p4_found,
     "p4_totals": p4_totals,
+    "p6_found": p6_found,
+    "p6_flags": p6_flags,
     "p7_found": p7_found,
     "p7_mention_stats": p7_mention_stats,
     "p7_panel_stats": p7_panel_stats,
