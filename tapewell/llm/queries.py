@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewell.llm import contributors, cooccurrence, packing, tokens
+from tapewell.llm import contributors, cooccurrence, packing, subjects, tokens
 from tapewell.operators.records import clean_tickers, latest_records
 from tapewell.session import table
 
@@ -95,6 +95,21 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(*_packed(spark, folder))
 
 
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects per document with the number of sentences about them and their score."""
+    found = subjects.document_subjects(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "subject_label"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_scores(spark, folder).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Composition of the corpus: documents per subject and their share of all documents."""
+    return subjects.corpus_shares(p10_found(spark, folder), table(spark, folder, "documents"))
+
+
 _RECORD = "rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM mention WHERE id IS NOT NULL) WHERE rn = 1)"
 _PAIRS = f"""{_RECORD},
 tick AS (SELECT DISTINCT id, upper(trim(t)) AS ticker FROM (SELECT id, unnest(tickers) AS t FROM rec) WHERE t IS NOT NULL),
@@ -111,6 +126,9 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_shares": p10_shares,
 }
 
 SQL = {
