@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewell.llm import contributors, cooccurrence, packing, subjects, tokens
+from tapewell.llm import contributors, cooccurrence, packing, subjects, tokens, toxicity
 from tapewell.operators.records import clean_tickers, latest_records
 from tapewell.session import table
 
@@ -26,6 +26,24 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("ticker_a"), F.col("item_b").alias("ticker_b"), "n_ab", F.round("lift", 9).alias("lift"), F.round("conviction", 9).alias("conviction"))
 
 
+def _toxicity(spark: SparkSession, folder: str, keep=(), spans: bool = False) -> DataFrame:
+    return toxicity.scored_records(table(spark, folder, "mention"), table(spark, folder, "toxic_label"), keep, spans)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _toxicity(spark, folder).where("flagged").select("id")
+
+
+def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every record, and where flagged texts offend."""
+    return _toxicity(spark, folder, ("subreddit",), spans=True).select("id", "subreddit", F.round("score", 4).alias("score"), "flagged", "spans")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Records, flagged records and their rate per subreddit."""
+    return toxicity.rates(_toxicity(spark, folder, ("subreddit",)), "subreddit").withColumn("rate", F.round("rate", 9))
+
+
 def _authored(spark: SparkSession, folder: str) -> DataFrame:
     records = latest_records(table(spark, folder, "mention"), "id", "ingested_at", ["author", "score", "created_utc"])
     return records.withColumn("who", contributors.contributor_key("author"))
@@ -121,6 +139,9 @@ pair AS (SELECT ticker_a, ticker_b, n_ab, x.n AS n_a, y.n AS n_b, num.n AS n, CA
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
+    "p2_found": p2_found,
+    "p2_scores": p2_scores,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_reservoir": p3_reservoir,
     "p8_ids": p8_ids,
