@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewell.llm import contributors, cooccurrence, packing, subjects, tokens, toxicity
+from tapewell.llm import contributors, cooccurrence, packing, pii, subjects, tokens, toxicity
 from tapewell.operators.records import clean_tickers, latest_records
 from tapewell.session import table
 
@@ -83,6 +83,15 @@ def p3_reservoir(spark: SparkSession, folder: str) -> DataFrame:
     return marked.where("kept").select("id", "author", "score")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found_kinds(table(spark, folder, "mention"))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record's text and title with placeholders for personal information."""
+    return pii.redacted_records(table(spark, folder, "mention"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_table(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -144,6 +153,8 @@ QUERIES = {
     "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_reservoir": p3_reservoir,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,

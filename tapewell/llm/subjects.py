@@ -42,7 +42,7 @@ def clean(text: str) -> str:
             text = text.encode("cp1252").decode("utf-8")
         except UnicodeError:
             text = re.sub("[Â-ß][\u0080-¿]", lambda m: m[0].encode("latin-1").decode("utf-8"), text)
-    return unicodedata.normalize("NFKC", text).casefold().replace("​", "").replace("﻿", "")
+    return unicodedata.normalize("NFKC", text).casefold().replace("\u200b", "").replace("\ufeff", "")
 
 
 def sentences(text: str | None) -> list[str]:

@@ -29,7 +29,7 @@ _OFFENSIVE = ("insult_noun", "insult_adj", "shut", "threat", "harm", "threat_phr
 _DISGUISED = (*_OFFENSIVE, "you", "group", "sex_weak", "fword")
 
 # Invisible characters, look-alike letters and digits or signs written for letters.
-_INVISIBLE = "​‌‍⁠﻿­"
+_INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _LOOKALIKES = str.maketrans("асеоріхукмтнвѕјԁһԛԝαοερικνυτ", "aceopixykmthbsjdhqwaoepikvut")
 _LEET = str.maketrans("0134578@$+!|", "oieastbastil")
 _LEET_L = str.maketrans("0134578@$+!|", "oleastbastil")
@@ -37,7 +37,7 @@ _LEET_L = str.maketrans("0134578@$+!|", "oleastbastil")
 #: Ordinary words that a swap of neighbours turns into a listed one.
 _NOT_SWAPPED = frozenset({"arts", "form", "trial", "trail", "angel", "diary", "dairy", "causal", "silver"})
 
-_RECORD = ""
+_RECORD = "\ue000"
 _LETTER = r"[^\W\d_]"
 _SPACED = "|".join(rf"{_LETTER}(?:{sep}{_LETTER}){{2,}}{end}" for sep, end in ((" ", ""), (r"\.", r"(?:\.(?=\s\.))?"), ("_", ""), ("-", "")))
 _TOKEN = re.compile(rf"{_RECORD}|(?<![^\W_])(?:{_SPACED})(?![^\W_])|[^\s.,;:!?\"“”„«»()\[\]<>{{}}…¿¡|/{_RECORD}]+|[.!?…]+(?=\s|$)|\n")
@@ -386,16 +386,16 @@ def train(labels: Sequence[tuple[str | None, int | None]]) -> Tagger:
     marks = []
     texts = []
     for line in lines:
-        texts.append(line.replace("[[", "  ").replace("]]", "  "))
+        texts.append(line.replace("[[", " \ue001 ").replace("]]", " \ue002 "))
     extra = [reader.tokens([t])[:-1] for t in texts]
     base = int(sentence.max()) + 1 if len(sentence) else 0
     flat: list[int] = []
     for tokens in extra:
         inside = False
         for token in tokens:
-            if token == "":
+            if token == "\ue001":
                 inside = True
-            elif token == "":
+            elif token == "\ue002":
                 inside = False
             else:
                 n = reader.number(token)
