@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair that occurs, with its count, lift and conviction."""
     pairs = cooccurrence.pair_counts(_baskets(spark, folder))
-    return pairs.select(F.col("item_a").alias("ticker_a"), F.col("item_b").alias("ticker_b"), "n_ab", F.round("lift", 9).alias("lift"), F.round("conviction", 9).alias("conviction"))
+    return pairs.select(F.col("item_a").alias("ticker_a"), F.col("item_b").alias("ticker_b"), "n_ab", F.round("lift", 12).alias("lift"), F.round("conviction", 12).alias("conviction"))
 
 
 def _toxicity(spark: SparkSession, folder: str, keep=(), spans: bool = False) -> DataFrame:
@@ -165,8 +165,8 @@ QUERIES = {
 
 SQL = {
     "p1_found": f"WITH {_PAIRS} SELECT ticker_a, ticker_b FROM pair WHERE n_ab >= 0.005 * n AND lift >= 3",
-    "p1_pairs": f"""WITH {_PAIRS} SELECT ticker_a, ticker_b, n_ab, round(lift, 9) AS lift,
-        round(CASE WHEN n_ab < n_a THEN (1 - CAST(n_b AS DOUBLE) / n) / (1 - CAST(n_ab AS DOUBLE) / n_a) END, 9) AS conviction FROM pair""",
+    "p1_pairs": f"""WITH {_PAIRS} SELECT ticker_a, ticker_b, n_ab, round(lift, 12) AS lift,
+        round(CASE WHEN n_ab < n_a THEN (1 - CAST(n_b AS DOUBLE) / n) / (1 - CAST(n_ab AS DOUBLE) / n_a) END, 12) AS conviction FROM pair""",
     "p3_found": f"""WITH {_RECORD}, who AS (SELECT id, score, created_utc, lower(trim(author)) AS who FROM rec),
         ranked AS (SELECT id, row_number() OVER (PARTITION BY who ORDER BY score DESC NULLS LAST, created_utc ASC NULLS LAST, id) AS place FROM who
           WHERE who IS NOT NULL AND who <> '[deleted]')
