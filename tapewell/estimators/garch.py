@@ -59,10 +59,11 @@ def variances(eps: np.ndarray, exog: np.ndarray, omega: float, alpha: float, bet
 
 
 def log_likelihood(eps: np.ndarray, sigma2: np.ndarray, nu: float | None = None) -> float:
-    """Gaussian, or Student t with ``nu`` degrees of freedom scaled to unit variance; the first observation doesn't count."""
+    """Gaussian without its constant, or Student t with ``nu`` degrees of freedom scaled to unit variance; the first
+    observation doesn't count."""
     e, s = eps[1:], sigma2[1:]
     if nu is None:
-        return float(-0.5 * np.sum(math.log(2 * math.pi) + np.log(s) + e * e / s))
+        return float(-0.5 * np.sum(np.log(s) + e * e / s))
     c = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
     return float(np.sum(c - 0.5 * np.log(s) - (nu + 1) / 2 * np.log1p(e * e / (s * (nu - 2)))))
 
@@ -78,11 +79,12 @@ class GarchSpec:
     beta: str = "stock"
     delta: str | dict[str, str] = "stock"
     returns: str = "log_return"
-    dist: str = "normal"
+    mu: str = "zero"  # or a scope
+    dist: str = "normal"  # or "t"
     min_obs: int = 250
 
     def scope(self, name: str) -> str:
-        if name in ("omega", "alpha", "beta"):
+        if name in ("mu", "omega", "alpha", "beta"):
             return getattr(self, name)
         if name == "nu":
             return "global"
@@ -90,7 +92,7 @@ class GarchSpec:
 
     @property
     def names(self) -> list[str]:
-        return ["omega", "alpha", "beta", *self.exog, *(["nu"] if self.dist == "t" else [])]
+        return [*(["mu"] if self.mu != "zero" else []), "omega", "alpha", "beta", *self.exog, *(["nu"] if self.dist == "t" else [])]
 
     @property
     def global_names(self) -> list[str]:
@@ -107,8 +109,8 @@ class GarchSpec:
 _BOUNDS = {"omega": (1e-10, 1.0), "alpha": (1e-6, 0.999), "beta": (1e-6, 0.999), "nu": (2.1, 100.0)}
 
 
-def start_values(eps: np.ndarray, exog: int = 0) -> dict[str, float]:
-    return {"omega": 0.05 * float(np.var(eps, ddof=1)), "alpha": 0.05, "beta": 0.90, "nu": 8.0}
+def start_values(eps: np.ndarray) -> dict[str, float]:
+    return {"mu": 0.0, "omega": 0.05 * float(np.var(eps, ddof=1)), "alpha": 0.05, "beta": 0.90, "nu": 8.0}
 
 
 def stock_arrays(panel: DataFrame, spec: GarchSpec) -> DataFrame:
@@ -135,8 +137,9 @@ def evaluate(spec: GarchSpec, y: np.ndarray, x: np.ndarray, p: dict[str, float])
     """Log likelihood of one stock; -inf where the parameters aren't admissible."""
     if p["omega"] <= 0 or p["alpha"] < 0 or p["beta"] < 0 or p["alpha"] + p["beta"] >= 1 or p.get("nu", 8.0) <= 2:
         return -math.inf
-    s = variances(y, x, p["omega"], p["alpha"], p["beta"], np.array([p[c] for c in spec.exog]), float(np.var(y, ddof=1)))
-    return log_likelihood(y, s, p["nu"] if spec.dist == "t" else None)
+    e = y - p.get("mu", 0.0)
+    s = variances(e, x, p["omega"], p["alpha"], p["beta"], np.array([p[c] for c in spec.exog]), float(np.var(y, ddof=1)))
+    return log_likelihood(e, s, p["nu"] if spec.dist == "t" else None)
 
 
 def _climb(f, start: np.ndarray, steps: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, float]:
@@ -239,6 +242,10 @@ class PanelGarchResult:
         return out.rename(columns={c: f"delta_{c}" for c in self.spec.exog})
 
 
+def _table(spark, params: pd.DataFrame, names: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame(params[["ticker", *names]].values.tolist(), "ticker string" + "".join(f", `{n}` double" for n in names))
+
+
 #: Stocks whose parameters come to the driver: one short row each.
 MOST_STOCKS = 1_000_000
 
@@ -279,7 +286,7 @@ def fit_panel(stocks: DataFrame, spec: GarchSpec, rounds: int = 60, tolerance: f
 
     def score(candidates: list[dict[str, float]]) -> np.ndarray:
         """Summed likelihood of each candidate, the stocks' parameters held."""
-        own = spark.createDataFrame(params[["ticker", *spec.stock_names]]) if spec.stock_names else None
+        own = _table(spark, params, spec.stock_names) if spec.stock_names else None
         rows = held if own is None else held.join(own, "ticker")
 
         def run(frames):
@@ -288,8 +295,9 @@ def fit_panel(stocks: DataFrame, spec: GarchSpec, rounds: int = 60, tolerance: f
                 for row in frame.itertuples(index=False):
                     y, x = _arrays(row, width)
                     mine = {n: getattr(row, n) for n in spec.stock_names}
+                    first = {**start_values(y), **mine}
                     for i, c in enumerate(candidates):
-                        total[i] += max(evaluate(spec, y, x, {**start_values(y), **mine, **c}), -1e12)
+                        total[i] += max(evaluate(spec, y, x, {**first, **c}), -1e12)
             yield pd.DataFrame({"i": np.arange(len(candidates)), "v": total})
 
         got = rows.mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
@@ -338,7 +346,7 @@ def stock_errors(stocks: DataFrame, result: PanelGarchResult) -> DataFrame:
     """(ticker, parameter, estimate, se) by each stock's own Hessian, the global parameters held."""
     spec, width = result.spec, len(result.spec.exog)
     shared = result.global_params
-    own = stocks.sparkSession.createDataFrame(result.stock_params[["ticker", *spec.stock_names]])
+    own = _table(stocks.sparkSession, result.stock_params, spec.stock_names)
 
     def run(frames):
         for frame in frames:
@@ -367,14 +375,14 @@ def stock_errors(stocks: DataFrame, result: PanelGarchResult) -> DataFrame:
 def conditional_variances(stocks: DataFrame, result: PanelGarchResult) -> DataFrame:
     """(ticker, t, sigma2) of the fitted model."""
     spec, width, shared = result.spec, len(result.spec.exog), result.global_params
-    own = stocks.sparkSession.createDataFrame(result.stock_params[["ticker", *spec.stock_names]])
+    own = _table(stocks.sparkSession, result.stock_params, spec.stock_names)
 
     def run(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
                 y, x = _arrays(row, width)
                 p = {**shared, **{n: getattr(row, n) for n in spec.stock_names}}
-                s = variances(y, x, p["omega"], p["alpha"], p["beta"], np.array([p[c] for c in spec.exog]), float(np.var(y, ddof=1)))
+                s = variances(y - p.get("mu", 0.0), x, p["omega"], p["alpha"], p["beta"], np.array([p[c] for c in spec.exog]), float(np.var(y, ddof=1)))
                 yield pd.DataFrame({"ticker": row.ticker, "t": np.arange(len(s)), "sigma2": s})
 
     return stocks.join(own, "ticker").mapInPandas(run, "ticker string, t long, sigma2 double")

@@ -615,10 +615,10 @@ def garch_filter(spark, folder):
     return rounded(out.withColumn("t", F.col("t") + 1), 12)
 
 
-@query(f"{_GARCH_SQL} SELECT ticker, {r('loglik', 'sum(-0.5 * (ln(2 * pi()) + ln(s) + y * y / s))', 6)} FROM f WHERE t > 1 GROUP BY 1")
+@query(f"{_GARCH_SQL} SELECT ticker, {r('loglik', 'sum(-0.5 * (ln(s) + y * y / s))', 6)} FROM f WHERE t > 1 GROUP BY 1")
 def garch_loglik(spark, folder):
     each = _filtered(spark, folder).select("ticker", F.posexplode(F.arrays_zip("y", "sigma2")).alias("t", "z")).where("t > 0")
-    term = -0.5 * (F.log(2 * F.pi()) + F.log("z.sigma2") + F.col("z.y") * F.col("z.y") / F.col("z.sigma2"))
+    term = -0.5 * (F.log("z.sigma2") + F.col("z.y") * F.col("z.y") / F.col("z.sigma2"))
     return rounded(each.groupBy("ticker").agg(F.sum(term).alias("loglik")), 6)
 
 
