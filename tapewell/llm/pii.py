@@ -485,16 +485,18 @@ def train(folder: str = DEFAULT_FOLDER, size: int = TRAINING, seed: int = 5) ->
     finder, maker = Finder(folder), _Maker(seed)
     rows: dict[str, tuple[list, list, list]] = {k: ([], [], []) for k in KINDS}
     samples = [maker.sample() for _ in range(size)]
-    for i, (text, spans) in enumerate(samples):
-        for c in finder.candidates(text):
-            right = any(k == c.kind and abs(a - c.start) <= 1 and abs(b - c.end) <= 2 for a, b, k in spans)
-            if not right and c.kind == "name":
-                # an untitled part of a titled name, or the other way round, is not the span itself
-                right = any(k == "name" and a <= c.start and c.end <= b and (c.end - c.start) >= 0.75 * (b - a) for a, b, k in spans)
-            x, y, half = rows[c.kind]
-            x.append(c.x)
-            y.append(right)
-            half.append(i % 2)
+    starts = np.cumsum([0] + [len(t) + 1 for t, _ in samples])
+    for c in finder.candidates(_RECORD.join(t for t, _ in samples)):
+        i = int(np.searchsorted(starts, c.start, side="right")) - 1
+        start, end, spans = c.start - int(starts[i]), c.end - int(starts[i]), samples[i][1]
+        right = any(k == c.kind and abs(a - start) <= 1 and abs(b - end) <= 2 for a, b, k in spans)
+        if not right and c.kind == "name":
+            # most of a name counts as well: a titled name without its last part, or the other way round
+            right = any(k == "name" and a <= start and end <= b and (end - start) >= 0.75 * (b - a) for a, b, k in spans)
+        x, y, half = rows[c.kind]
+        x.append(c.x)
+        y.append(right)
+        half.append(i % 2)
     for kind, (x, y, half) in rows.items():
         x, y, half = np.array(x), np.array(y, float), np.array(half, bool)
         finder.models[kind] = BoostedTrees().fit(x[~half], y[~half])

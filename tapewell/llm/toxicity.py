@@ -99,7 +99,9 @@ class Reader:
         self.strong = frozenset(strong)
         self.by_length: dict[int, list[str]] = {}
         self.squeezed: dict[str, str] = {}
-        for word in sorted(self.strong):
+        # a mask may fit several words: the more offensive classes come first
+        rank = {name: i for i, name in enumerate(_DISGUISED)}
+        for word in sorted(self.strong, key=lambda w: (rank.get(self.classes[of[self.words[w]]], len(rank)), w)):
             self.by_length.setdefault(len(word), []).append(word)
             self.squeezed.setdefault(re.sub(r"(.)\1+", r"\1", word), word)
         self.is_first = np.zeros(len(of), bool)
@@ -144,6 +146,9 @@ class Reader:
             for word in self.by_length.get(len(t), ()):
                 if pattern.fullmatch(word):
                     return word
+            for part in t.split("*"):  # the mask may stand for the space between two words
+                if part in self.strong:
+                    return part
         if re.search(r"(.)\1\1", bare):
             forms = (re.sub(r"(.)\1{2,}", r"\1", bare), re.sub(r"(.)\1{2,}", r"\1\1", bare))
             for words in (self.strong, self.words):
