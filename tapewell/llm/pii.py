@@ -212,11 +212,22 @@ def _address(text: str, hints: Sequence[int]) -> Iterator[Candidate]:
                     continue
                 seen.add((a, b))
                 upto = max(upto, b)
-                span, place = m[0], m["place"] or ""
-                before, after = _around(text, a, b)
-                words = _WORD.findall(span)
-                x = [float(k), float(bool(place)), float(len(place)), float(any(c.isdigit() for c in span)), float(sum(c.isdigit() for c in span)), float(any(w[0].isupper() for w in words[1:])), float(len(words)), float(bool(re.search(r"\d{5}|[A-Z]{1,2}\d ?\d?[A-Z]{2}", place))), float(bool(re.search(r"(?i)\bapt|\bsuite|[ºª]", span))), float(sum(w.lower() in _SETS["firm"] for w in words))]
-                yield Candidate("address", a, b, x + _cues(before, after))
+                yield _address_candidate(text, m, k, b)
+                short = re.search(r"(?<=[\w'’-]) [A-ZÄÖÜÉÁ][a-zß-ÿ'’-]+$", m["place"] or "")
+                if short:  # the second word of the place may belong to what follows
+                    yield _address_candidate(text, m, k, b - len(short[0]))
+
+
+def _address_candidate(text: str, m: re.Match, k: int, end: int) -> Candidate:
+    span, place = text[m.start() : end], (m["place"] or "")
+    place = place[: len(place) - (m.end() - end)]
+    before, after = _around(text, m.start(), end)
+    words = _WORD.findall(span)
+    x = [
+        float(k), float(bool(place)), float(len(place)), float(any(c.isdigit() for c in span)), float(sum(c.isdigit() for c in span)), float(any(w[0].isupper() for w in words[1:])), float(len(words)),
+        float(bool(re.search(r"\d{5}|[A-Z]{1,2}\d ?\d?[A-Z]{2}", place))), float(bool(re.search(r"(?i)\bapt|\bsuite|[ºª]", span))), float(sum(w.lower() in _SETS["firm"] for w in words)),
+    ]
+    return Candidate("address", m.start(), end, x + _cues(before, after))
 
 
 class Finder:
