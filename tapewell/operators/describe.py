@@ -1,4 +1,4 @@
-"""Descriptive statistics in one aggregation, results in long form."""
+"""Descriptive statistics in long form: one aggregation for the moments, counting for the quantiles."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewell.operators.heavy_keys import compressed, key_percentiles
+
 
 def _long(rows: DataFrame, columns: Sequence[str], stats) -> DataFrame:
     """One row per column with the named statistics: one aggregation over all columns, then a stack of its single row."""
@@ -14,9 +16,18 @@ def _long(rows: DataFrame, columns: Sequence[str], stats) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("s")) for c in columns])).alias("x")).select("x.variable", "x.s.*")
 
 
+def quantiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(variable, p{100*share}): exact quantiles with linear interpolation, by counting in two levels.
+
+    The percentile aggregate would hold every distinct value of a column in one task; this never does.
+    """
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    return key_percentiles(compressed(long.where("v IS NOT NULL"), "variable", "v"), shares, interpolate=True).withColumnRenamed("key", "variable")
+
+
 def summary(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max, n_missing, pct_missing per column; exact quartiles."""
-    return _long(
+    basic = _long(
         rows,
         columns,
         lambda c: {
@@ -24,25 +35,22 @@ def summary(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
             "mean": F.avg(c),
             "std": F.stddev_samp(c),
             "min": F.min(c).cast("double"),
-            "p25": F.percentile(c, 0.25),
-            "p50": F.percentile(c, 0.5),
-            "p75": F.percentile(c, 0.75),
             "max": F.max(c).cast("double"),
             "n_missing": F.count_if(F.col(c).isNull()),
             "pct_missing": 100.0 * F.count_if(F.col(c).isNull()) / F.count(F.lit(1)),
         },
     )
+    return basic.join(quantiles(rows, columns, (0.25, 0.5, 0.75)), "variable", "left")
 
 
 def moments(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Observations, mean, median, deviation, extremes, skewness and excess kurtosis (both of the population) per column."""
-    return _long(
+    basic = _long(
         rows,
         columns,
         lambda c: {
             "obs": F.count(c),
             "mean": F.avg(c),
-            "median": F.percentile(c, 0.5),
             "sd": F.stddev_samp(c),
             "min": F.min(c).cast("double"),
             "max": F.max(c).cast("double"),
@@ -50,6 +58,7 @@ def moments(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
             "kurt": F.kurtosis(c),
         },
     )
+    return basic.join(quantiles(rows, columns, (0.5,)).withColumnRenamed("p50", "median"), "variable", "left")
 
 
 def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -41,12 +41,15 @@ def key_modes(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("value").isNotNull()).groupBy("key").agg(best).select("key", (-F.col("best.minus")).alias("mode_value"), F.col("best.n").alias("mode_count"))
 
 
-def key_percentiles(counts: DataFrame, shares: Sequence[float] = (0.5,)) -> DataFrame:
-    """Per key: exact discrete percentiles; ``p{100*share}`` is the least value with at least that share at or below it.
+def key_percentiles(counts: DataFrame, shares: Sequence[float] = (0.5,), interpolate: bool = False) -> DataFrame:
+    """Per key: exact percentiles ``p{100*share}`` of the non-null values.
+
+    Without ``interpolate`` the least value with at least that share at or below it; with it the linear interpolation
+    between the two values around the place share * (n - 1).
 
     Two levels, so that no task ever sorts all values of one key: the values are cut into ``RANGES``
     ranges at global approximate quantiles, weights are added up by key and range, and only the
-    range that holds a percentile is put in order. The cuts decide the balance, never the result.
+    ranges that hold a wanted rank are put in order. The cuts decide the balance, never the result.
     """
     some = counts.where(F.col("value").isNotNull())
     inner = [i / RANGES for i in range(1, RANGES)]
@@ -56,18 +59,34 @@ def key_percentiles(counts: DataFrame, shares: Sequence[float] = (0.5,)) -> Data
     whole = Window.partitionBy("key")
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     wanted = by_part.select("key", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("all"))
-    targets = F.array(*[F.struct(F.lit(f"p{100 * s:g}").alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(float(s)) * F.col("all"))).alias("rank")) for s in shares])
+
+    def ranks(share: float):
+        """Names and ranks (from 1) of the values that a percentile needs, with the weight of the upper one."""
+        name = f"p{100 * share:g}"
+        if not interpolate:
+            return [F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * F.col("all"))).cast("bigint").alias("rank"), F.lit(1.0).alias("w"))]
+        place = F.lit(float(share)) * (F.col("all") - 1)
+        low = F.floor(place).cast("bigint")
+        up = place - low
+        return [
+            F.struct(F.lit(name).alias("name"), (low + 1).alias("rank"), (1 - up).alias("w")),
+            F.struct(F.lit(name).alias("name"), F.least(low + 2, F.col("all")).alias("rank"), up.alias("w")),
+        ]
+
+    targets = F.array(*[t for s in shares for t in ranks(s)])
     wanted = wanted.select("key", "part", "before", F.explode(targets).alias("t"), "n").where((F.col("t.rank") > F.col("before")) & (F.col("t.rank") <= F.col("before") + F.col("n")))
-    wanted = wanted.groupBy("key", "part").agg(F.first("before").alias("before"), F.collect_list("t").alias("targets"))  # at most one entry per share
-    running = F.sum("n").over(Window.partitionBy("key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = wanted.groupBy("key", "part").agg(F.first("before").alias("before"), F.collect_list("t").alias("targets"))  # at most two entries per share
     wanted = wanted.select(F.col("key").alias("k"), F.col("part").alias("p"), "before", "targets")
+    running = F.sum("n").over(Window.partitionBy("key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     hits = (
         placed.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
         .select("key", "part", "value", "n", "before", "targets")
         .withColumn("upto", F.col("before") + running)
         .select("key", "value", F.explode(F.filter("targets", lambda t: (t["rank"] > F.col("upto") - F.col("n")) & (t["rank"] <= F.col("upto")))).alias("t"))
     )
-    return hits.groupBy("key").agg(*[F.max(F.when(F.col("t.name") == f"p{100 * s:g}", F.col("value"))).alias(f"p{100 * s:g}") for s in shares])
+    mine = lambda s: F.col("t.name") == f"p{100 * s:g}"
+    value = lambda s: F.sum(F.when(mine(s), F.col("value") * F.col("t.w"))) if interpolate else F.max(F.when(mine(s), F.col("value")))
+    return hits.groupBy("key").agg(*[value(s).alias(f"p{100 * s:g}") for s in shares])
 
 
 def key_statistics(rows: DataFrame, key: str, value: str, shares: Sequence[float] = (0.5,)) -> DataFrame:
