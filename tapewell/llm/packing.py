@@ -77,7 +77,7 @@ def pack(items: DataFrame, key: str, size: str, containers: Sequence[tuple[str,
     tasks = max(1, -(-(items.count() if number is None else number) // items_per_task))
     slot = F.pmod(F.xxhash64(F.lit(7), key), F.lit(tasks)).cast("int")
     spread = items.select(F.col(key), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"), slot.alias("slot"))
-    spread = spread.repartition(tasks, "slot").sortWithinPartitions("slot", F.xxhash64(F.lit(11), key), key, "size")
+    spread = spread.repartitionById(tasks, F.col("slot")).sortWithinPartitions("slot", F.xxhash64(F.lit(11), key), key, "size")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fits: dict[tuple[int, str], BestFit] = {}
