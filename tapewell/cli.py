@@ -1,4 +1,4 @@
-"""Command line: ``python -m tapewell.cli returns|panel|regressions|garch|lr-tests ...``."""
+"""Command line: ``python -m tapewell.cli mentions|sentiment|stats|returns|panel|regressions|garch|lr-tests ...``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 
 from tapewell.estimators import garch
-from tapewell.operators import calendar, panel, returns, sentiment
+from tapewell.operators import calendar, extraction, mentions, panel, returns, sentiment, universe
 from tapewell.plans import pipelines
 from tapewell.sinks import files as sinks
 from tapewell.sources import files as sources
@@ -19,6 +19,21 @@ from tapewell.state import State
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="tapewell")
     sub = parser.add_subparsers(dest="command", required=True)
+    p = sub.add_parser("mentions", help="raw submissions and comments (zstd JSON lines) to mention records")
+    for name in ("raw", "universe", "output"):
+        p.add_argument(name)
+    p.add_argument("datasets", nargs="*", help="all in the folder if none is named")
+    p.add_argument("--symbols-only", action="store_true")
+    p.add_argument("--stop-words", help="a text file, one word a line")
+    p.add_argument("--long-windows", action="store_true", help="files with windows beyond the JVM codec's limit")
+    p.add_argument("--partitions", type=int)
+    p = sub.add_parser("sentiment", help="mention records and a score table to daily sentiment")
+    for name in ("mentions", "scores", "output"):
+        p.add_argument(name)
+    p.add_argument("--models", nargs="+", required=True, help="keys of models; a targeted one ends in ':targeted'")
+    p = sub.add_parser("stats", help="mention records to daily counts, totals and ticker statistics")
+    for name in ("mentions", "output"):
+        p.add_argument(name)
     p = sub.add_parser("returns", help="prices to returns and volatilities")
     p.add_argument("prices")
     p.add_argument("output")
@@ -53,7 +68,32 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tapewell").getOrCreate()
-    if args.command == "returns":
+    if args.command == "mentions":
+        names = args.datasets or sources.discover(spark, args.raw)
+        known = universe.usable(sources.universe_file(spark, args.universe))
+        stop = spark.read.text(args.stop_words).toPandas()["value"].tolist() if args.stop_words else []
+        find = extraction.extractor(known, universe.names_of(known), stop)
+
+        def read(part: str, schema):
+            paths = [f"{args.raw}/{n}_{part}.zst" for n in names]
+            if args.long_windows:
+                return sources.long_window_lines(spark, paths, schema, args.partitions)
+            return sources.json_lines(spark, paths, schema, args.partitions)
+
+        found = pipelines.mentions(read("submissions", sources.SUBMISSION), read("comments", sources.COMMENT), find, args.symbols_only)
+        sinks.parquet(found, args.output)
+    elif args.command == "sentiment":
+        models = [(m.removesuffix(":targeted"), m.endswith(":targeted")) for m in args.models]
+        daily = pipelines.daily_from_mentions(spark.read.parquet(args.mentions), spark.read.parquet(args.scores), models)
+        sinks.daily_sentiment_csv(daily, args.output)
+    elif args.command == "stats":
+        rows = spark.read.parquet(args.mentions).selectExpr("date_from_unix_date(cast(floor(created_utc / 86400) AS int)) AS date", "explode(tickers) AS ticker")
+        counts = mentions.daily_counts(rows).persist()
+        sinks.csv(mentions.daily_totals(counts), f"{args.output}/daily_totals", ("date",))
+        sinks.csv(mentions.ticker_stats(counts), f"{args.output}/ticker_stats", ("ticker",))
+        sinks.csv(mentions.pivot_counts(counts), f"{args.output}/daily_ticker_counts", ("date",))
+        counts.unpersist()
+    elif args.command == "returns":
         sinks.parquet(returns.calculate_returns(spark.read.parquet(args.prices)), args.output)
     elif args.command == "panel":
         config = panel.PanelConfig(alternatives=tuple(args.alternatives), min_financial_days=args.min_days[0], min_mention_days=args.min_days[1], min_valid_days=args.min_days[2])

@@ -76,6 +76,15 @@ def source_summary(mentions: DataFrame, source: str = "dataset") -> DataFrame:
     return mentions.groupBy(source).agg(F.countDistinct("ticker").alias("n_tickers"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count(F.lit(1)).alias("mentions"))
 
 
+def mentioned_tickers(counts: DataFrame) -> DataFrame:
+    return counts.select("ticker").where("ticker IS NOT NULL").distinct()
+
+
+def date_range(totals: DataFrame) -> DataFrame:
+    """(first_day, last_day) of a table by day; one row, NULLs for an empty table."""
+    return totals.agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+
+
 def top_tickers(counts: DataFrame, k: int = 20) -> DataFrame:
     """The k most mentioned tickers; equals in alphabetical order."""
     return counts.groupBy("ticker").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ticker").limit(k)

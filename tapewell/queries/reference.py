@@ -401,6 +401,27 @@ def model_panel_rebuild(spark, folder):
     return rounded(panel.model_sentiment(_panel(spark, folder), other).select("date", "ticker", "mention_count", "sentiment_avg"), 6)
 
 
+@query(
+    f"""WITH {BATTERY}, x AS (SELECT date, avg(volatility_pk) AS v FROM ret WHERE date_part('day', date) <> 13 GROUP BY 1), z AS (SELECT date, (v - (SELECT avg(v) FROM x)) / (SELECT stddev_samp(v) FROM x) AS z FROM x)
+    SELECT ret.date, ticker, round(coalesce(z, 0), 6) + 0.0 AS vix_std FROM ret LEFT JOIN z ON z.date = ret.date"""
+)
+def day_series_join(spark, folder):
+    """A z-scored series by day on the panel; days without a value (the 13th here) get 0."""
+    full = _returns(spark, folder)
+    series = full.where(F.dayofmonth("date") != 13).groupBy("date").agg(F.avg("volatility_pk").alias("vix"))
+    return rounded(panel.with_day_series(full, series, "vix", "vix_std").select("date", "ticker", "vix_std"), 6)
+
+
+@query(f"WITH {_scored_sql()} SELECT min(date) AS first_day, max(date) AS last_day FROM daily")
+def mention_date_range(spark, folder):
+    return mentions.date_range(mentions.daily_totals(mentions.daily_counts(_scored(spark, folder))))
+
+
+@query(f"WITH {_scored_sql()} SELECT DISTINCT ticker FROM daily")
+def mentioned_tickers(spark, folder):
+    return mentions.mentioned_tickers(mentions.daily_counts(_scored(spark, folder)))
+
+
 @query()
 def full_panel(spark, folder):
     """The whole panel with all features and lags; 130 columns, so rows only. Its parts have SQL of their own."""

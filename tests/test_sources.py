@@ -122,6 +122,31 @@ def test_tables_for_papers():
     assert sinks.average_fit([r]) == {"r2": 0.5, "r2_within": 0.4, "n_obs": 10.0}
 
 
+def test_command_line_from_raw_posts_to_daily_sentiment(spark, tmp_path):
+    import zstandard
+
+    from tapewell import cli
+    from tapewell.functions.scalars import text_key
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    posts = [{"id": str(i), "author": "a", "created_utc": 86400 * (i + 1), "title": "buy $AAPL", "selftext": f"x{i}", "score": i} for i in range(3)]
+    comments = [{"id": "9", "author": "b", "created_utc": "86400", "body": "Apple Computer or GME", "score": 2}, {"id": "8", "author": "CatBot", "created_utc": 1, "body": "AAPL"}]
+    for part, rows in (("submissions", posts), ("comments", comments)):
+        (raw / f"d_{part}.zst").write_bytes(zstandard.ZstdCompressor().compress("\n".join(map(json.dumps, rows)).encode()))
+    (tmp_path / "u.csv").write_text("ticker,name,raw_name,is_etf\nAAPL,Apple Computer,Apple Computer Inc,N\nGME,Game Shop,Game Shop Inc,\nSPY,Index,Index,Y\n")
+    (tmp_path / "stop.txt").write_text("GME\n")
+    for more in ([], ["--long-windows"]):
+        cli.main(["mentions", str(raw), str(tmp_path / "u.csv"), str(tmp_path / "m"), "--stop-words", str(tmp_path / "stop.txt"), *more], spark)
+        found = spark.read.parquet(str(tmp_path / "m"))
+        assert sorted((r["id"], tuple(r["tickers"])) for r in found.collect()) == [("t1_9", ("AAPL",)), ("t3_0", ("AAPL",)), ("t3_1", ("AAPL",)), ("t3_2", ("AAPL",))]
+    found.select(text_key(F.col("text")).alias("text_hash"), F.lit("m").alias("model"), F.lit("").alias("target"), F.lit("positive").alias("label"), F.lit(0.5).alias("confidence"), F.lit(0.5).alias("score")).write.parquet(str(tmp_path / "s"))
+    cli.main(["sentiment", str(tmp_path / "m"), str(tmp_path / "s"), str(tmp_path / "daily"), "--models", "m"], spark)
+    assert sorted(r["mention_count"] for r in sources.daily_sentiment_file(spark, str(tmp_path / "daily")).collect()) == [1, 1, 2]
+    cli.main(["stats", str(tmp_path / "m"), str(tmp_path / "stats")], spark)
+    assert spark.read.option("header", True).csv(str(tmp_path / "stats/ticker_stats")).first()["total_mentions"] == "4"
+
+
 def test_command_line(spark, folder, tmp_path):
     from tapewell import cli
 
