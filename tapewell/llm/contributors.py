@@ -37,8 +37,9 @@ def mark_capped(records: DataFrame, contributor: str, cap: Column | int, coarse:
     sum tells which coarse group the cap falls into, that group alone is counted by the fine key, and only
     the fine group at the cut is ranked. All other records are kept or dropped by comparing keys.
     Contributors within the cap leave after the first count. Ties that ``exact`` can't break are broken
-    arbitrarily; give it a unique last column. An empty table gives an empty table.
+    arbitrarily; give it a unique last column. An empty table gives an empty table. A column named ``kept`` is replaced.
     """
+    records = records.drop("kept")
     who = F.col(contributor)
     marked = records.withColumns({"__coarse": F.struct(*coarse), "__fine": F.struct(*fine), "__cap": cap if isinstance(cap, Column) else F.lit(cap)})
     some = marked.where(who.isNotNull())

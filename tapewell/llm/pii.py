@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
@@ -332,12 +333,13 @@ class Finder:
         for t, c in zip(order, chosen):
             by_text.setdefault(int(t), []).append(c)
         for t, own in by_text.items():
-            taken: list[tuple[int, int, str, float]] = []
+            taken: list[tuple[int, int, str, float]] = []  # in order, apart from each other
             for p, _, a, b, kind in sorted(own, key=lambda c: (-round(c[0], 2), -c[1], c[2], c[4])):
-                if all(b <= x or a >= y for x, y, _, _ in taken):
-                    taken.append((a, b, kind, p))
+                i = bisect_left(taken, (b,))  # all from i on begin at b or later
+                if not i or taken[i - 1][1] <= a:
+                    taken.insert(i, (a, b, kind, p))
             base = int(starts[t])
-            out[t] = [(a - base, b - base, kind, p) for a, b, kind, p in sorted(taken)]
+            out[t] = [(a - base, b - base, kind, p) for a, b, kind, p in taken]
         return out
 
 
@@ -531,10 +533,10 @@ def find_table(rows: DataFrame, texts: Sequence[str], found: bool = True, redact
 
     One pass without a shuffle; the models travel with the tasks and fit in 1 MB. Texts of any length are read whole.
     Null stays null, empty stays empty. Columns other than ``texts`` pass through; with ``redacted`` the redacted
-    texts take the place of the originals, otherwise the texts are left out.
+    texts take the place of the originals, otherwise the texts are left out. A column named ``kinds`` is replaced.
     """
     model = pickle.dumps(finder or train(folder))
-    others = [c for c in rows.columns if c not in texts]
+    others = [c for c in rows.columns if c not in texts and not (found and c == "kinds")]
     number = len(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,7 +75,8 @@ def encode_table(documents: DataFrame, key: str, text: str, folder: str = DEFAUL
 
     Null and empty texts have the empty list. Texts are encoded whole, whatever their length. Arrow batches
     pass through ``mapInArrow``; ids leave as one flat buffer with offsets instead of Python lists of rows.
-    The key may be of any type and may be null or repeat. Files are read by the workers, so the folder must
+    The key may be of any type, may be null or repeat, and may be named like a result column: the order of columns is
+    fixed, key first. Files are read by the workers, so the folder must
     exist on them.
     """
     path = f"{folder}/{vocabulary}.tiktoken"

@@ -22,6 +22,8 @@ _DATA = Path(__file__).with_name("data")
 MOST_LABELS = 20_000
 #: Words whose reading is remembered per worker; beyond it the memory starts anew.
 MOST_WORDS = 400_000
+#: A longer run of signs without a space isn't looked at for a word in disguise (no listed word is half as long).
+LONGEST_WORD = 64
 #: Padded words in one call of the recursions.
 CHUNK = 400_000
 _OFFENSIVE = ("insult_noun", "insult_adj", "shut", "threat", "harm", "threat_phrase", "dehuman", "erase", "sex_body", "sex_strong")
@@ -122,7 +124,7 @@ class Reader:
         bare = bare[:-2] if bare.endswith(("'s", "’s")) else bare.replace("’", "'")
         if bare in self.words:
             return bare
-        if not any(c.isalpha() or c in "@+*" for c in t):
+        if len(t) > 2 * LONGEST_WORD or not any(c.isalpha() or c in "@+*" for c in t):
             return bare
         if re.fullmatch(r"[^\W\d_](?:[ ._-][^\W\d_])+", bare):
             joined = re.sub(r"[ ._-]", "", bare)
@@ -419,7 +421,7 @@ def train(labels: Sequence[tuple[str | None, int | None]]) -> Tagger:
     if rows:
         scores = tagger.scores([t for t, _ in rows])[0]
         truth = np.array([y for _, y in rows], bool)
-        grid = np.linspace(0.2, 0.9, 71)
+        grid = np.linspace(0.3, 0.7, 41)
         quality = [2 * (truth & (scores >= g)).sum() / max(1, truth.sum() + (scores >= g).sum()) for g in grid]
         best = grid[np.array(quality) >= max(quality) - 1e-9]
         tagger.threshold = float(best[len(best) // 2])
@@ -463,10 +465,11 @@ def score_table(records: DataFrame, text: str, labels: DataFrame, spans: bool =
     """``records`` without ``text``, with ``score`` (0 to 1), ``flagged`` and, if asked for, ``spans`` of flagged texts.
 
     One pass without a shuffle; the model (under 1 MB, fitted on at most ``MOST_LABELS`` labelled texts) travels with
-    the tasks. Whole texts are read. Null, empty and blank texts score 0. Other columns pass through, null or not.
+    the tasks. Whole texts are read. Null, empty and blank texts score 0. Other columns pass through, null or not;
+    a column that has one of the new names is replaced.
     """
     model = pickle.dumps(train(read_labels(labels)))
-    others = [c for c in records.columns if c != text]
+    others = [c for c in records.columns if c not in (text, "score", "flagged", "spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _loaded(model)

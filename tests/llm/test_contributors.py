@@ -49,6 +49,11 @@ def test_ties_in_everything_but_the_id(spark):
     assert {x["id"] for x in ranked(spark.createDataFrame(rows, SHAPE), 7).where("kept").collect()} == {f"{i:04d}" for i in range(7)}
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("1", "a", 1, 1), ("2", "a", 2, 1)], SHAPE).selectExpr("*", "'x' AS kept", "1 AS n")
+    assert {r["id"] for r in ranked(df, 1).where("kept").collect()} == {"2"}
+
+
 def test_empty_table(spark):
     assert ranked(spark.createDataFrame([], SHAPE), 3).count() == 0
 

@@ -95,3 +95,12 @@ def test_boosting_learns_an_interaction():
     model = BoostedTrees(trees=30).fit(x[:1000], y[:1000])
     assert np.mean((model.predict(x[1000:]) > 0.5) == (y[1000:] > 0.5)) > 0.98
     assert model.predict(np.zeros((0, 5))).shape == (0,)
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, "1 " * 150_000, "Anna " * 60_000, "@" * 200_000, "a@b." * 50_000, "A. " * 100_000, "12 Oak Street, " * 4_000, "Mr. " * 50_000, "a" * 300_000])
+def test_odd_long_texts_end_soon(finder, text):
+    import time
+
+    began = time.perf_counter()
+    finder.spans([text])
+    assert time.perf_counter() - began < 15

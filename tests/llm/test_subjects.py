@@ -72,3 +72,10 @@ def test_bounds(spark, folder, monkeypatch):
 def test_empty_table(spark, folder):
     df = spark.createDataFrame([], "k long, t string")
     assert subjects.document_subjects(df, "k", "t", spark.read.parquet(f"{folder}/subject_label.parquet")).count() == 0
+
+
+def test_without_labels_and_odd_long_texts():
+    model = subjects.fit([])
+    assert set(model.document("The surgeon left the clinic. The nurse stayed with the patients.")) == {"health"}
+    for text in ("a" * 500_000, ". " * 200_000, "surgeon " * 60_000, "<b" * 100_000, "Ã" * 200_000):
+        model.document(text)

@@ -53,3 +53,13 @@ def test_counts_and_empty_table(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None)], "k long, t string")
     assert {r["k"]: r["n_tokens"] for r in tokens.count_table(df, "k", "t").collect()} == {1: 2, 2: 0}
     assert tokens.encode_table(df.where("false"), "k", "t").count() == 0
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "ab" * 200_000, " " * 500_000, "\n " * 200_000, "株" * 200_000, "1" * 500_000])
+def test_texts_without_safe_places_end_soon(text):
+    import time
+
+    began = time.perf_counter()
+    ids = tokens.encode(text, PATH)
+    assert time.perf_counter() - began < 20
+    assert tokens.decode(ids, PATH) == text.encode()

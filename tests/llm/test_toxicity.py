@@ -70,10 +70,25 @@ def test_offsets(tagger):
 def test_table(spark, folder):
     labels = spark.read.parquet(f"{folder}/toxic_label.parquet")
     rows = [(1, "You are a pathetic idiot.", "s"), (2, "Nice chart.", None), (3, None, "s"), (4, "", "s"), (1, "You are a pathetic idiot.", "s"), (None, "word " * 100_000 + ". You stupid pig.", "s")]
-    df = spark.createDataFrame(rows, "score long, text string, flag string")
-    scored = toxicity.score_table(df.withColumnRenamed("score", "k"), "text", labels, spans=True)
+    df = spark.createDataFrame(rows, "k long, text string, flag string").selectExpr("*", "'old' AS score", "1 AS spans")  # clashing names
+    scored = toxicity.score_table(df, "text", labels, spans=True)
     got = sorted((r["k"] or 0, r["flagged"], len(r["spans"]) > 0) for r in scored.collect())
     assert got == [(0, True, True), (1, True, True), (1, True, True), (2, False, False), (3, False, False), (4, False, False)]
     rates = {r["flag"]: (r["records"], r["flagged"]) for r in toxicity.rates(scored, "flag").collect()}
     assert rates == {"s": (5, 3), None: (1, 0)}
     assert toxicity.score_table(df.where("false"), "text", labels).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "a " * 150_000, "1" * 300_000, "a*" * 100_000, ".a" * 100_000, "@" * 200_000, "fuuuuck" * 40_000, "\n" * 100_000])
+def test_odd_long_texts_end_soon(tagger, text):
+    import time
+
+    began = time.perf_counter()
+    tagger.scores([text, "You are a pathetic idiot."])
+    assert time.perf_counter() - began < 10
+
+
+def test_without_labels():
+    model = toxicity.train([])
+    assert flagged(model, "You are a pathetic idiot.", "Nice chart.") == [True, False]
+    assert flagged(toxicity.train([(None, 1), ("", 0), ("x", None)]), "Nice chart.") == [False]
