@@ -26,48 +26,49 @@ def exponential_key(quality: Column, identity: Sequence[Column], seed: int = 0)
     return -F.log(u) / weight
 
 
-def mark_capped(records: DataFrame, contributor: str, cap: Column | int, coarse: Sequence[Column], fine: Sequence[Column], exact: Sequence[Column]) -> DataFrame:
+def mark_capped(records: DataFrame, contributor: str, cap: Column | int, levels: Sequence[Sequence[Column]], exact: Sequence[Column]) -> DataFrame:
     """``records`` with a boolean ``kept``: the first ``cap`` records of each contributor stay.
 
-    The order is that of ``exact``; ``coarse`` must be a prefix of that order with few distinct values (a
-    score, a rounded key), ``fine`` a longer prefix. Records with a null contributor all stay.
+    The order is that of ``exact``, ascending by ``levels`` first: each level is a list of columns that goes on where
+    the level before ends (a score, then rounded time, then time, then the beginning of an id). Records with a null
+    contributor all stay.
 
-    A plain ranking would sort all records of a contributor in one task. Here the place of the cut is found
-    by counting: records are counted by contributor and coarse key (combined before the shuffle), a running
-    sum tells which coarse group the cap falls into, that group alone is counted by the fine key, and only
-    the fine group at the cut is ranked. All other records are kept or dropped by comparing keys.
-    Contributors within the cap leave after the first count. Ties that ``exact`` can't break are broken
-    arbitrarily; give it a unique last column. An empty table gives an empty table. A column named ``kept`` is replaced.
+    A plain ranking would sort all records of a contributor in one task. Here the place of the cut is found by
+    counting: records are counted by contributor and first level (combined before the shuffle), a running sum over
+    the distinct values tells which of them the cap falls into, that group alone is counted by the next level, and
+    so on; only the group at the cut of the last level is ranked. All other records are kept or dropped by
+    comparing keys. Contributors within the cap leave after the first count. So a task sees the distinct values of
+    one level of one contributor, never its records. Ties that ``exact`` can't break are broken arbitrarily; give it
+    a unique last column. An empty table gives an empty table. A column named ``kept`` is replaced.
     """
     records = records.drop("kept")
-    who = F.col(contributor)
-    marked = records.withColumns({"__coarse": F.struct(*coarse), "__fine": F.struct(*fine), "__cap": cap if isinstance(cap, Column) else F.lit(cap)})
-    some = marked.where(who.isNotNull())
-    by_coarse = some.groupBy(who.alias("__who"), "__coarse", "__cap").agg(F.count(F.lit(1)).alias("n"))
-    cut1 = _cut(by_coarse, [], "__coarse").select("__who", F.col("__coarse").alias("__cut1"), "__left")
-    inside = some.join(cut1, (who == F.col("__who")) & (F.col("__coarse") == F.col("__cut1")))
-    by_fine = inside.groupBy("__who", "__fine", F.col("__left").alias("__cap")).agg(F.count(F.lit(1)).alias("n"))
-    cut2 = _cut(by_fine, [], "__fine").select(F.col("__who").alias("__who2"), F.col("__fine").alias("__cut2"), F.col("__left").alias("__left2"))
-    cuts = cut1.join(cut2, F.col("__who") == F.col("__who2"), "left").drop("__who2", "__left")
-    placed = marked.join(cuts, who == F.col("__who"), "left")
-    at_cut = (F.col("__coarse") == F.col("__cut1")) & (F.col("__fine") == F.col("__cut2"))
-    # only groups at a cut are ranked; everything else goes into single-row groups by a null rank
-    certain = placed.where(~F.coalesce(at_cut, F.lit(False))).withColumn(
-        "kept",
-        F.when(F.col("__who").isNull() | (F.col("__coarse") < F.col("__cut1")), True)
-        .when(F.col("__coarse") > F.col("__cut1"), False)
-        .otherwise(F.col("__fine") < F.col("__cut2")),
-    )
-    ranked = placed.where(at_cut).withColumn("kept", F.row_number().over(Window.partitionBy("__who").orderBy(*exact)) <= F.col("__left2"))
-    return certain.unionByName(ranked).select(*records.columns, "kept")
-
-
-def _cut(counts: DataFrame, more: list[str], key: str) -> DataFrame:
-    """For groups that exceed ``__cap``: the key at which the running count passes it, and how many still fit there."""
+    who, number = F.col(contributor), range(len(levels))
+    marked = records.withColumns({f"__l{i}": F.struct(*[c.alias(f"c{k}") for k, c in enumerate(level)]) for i, level in enumerate(levels)})
+    narrow = marked.where(who.isNotNull()).select(who.alias("__who"), *[f"__l{i}" for i in number])
     by = Window.partitionBy("__who")
-    upto = F.sum("n").over(by.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        counts.withColumns({"__upto": upto, "__all": F.sum("n").over(by)})
-        .where((F.col("__all") > F.col("__cap")) & (F.col("__upto") > F.col("__cap")) & (F.col("__upto") - F.col("n") <= F.col("__cap")))
-        .withColumn("__left", F.col("__cap") - (F.col("__upto") - F.col("n")))
-    )
+    cuts = None
+    for i in number:
+        earlier = [f"__cut{j}" for j in range(i)]
+        if cuts is None:
+            inside = narrow.withColumn("__cap", cap if isinstance(cap, Column) else F.lit(cap))
+        else:
+            known = cuts.withColumnRenamed("__who", "__w")
+            same = F.col("__who") == F.col("__w")
+            for j in range(i):
+                same = same & (F.col(f"__l{j}") == F.col(f"__cut{j}"))
+            inside = narrow.join(known, same)
+        counted = inside.groupBy("__who", *earlier, f"__l{i}", "__cap").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(by.orderBy(f"__l{i}").rowsBetween(Window.unboundedPreceding, 0))
+        cut = (F.col("__all") > F.col("__cap")) & (F.col("__upto") > F.col("__cap")) & (F.col("__upto") - F.col("n") <= F.col("__cap"))
+        cuts = (
+            counted.withColumns({"__upto": upto, "__all": F.sum("n").over(by)})
+            .where(cut)
+            .select("__who", *earlier, F.col(f"__l{i}").alias(f"__cut{i}"), (F.col("__cap") - (F.col("__upto") - F.col("n"))).alias("__cap"))
+        )
+    placed = marked.join(cuts, who == F.col("__who"), "left")
+    decided = F.lit(None).cast("boolean")
+    for i in reversed(number):
+        decided = F.when(F.col(f"__l{i}") < F.col(f"__cut{i}"), True).when(F.col(f"__l{i}") > F.col(f"__cut{i}"), False).otherwise(decided)
+    placed = placed.withColumn("kept", F.when(F.col("__who").isNull(), True).otherwise(decided))
+    ranked = placed.where("kept IS NULL").withColumn("kept", F.row_number().over(by.orderBy(*exact)) <= F.col("__cap"))
+    return placed.where("kept IS NOT NULL").unionByName(ranked).select(*records.columns, "kept")

@@ -55,14 +55,16 @@ def _cap(records: DataFrame, share: int):
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     records = _authored(spark, folder)
-    worst_last = [F.col("score").isNull(), F.bitwise_not("score")]
-    early_first = [F.col("created_utc").isNull(), F.shiftright("created_utc", 16)]
     marked = contributors.mark_capped(
         records,
         "who",
         _cap(records, 100),
-        coarse=[c.alias(f"c{i}") for i, c in enumerate([*worst_last, *early_first])],
-        fine=[F.col("created_utc").isNull().alias("f0"), F.col("created_utc").alias("f1"), F.substring("id", 1, 6).alias("f2")],
+        levels=[
+            [F.col("score").isNull(), F.bitwise_not("score")],
+            [F.col("created_utc").isNull(), F.shiftright("created_utc", 16)],
+            [F.col("created_utc")],
+            [F.substring("id", 1, 6)],
+        ],
         exact=[F.col("score").desc_nulls_last(), F.col("created_utc").asc_nulls_last(), F.col("id")],
     )
     return marked.where(~F.col("kept")).select("id")
@@ -76,8 +78,7 @@ def p3_reservoir(spark: SparkSession, folder: str) -> DataFrame:
         records,
         "who",
         _cap(records, 100),
-        coarse=[F.floor(F.log2("key") * 64).alias("c0")],
-        fine=[F.col("key").alias("f0")],
+        levels=[[F.floor(F.log2("key") * 64)], [F.col("key")]],
         exact=[F.col("key"), F.col("id")],
     )
     return marked.where("kept").select("id", "author", "score")

@@ -15,8 +15,7 @@ def ranked(df, cap):
         df.withColumn("who", contributor_key("author")),
         "who",
         cap,
-        coarse=[F.col("score").isNull().alias("a"), F.bitwise_not("score").alias("b"), F.col("at").isNull().alias("c"), F.shiftright("at", 3).alias("d")],
-        fine=[F.col("at").isNull().alias("a"), F.col("at").alias("b"), F.substring("id", 1, 2).alias("c")],
+        levels=[[F.col("score").isNull(), F.bitwise_not("score")], [F.col("at").isNull(), F.shiftright("at", 3)], [F.col("at")], [F.substring("id", 1, 2)]],
         exact=[F.col("score").desc_nulls_last(), F.col("at").asc_nulls_last(), F.col("id")],
     )
 
@@ -63,7 +62,7 @@ def test_reservoir_prefers_quality_and_repeats(spark):
     df = spark.createDataFrame(rows, SHAPE).withColumn("key", exponential_key(F.col("score"), [F.col("id")]))
 
     def kept(df):
-        marked = mark_capped(df, "author", 100, [F.floor(F.log2("key") * 64).alias("c")], [F.col("key").alias("f")], [F.col("key"), F.col("id")])
+        marked = mark_capped(df, "author", 100, [[F.floor(F.log2("key") * 64)], [F.col("key")]], [F.col("key"), F.col("id")])
         return {int(x["id"]) for x in marked.where("kept").collect()}
 
     once = kept(df)
