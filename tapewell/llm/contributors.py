@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most contributors whose cuts are broadcast.
+BROADCAST = 100_000
+
 
 def contributor_key(author: str | Column, unlimited: Sequence[str] = ("[deleted]",)) -> Column:
     """Trimmed, lower-case name; null for null and for names that stand for many people."""
@@ -26,7 +29,7 @@ def exponential_key(quality: Column, identity: Sequence[Column], seed: int = 0)
     return -F.log(u) / weight
 
 
-def mark_capped(records: DataFrame, contributor: str, cap: Column | int, levels: Sequence[Sequence[Column]], exact: Sequence[Column]) -> DataFrame:
+def mark_capped(records: DataFrame, contributor: str, cap: Column | int, levels: Sequence[Sequence[Column]], exact: Sequence[Column], most: int | None = None) -> DataFrame:
     """``records`` with a boolean ``kept``: the first ``cap`` records of each contributor stay.
 
     The order is that of ``exact``, ascending by ``levels`` first: each level is a list of columns that goes on where
@@ -38,7 +41,10 @@ def mark_capped(records: DataFrame, contributor: str, cap: Column | int, levels:
     the distinct values tells which of them the cap falls into, that group alone is counted by the next level, and
     so on; only the group at the cut of the last level is ranked. All other records are kept or dropped by
     comparing keys. Contributors within the cap leave after the first count. So a task sees the distinct values of
-    one level of one contributor, never its records. Ties that ``exact`` can't break are broken arbitrarily; give it
+    one level of one contributor, never its records. ``most`` is a proven bound on the number of contributors beyond
+    the cap (a cap of a share 1/s of all records is passed by fewer than s): up to ``BROADCAST`` their cuts, one short
+    row each, are broadcast and records aren't shuffled at all; without it the planner joins by size, and AQE splits
+    hot contributors. Ties that ``exact`` can't break are broken arbitrarily; give it
     a unique last column. An empty table gives an empty table. A column named ``kept`` is replaced.
     """
     records = records.drop("kept")
@@ -46,6 +52,7 @@ def mark_capped(records: DataFrame, contributor: str, cap: Column | int, levels:
     marked = records.withColumns({f"__l{i}": F.struct(*[c.alias(f"c{k}") for k, c in enumerate(level)]) for i, level in enumerate(levels)})
     narrow = marked.where(who.isNotNull()).select(who.alias("__who"), *[f"__l{i}" for i in number])
     by = Window.partitionBy("__who")
+    small = F.broadcast if most is not None and most <= BROADCAST else lambda df: df
     cuts = None
     for i in number:
         earlier = [f"__cut{j}" for j in range(i)]
@@ -56,7 +63,7 @@ def mark_capped(records: DataFrame, contributor: str, cap: Column | int, levels:
             same = F.col("__who") == F.col("__w")
             for j in range(i):
                 same = same & (F.col(f"__l{j}") == F.col(f"__cut{j}"))
-            inside = narrow.join(known, same)
+            inside = narrow.join(small(known), same)
         counted = inside.groupBy("__who", *earlier, f"__l{i}", "__cap").agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(by.orderBy(f"__l{i}").rowsBetween(Window.unboundedPreceding, 0))
         cut = (F.col("__all") > F.col("__cap")) & (F.col("__upto") > F.col("__cap")) & (F.col("__upto") - F.col("n") <= F.col("__cap"))
@@ -65,7 +72,7 @@ def mark_capped(records: DataFrame, contributor: str, cap: Column | int, levels:
             .where(cut)
             .select("__who", *earlier, F.col(f"__l{i}").alias(f"__cut{i}"), (F.col("__cap") - (F.col("__upto") - F.col("n"))).alias("__cap"))
         )
-    placed = marked.join(cuts, who == F.col("__who"), "left")
+    placed = marked.join(small(cuts), who == F.col("__who"), "left")
     decided = F.lit(None).cast("boolean")
     for i in reversed(number):
         decided = F.when(F.col(f"__l{i}") < F.col(f"__cut{i}"), True).when(F.col(f"__l{i}") > F.col(f"__cut{i}"), False).otherwise(decided)

@@ -66,6 +66,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
             [F.substring("id", 1, 6)],
         ],
         exact=[F.col("score").desc_nulls_last(), F.col("created_utc").asc_nulls_last(), F.col("id")],
+        most=100,
     )
     return marked.where(~F.col("kept")).select("id")
 
@@ -80,6 +81,7 @@ def p3_reservoir(spark: SparkSession, folder: str) -> DataFrame:
         _cap(records, 100),
         levels=[[F.floor(F.log2("key") * 64)], [F.col("key")]],
         exact=[F.col("key"), F.col("id")],
+        most=100,
     )
     return marked.where("kept").select("id", "author", "score")
 

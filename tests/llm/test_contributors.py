@@ -10,13 +10,14 @@ from tapewell.llm.contributors import contributor_key, exponential_key, mark_cap
 SHAPE = "id string, author string, score long, at long"
 
 
-def ranked(df, cap):
+def ranked(df, cap, most=None):
     return mark_capped(
         df.withColumn("who", contributor_key("author")),
         "who",
         cap,
         levels=[[F.col("score").isNull(), F.bitwise_not("score")], [F.col("at").isNull(), F.shiftright("at", 3)], [F.col("at")], [F.substring("id", 1, 2)]],
         exact=[F.col("score").desc_nulls_last(), F.col("at").asc_nulls_last(), F.col("id")],
+        most=most,
     )
 
 
@@ -38,9 +39,10 @@ def brute(rows, cap):
 def test_against_brute_force(spark, seed, cap):
     r = random.Random(seed)
     rows = [(f"{i:04x}", r.choice(["Hot ", "hot", "HOT", "b", None, "[Deleted]", ""]), r.choice([None, 1, 1, 2, 5, -3]), r.choice([None, 0, 0, 7, 8, 100])) for i in range(400)]
-    got = ranked(spark.createDataFrame(rows, SHAPE), cap)
-    assert got.count() == len(rows)
-    assert {x["id"] for x in got.where("kept").collect()} == brute(rows, cap)
+    for most in (None, 10):
+        got = ranked(spark.createDataFrame(rows, SHAPE), cap, most)
+        assert got.count() == len(rows)
+        assert {x["id"] for x in got.where("kept").collect()} == brute(rows, cap)
 
 
 def test_ties_in_everything_but_the_id(spark):
