@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
@@ -45,3 +45,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, folder: str, name: str):
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Inputs of fewer bytes per core than this are spread before work that Python does row by row.
+SMALL = 1 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores if they are too small to be split by the scan.
+
+    A file of a few megabytes is one split, and work in Python on it would use one core. The planner's size estimate
+    decides, nothing is run; beyond ``SMALL`` bytes a core the splits of the scan are enough and nothing is moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < SMALL * cores else rows
