@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tapewell.llm.boosting import BoostedTrees
 from tapewell.llm.tokens import DEFAULT_FOLDER
 from tapewell.operators.records import latest_records
+from tapewell.session import spread
 
 _DATA = Path(__file__).with_name("data")
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -222,13 +223,13 @@ def _address(text: str, hints: Sequence[int]) -> Iterator[Candidate]:
 def _address_candidate(text: str, m: re.Match, k: int, end: int) -> Candidate:
     span, place = text[m.start() : end], (m["place"] or "")
     place = place[: len(place) - (m.end() - end)]
-    before, after = _around(text, m.start(), end)
+    before, _ = _around(text, m.start(), end)
     words = _WORD.findall(span)
     x = [
         float(k), float(bool(place)), float(len(place)), float(any(c.isdigit() for c in span)), float(sum(c.isdigit() for c in span)), float(any(w[0].isupper() for w in words[1:])), float(len(words)),
         float(bool(re.search(r"\d{5}|[A-Z]{1,2}\d ?\d?[A-Z]{2}", place))), float(bool(re.search(r"(?i)\bapt|\bsuite|[ºª]", span))), float(sum(w.lower() in _SETS["firm"] for w in words)),
     ]
-    return Candidate("address", m.start(), end, x + _cues(before, after))
+    return Candidate("address", m.start(), end, x + _cues(before, []))  # what follows says nothing about a place
 
 
 class Finder:
@@ -427,18 +428,18 @@ class _Maker:
     def address(self) -> str:
         s, c, r = self.syllables().capitalize(), self.city(), self.r
         kinds = [
-            f"{r.randint(1, 4000)} {s} {r.choice(['Street', 'Avenue', 'Road', 'Lane', 'St.', 'Ave.', 'Drive', 'Rd.', 'Court', 'Boulevard'])}, {c}",
-            f"{r.randint(1, 4000)} {s} {r.choice(['Avenue', 'Street', 'Road'])}, Apt {r.randint(1, 40)}{r.choice('ABC')}, {c}",
-            f"{r.randint(1, 99)} {s} {r.choice(['Lane', 'Road', 'Close'])}, {c} " + self.digits("AA9 9AA"),
-            f"P.O. Box {r.randint(10, 9999)}, {c}",
-            f"PO Box {r.randint(10, 9999)}, {c}",
-            f"Calle {s} {r.randint(1, 99)}, {r.randint(1, 9)}º {r.choice('ABC')}, {c}",
-            f"{s}straße {r.randint(1, 140)}, " + self.digits("99999 ") + c,
-            f"{s}weg {r.randint(1, 140)}, " + self.digits("99999 ") + c,
-            f"{r.randint(1, 99)} rue {s}, " + self.digits("99999 ") + c,
-            f"{r.randint(1, 3000)} {s} {r.choice(['road', 'street', 'lane', 'avenue'])} {c}".lower(),
+            lambda: f"{r.randint(1, 4000)} {s} {r.choice(['Street', 'Avenue', 'Road', 'Lane', 'St.', 'Ave.', 'Drive', 'Rd.', 'Court', 'Boulevard'])}, {c}",
+            lambda: f"{r.randint(1, 4000)} {s} {r.choice(['Avenue', 'Street', 'Road'])}, Apt {r.randint(1, 40)}{r.choice('ABC')}, {c}",
+            lambda: f"{r.randint(1, 99)} {s} {r.choice(['Lane', 'Road', 'Close'])}, {c} " + self.digits("AA9 9AA"),
+            lambda: f"P.O. Box {r.randint(10, 9999)}, {c}",
+            lambda: f"PO Box {r.randint(10, 9999)}, {c}",
+            lambda: f"Calle {s} {r.randint(1, 99)}, {r.randint(1, 9)}º {r.choice('ABC')}, {c}",
+            lambda: f"{s}straße {r.randint(1, 140)}, " + self.digits("99999 ") + c,
+            lambda: f"{s}weg {r.randint(1, 140)}, " + self.digits("99999 ") + c,
+            lambda: f"{r.randint(1, 99)} rue {s}, " + self.digits("99999 ") + c,
+            lambda: f"{r.randint(1, 3000)} {s} {r.choice(['road', 'street', 'lane', 'avenue'])} {c}".lower(),
         ]
-        return r.choice(kinds)
+        return r.choice(kinds)()
 
     def company(self) -> str:
         s = self.syllables().capitalize()
@@ -457,19 +458,61 @@ class _Maker:
         r, d = self.r, self.digits
         t = d("AAAA")
         kinds = [
-            f"Volume was {r.randint(1, 900)},{d('999,999')} today.", f"Order #{d('9999-99-9999')} still pending.", f"The {r.randint(1, 12):02d}-{r.randint(1, 28):02d}-2023 expiry is the one.",
-            f"Filing {d('9999999999-99-999999')}, page {r.randint(1, 90)}.", f"ISIN {d('AA9999999999')} if your broker needs it.", f"Built on version {d('9.99.9.9')} of the screener.",
-            f"see https://charts.example/v/{d('9999999999')} for the picture", f"{d('999 999')} shares short at {d('9999')} brokers", f"{d('999/999')} call spread, {r.randint(2, 90)} lots.",
-            f"Support at {d('9999')}, resistance at {d('9999')}, {r.randint(2, 30)} days out.", f"Entry@{d('99.99')}, exit@{d('999.99')}.", f"{self.company()} earnings were fine, guidance was not.",
-            f"Loaded up on {self.company()} this morning, {r.randint(2, 99)} shares at ${d('999.99')}.", f"Thanks {self.given()}, good call last time.", f"Regards, {self.given()} {r.choice('ABCDEFG')}.", "Main Street always pays for Wall Street.",
-            f"The {r.randint(2, 90)} {self.city()} stores are the problem.", f"ask u/{self.syllables()} about it", f"follow @{self.syllables()} for the recap", f"{self.company()} is the parent.", f"I think {t} runs to ${d('999.99')} before it cools off.",
-            f"What happened to {self.company()} last quarter?", f"{self.given()} told me to hold.", f"{self.given()} sold everything in March.", f"Case {d('9999-999999')} was dismissed.", f"Tracking {d('AA999999999AA')} says delivered.", f"{self.company()} reports on Tuesday.",
-            f"invoice {d('99999999')} is open", f"server {d('999.99.99.9')} is down", f"Wall Street and Main Street disagree about {self.company()}.", f"The {self.city()} plant opens in {r.choice(['March', 'June', 'May'])} 2024.", f"{r.choice(['April', 'May', 'June', 'Grace', 'Will', 'Mark', 'Frank', 'Max'])} {r.choice(['calls', 'puts', 'pain', 'earnings', 'period', 'again'])} are cheap.",
-            f"{self.company()} up {r.randint(2, 40)}% today", f"part {r.randint(1, 20)} of the series", f"since 2023-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} nothing moved", f"Basket: {self.company()}, {t}.", f"Same goes for {self.company()}.", f"cusip {d('99999A999')} settled", f"Convince me not to sell {self.company()}",
-            f"Pairing it with {self.company()}.", f"Not touching {self.company()} until it reclaims ${d('999')}.", f"Anyone still holding {self.company()} from ${d('99')}?", f"Bought from {self.company()} by {self.company()}.", f"If {self.company()} closes above ${d('99')} I will eat my hat.", f"{self.company()} raised the dividend.", f"let me know what I miss. {self.syllables().capitalize()} next",
-            f"Dr. Doom was right about {t}.", f"{self.city()} is a nice place.", f"the road to ${d('999')} is long", f"{r.randint(2, 30)} days in court", f"Order {d('99999999')} filled at {d('99.99')}", f"ticket {d('9999999')} closed", f"{d('9.999.999')} shares outstanding",
+            lambda: f"Volume was {r.randint(1, 900)},{d('999,999')} today.",
+            lambda: f"Order #{d('9999-99-9999')} still pending.",
+            lambda: f"The {r.randint(1, 12):02d}-{r.randint(1, 28):02d}-2023 expiry is the one.",
+            lambda: f"Filing {d('9999999999-99-999999')}, page {r.randint(1, 90)}.",
+            lambda: f"ISIN {d('AA9999999999')} if your broker needs it.",
+            lambda: f"Built on version {d('9.99.9.9')} of the screener.",
+            lambda: f"see https://charts.example/v/{d('9999999999')} for the picture",
+            lambda: f"{d('999 999')} shares short at {d('9999')} brokers",
+            lambda: f"{d('999/999')} call spread, {r.randint(2, 90)} lots.",
+            lambda: f"Support at {d('9999')}, resistance at {d('9999')}, {r.randint(2, 30)} days out.",
+            lambda: f"Entry@{d('99.99')}, exit@{d('999.99')}.",
+            lambda: f"{self.company()} earnings were fine, guidance was not.",
+            lambda: f"Loaded up on {self.company()} this morning, {r.randint(2, 99)} shares at ${d('999.99')}.",
+            lambda: f"Thanks {self.given()}, good call last time.",
+            lambda: f"Regards, {self.given()} {r.choice('ABCDEFG')}.",
+            lambda: "Main Street always pays for Wall Street.",
+            lambda: f"The {r.randint(2, 90)} {self.city()} stores are the problem.",
+            lambda: f"ask u/{self.syllables()} about it",
+            lambda: f"follow @{self.syllables()} for the recap",
+            lambda: f"{self.company()} is the parent.",
+            lambda: f"I think {t} runs to ${d('999.99')} before it cools off.",
+            lambda: f"What happened to {self.company()} last quarter?",
+            lambda: f"{self.given()} told me to hold.",
+            lambda: f"{self.given()} sold everything in March.",
+            lambda: f"Case {d('9999-999999')} was dismissed.",
+            lambda: f"Tracking {d('AA999999999AA')} says delivered.",
+            lambda: f"{self.company()} reports on Tuesday.",
+            lambda: f"invoice {d('99999999')} is open",
+            lambda: f"server {d('999.99.99.9')} is down",
+            lambda: f"Wall Street and Main Street disagree about {self.company()}.",
+            lambda: f"The {self.city()} plant opens in {r.choice(['March', 'June', 'May'])} 2024.",
+            lambda: f"{r.choice(['April', 'May', 'June', 'Grace', 'Will', 'Mark', 'Frank', 'Max'])} {r.choice(['calls', 'puts', 'pain', 'earnings', 'period', 'again'])} are cheap.",
+            lambda: f"{self.company()} up {r.randint(2, 40)}% today",
+            lambda: f"part {r.randint(1, 20)} of the series",
+            lambda: f"since 2023-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} nothing moved",
+            lambda: f"Basket: {self.company()}, {t}.",
+            lambda: f"Same goes for {self.company()}.",
+            lambda: f"cusip {d('99999A999')} settled",
+            lambda: f"Convince me not to sell {self.company()}",
+            lambda: f"Pairing it with {self.company()}.",
+            lambda: f"Not touching {self.company()} until it reclaims ${d('999')}.",
+            lambda: f"Anyone still holding {self.company()} from ${d('99')}?",
+            lambda: f"Bought from {self.company()} by {self.company()}.",
+            lambda: f"If {self.company()} closes above ${d('99')} I will eat my hat.",
+            lambda: f"{self.company()} raised the dividend.",
+            lambda: f"let me know what I miss. {self.syllables().capitalize()} next",
+            lambda: f"Dr. Doom was right about {t}.",
+            lambda: f"{self.city()} is a nice place.",
+            lambda: f"the road to ${d('999')} is long",
+            lambda: f"{r.randint(2, 30)} days in court",
+            lambda: f"Order {d('99999999')} filled at {d('99.99')}",
+            lambda: f"ticket {d('9999999')} closed",
+            lambda: f"{d('9.999.999')} shares outstanding",
         ]
-        return r.choice(kinds)
+        return r.choice(kinds)()
 
     def sample(self) -> tuple[str, list[tuple[int, int, str]]]:
         """A text of one to four sentences with the spans (start, end, kind) of its personal information."""
@@ -564,7 +607,7 @@ def find_table(rows: DataFrame, texts: Sequence[str], found: bool = True, redact
 
 def found_kinds(rows: DataFrame, finder: Finder | None = None) -> DataFrame:
     """(id, kind) of records: every delivered row is searched where it lies, then the newest row of an id counts."""
-    kinds = find_table(rows.select("text", "id", "ingested_at"), ["text"], finder=finder)
+    kinds = find_table(spread(rows.select("text", "id", "ingested_at")), ["text"], finder=finder)
     newest = latest_records(kinds, "id", "ingested_at", ["kinds"])
     return newest.select("id", F.explode("kinds").alias("kind"))
 

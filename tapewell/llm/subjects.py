@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewell.session import spread
+
 TERMS = Path(__file__).with_name("data") / "subject_terms.txt"
 #: Figures of speech hide what they contain; a passing remark takes its sentence out.
 HIDDEN, PASSING = "-", "?"
@@ -215,7 +217,7 @@ def document_subjects(documents: DataFrame, key: str, text: str, labels: DataFra
             yield pd.DataFrame(rows, columns=["key", "subject", "sentences", "score"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInPandas(run, f"key {kind}, subject string, sentences int, score double").withColumnRenamed("key", key)
+    return spread(documents.select(key, text)).mapInPandas(run, f"key {kind}, subject string, sentences int, score double").withColumnRenamed("key", key)
 
 
 def corpus_shares(found: DataFrame, documents: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tapewell.session import spread
+
 #: Where the vocabulary files lie; the path is a parameter of every function here.
 DEFAULT_FOLDER = "/opt/tokenizers"
 
@@ -73,7 +75,7 @@ def decode(ids, path: str) -> bytes:
 def encode_table(documents: DataFrame, key: str, text: str, folder: str = DEFAULT_FOLDER, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """(key, ids): one row for every row of ``documents``; no shuffle, nothing is collected.
 
-    Null and empty texts have the empty list. Texts are encoded whole, whatever their length. Arrow batches
+    A table too small to be split is spread over the cores. Null and empty texts have the empty list. Texts are encoded whole, whatever their length. Arrow batches
     pass through ``mapInArrow``; ids leave as one flat buffer with offsets instead of Python lists of rows.
     The key may be of any type, may be null or repeat, and may be named like a result column: the order of columns is
     fixed, key first. Files are read by the workers, so the folder must
@@ -93,7 +95,7 @@ def encode_table(documents: DataFrame, key: str, text: str, folder: str = DEFAUL
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
 
     shape = f"key {documents.schema[key].dataType.simpleString()}, ids array<int>"
-    return documents.select(key, text).mapInArrow(run, shape).withColumnRenamed("key", key)
+    return spread(documents.select(key, text)).mapInArrow(run, shape).withColumnRenamed("key", key)
 
 
 def count_table(documents: DataFrame, key: str, text: str, folder: str = DEFAULT_FOLDER, vocabulary: str = "byte_bpe_50k") -> DataFrame:
@@ -106,7 +108,7 @@ def count_table(documents: DataFrame, key: str, text: str, folder: str = DEFAULT
             yield pd.DataFrame({"key": frame.iloc[:, 0], "n_tokens": pd.array(lengths, "int64")})
 
     shape = f"key {documents.schema[key].dataType.simpleString()}, n_tokens bigint"
-    return documents.select(key, text).mapInPandas(run, shape).withColumnRenamed("key", key)
+    return spread(documents.select(key, text)).mapInPandas(run, shape).withColumnRenamed("key", key)
 
 
 def decode_table(encoded: DataFrame, key: str, ids: str, folder: str = DEFAULT_FOLDER, vocabulary: str = "byte_bpe_50k") -> DataFrame:

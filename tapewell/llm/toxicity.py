@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewell.operators.records import latest_records
+from tapewell.session import spread
 
 _DATA = Path(__file__).with_name("data")
 #: Labelled texts read on the driver: a documented bound, a larger table is refused.
@@ -493,7 +494,7 @@ def scored_records(rows: DataFrame, labels: DataFrame, keep: Sequence[str] = (),
 
     So only ids, scores and the columns to keep are shuffled, never texts.
     """
-    scored = score_table(rows.select("id", "ingested_at", "text", *keep), "text", labels, spans)
+    scored = score_table(spread(rows.select("id", "ingested_at", "text", *keep)), "text", labels, spans)
     return latest_records(scored, "id", "ingested_at", ["score", "flagged", *(["spans"] if spans else []), *keep])
 
 
