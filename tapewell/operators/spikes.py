@@ -156,5 +156,8 @@ def faulty_bars(rows: DataFrame, source: str, date: str, fields: Sequence[str] =
         return out[pdf["own"].to_numpy(bool) & (out["impossible"] | out["spike"] | out["stuck"]).to_numpy()]
 
     shape = f"source {kind}, date date, impossible boolean, spike boolean, stuck boolean, field string, deviation double"
-    judged = spread.select("source", "date", "x0", "x1", "x2", "x3", F.col("at.b").alias("b"), F.col("at.own").alias("own")).groupBy("source", "b").applyInPandas(one, shape)
+    flat = spread.select("source", "date", "x0", "x1", "x2", "x3", F.col("at.b").alias("b"), F.col("at.own").alias("own"))
+    # a fixed number of partitions: coalescing by bytes would leave the work in Python to few tasks
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    judged = flat.repartition(parts, "source", "b").groupBy("source", "b").applyInPandas(one, shape)
     return judged.withColumnsRenamed({"source": source, "date": date})
