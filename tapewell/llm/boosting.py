@@ -15,9 +15,10 @@ class BoostedTrees:
         self.limits = np.zeros((0, 2**depth - 1))
         self.leaves = np.zeros((0, 2**depth))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
         n, m = x.shape
-        share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+        w = np.ones(n) if weight is None else weight
+        share = min(max(float(np.average(y, weights=w)), 1e-3), 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.cuts + 1)[1:-1])) for j in range(m)]
         # distinct values of small domains are cut between each other
@@ -30,7 +31,7 @@ class BoostedTrees:
         margin = np.full(n, self.base)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-margin))
-            g, h = y - p, p * (1 - p) + 1e-6
+            g, h = w * (y - p), w * (p * (1 - p) + 1e-6)
             node = np.zeros(n, int)
             f, c, b = np.zeros(inner, np.int32), np.full(inner, np.inf), np.full(inner, width)
             for level in range(self.depth):

@@ -54,8 +54,15 @@ _STREET_WORDS = [
     *(f" {w}" for w in ("street", "st", "avenue", "ave", "road", "rd", "lane", "ln", "drive", "dr", "court", "ct", "way", "boulevard", "blvd", "place", "pl", "square", "sq", "terrace", "close", "crescent", "parkway", "highway", "hwy", "rue ", "chemin ", "allée ", "impasse ", "quai ", "bp ")),
     *("box ", "postfach", "apartado", "calle ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "c/", "straße", "strasse", "str. ", "weg ", "platz ", "allee ", "gasse ", "damm ", "ufer ", "boîte postale"),
 ]
-_TITLED = re.compile(rf"\b(?P<title>Miss|(?:[Mm]r|[Mm]rs|[Mm]s|[Dd]r|[Pp]rof|MR|MRS|MS|DR|Sra?|Mme|Mlle)\b\.?|Professor|Herr|Frau|Señora?|Monsieur|Madame|Sir) (?P<a>{_L}[\w'’-]+)(?: (?P<b>{_L}[\w'’-]+))?")
-_PAIR = re.compile(r"(?<![\w@/.$#])(?P<a>[A-ZÀ-Þ][a-zß-ÿ]{1,14}) (?P<b>[A-ZÀ-Þ][a-zß-ÿ'’]+(?:[-'’][A-ZÀ-Þ][a-zß-ÿ]+)?)(?![\w@])")
+_PARTICLES = "van|von|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|bin|ibn|al|el|af|av|zu|y"
+_PART = r"[^\W\d_](?:[\w'’̀-ͯ-]*[^\W\d_][̀-ͯ]*)?"
+#: Nothing is consumed, so that a title after a name begins a candidate of its own.
+_TITLED = re.compile(
+    r"\b(?=(?P<title>Miss|(?:[Mm]r|[Mm]rs|[Mm]s|[Dd]r|[Pp]rof|MR|MRS|MS|DR|Sra?|Mme|Mlle)\b\.?|Professor|Herr|Frau|Señora?|Monsieur|Madame|Sir) "
+    rf"(?P<lead>(?:{_L}\. ?){{0,3}})(?P<a>{_L}[\w'’̀-ͯ-]+)(?P<mid>(?: (?:{_L}(?!\w)\.?|(?:{_PARTICLES})(?!\w))){{0,3}})(?: (?P<b>{_L}[\w'’̀-ͯ-]+)(?: (?P<c>{_L}[\w'’̀-ͯ-]+))?)?)"
+)
+_NAME_PART = re.compile(_PART)
+_PRIOR, _MORE = re.compile(rf"({_L}[\w'’-]+) $"), re.compile(rf" ({_L}[\w'’-]+)")
 _WORD = re.compile(rf"{_L}(?:[\w'’-]*{_L})?")
 
 
@@ -93,6 +100,9 @@ _SETS = {k: frozenset(v.split()) for k, v in _SETS.items()}
 
 
 _HAS_DIGIT = re.compile(r"\d")
+_PARTICLE_SET = frozenset(_PARTICLES.split("|"))
+#: Middle names between a given and a family name, initials and particles not counted; and all of these together.
+_MIDDLE_NAMES, _MIDDLE = 2, 4
 _STOP = re.compile(r"[.!?]\s|\n")
 
 
@@ -103,32 +113,52 @@ class Candidate:
         self.kind, self.start, self.end, self.x = kind, start, end, x
 
 
-def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """Words before (nearest first) and after, within the record and the sentence."""
-    left, right = text[max(0, start - 45) : start], text[end : end + 30]
-    left, right = left[left.rfind(_RECORD) + 1 :], right.split(_RECORD, 1)[0]
+_TOKEN, _TOKEN_OR_DASHES = re.compile(r"[\w'’-]+"), re.compile(r"[\w'’-]+|--")
+
+
+def _before(text: str, start: int) -> list[str]:
+    left = text[max(0, start - 45) : start]
+    left = left[left.rfind(_RECORD) + 1 :]
     last = 0
     for m in _STOP.finditer(left):
         if not left.endswith(("no.", "No.", "nr.", "Nr."), 0, m.start() + 1):
             last = m.end()
-    left = left[last:]
+    return [w.lower() for w in _TOKEN_OR_DASHES.findall(left, last)][::-1][:6]
+
+
+def _after(text: str, end: int) -> list[str]:
+    right = text[end : end + 30].split(_RECORD, 1)[0]
     stop = _STOP.search(right)
     right = right[: stop.start()] if stop else right
-    return [w.lower() for w in re.findall(r"[\w'’-]+|--", left)][::-1][:6], [w.lower() for w in re.findall(r"[\w'’-]+", right)][:3]
+    return [w.lower() for w in _TOKEN.findall(right)][:3]
 
 
-def _cues(before: Sequence[str], after: Sequence[str]) -> list[float]:
-    out = []
-    for name in ("mail", "phone", "id", "not", "live", "who"):
-        words = _SETS[name]
-        near = next((i for i, w in enumerate(before) if w in words), 9)
-        out.append(float(9 - near))
-    out.append(float(any(w in _SETS["not"] for w in after)))
-    out.append(float(bool(after) and after[0] in _SETS["did"]))
-    out.append(float(sum(w in _SETS["firm"] for w in after[:2])))
+def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """Words before (nearest first) and after, within the record and the sentence."""
+    return _before(text, start), _after(text, end)
+
+
+_CUES = ("mail", "phone", "id", "not", "live", "who")
+_CUES_OF = {w: [i for i, k in enumerate(_CUES) if w in _SETS[k]] for k in _CUES for w in _SETS[k]}
+
+
+def _cues_before(before: Sequence[str]) -> list[float]:
+    """How near the nearest word of each set is."""
+    out = [0.0] * len(_CUES)
+    for i, w in enumerate(before):
+        for k in _CUES_OF.get(w, ()):
+            out[k] = out[k] or float(9 - i)
     return out
 
 
+def _cues_after(after: Sequence[str]) -> list[float]:
+    return [float(any(w in _SETS["not"] for w in after)), float(bool(after) and after[0] in _SETS["did"]), float(sum(w in _SETS["firm"] for w in after[:2]))]
+
+
+def _cues(before: Sequence[str], after: Sequence[str]) -> list[float]:
+    return _cues_before(before) + _cues_after(after)
+
+
 def _email(text: str) -> Iterator[Candidate]:
     for m in _AT.finditer(text):
         start = max(0, m.start() - 64)
@@ -240,78 +270,172 @@ class Finder:
         self.models: dict[str, BoostedTrees] = {}
         self.thresholds = {k: 0.5 for k in KINDS}
         self._automaton = None
+        self._possible: dict[tuple, bool] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None}
+        return self.__dict__ | {"_automaton": None, "_possible": {}}
+
+    def _word(self, w: str) -> tuple[bool, bool, bool, float, float, bool]:
+        """Given name, common, of a company, shape, length, particle."""
+        low = w.lower()
+        shape = 0.0 if not w else 3.0 if w.isupper() and len(w) > 1 else 2.0 if w[0].isupper() else 1.0
+        return low in _first_names(), low in _common(self.folder), low in _SETS["firm"], shape, float(min(len(w), 30)), low in _PARTICLE_SET
+
+    @staticmethod
+    def _own(title: bool, order: float, given: tuple, family: tuple, mid: tuple) -> list[float]:
+        """Features of the words themselves; ``mid`` counts initials, particles, names, common words and small letters."""
+        return [
+            float(title), order, float(given[0]), float(given[1]), float(given[2]), given[3], given[4],
+            float(family[0]), float(family[1]), float(family[2]), family[3], family[4], *map(float, mid),
+        ]
 
-    def _name(self, title: str, a: str, b: str, order: float, text: str, start: int, end: int) -> list[float]:
-        common, first = _common(self.folder), _first_names()
-        before, after = _around(text, start, end)
-        given, family = (b, a) if order else (a, b)
-        shape = lambda w: 0.0 if not w else 1.0 if w.islower() else 3.0 if w.isupper() and len(w) > 1 else 2.0
+    def _left(self, text: str, start: int) -> list[float]:
+        prior = _PRIOR.search(text[max(0, start - 24) : start])
+        prior = prior[1].lower() if prior and prior[1][0].isupper() else ""
+        return [
+            float(bool(prior)), float(prior in _SETS["firm"]), float(prior in _common(self.folder)),
+            float(text[start - 1 : start] in "@/#$." if start else False), float(text[max(0, start - 3) : start] == "-- "),
+        ] + _cues_before(_before(text, start))
+
+    def _right(self, text: str, end: int) -> list[float]:
         follow = text[end : end + 24]
-        more = re.match(r" ([A-ZÀ-Þ][\w'’-]+)", follow)
-        prior = re.search(r"([A-ZÀ-Þ][\w'’-]+) $", text[max(0, start - 24) : start])
+        more = _MORE.match(follow)
+        more = more[1].lower() if more and more[1][0].isupper() else ""
         return [
-            float(bool(title)), order, float(given.lower() in first), float(bool(family) and family.lower() in common), float(bool(given) and given.lower() in common),
-            shape(given), shape(family), float(len(family)), float(bool(more)), float(bool(more) and more[1].lower() in _SETS["firm"]),
-            float(family.lower() in _SETS["firm"]), float(given.lower() in _SETS["firm"]), float(bool(prior)), float(bool(prior) and prior[1].lower() in _SETS["firm"]),
-            float(family.lower() in first), float(text[start - 1 : start] in "@/#$." if start else False),
-            float(bool(re.match(r"[@\w]", follow))), float(text[max(0, start - 3) : start] == "-- "),
-        ] + _cues(before, after)
-
-    def _hits(self, text: str) -> tuple[str, list[tuple[int, int]], list[int]]:
-        """The text in lower case, ends and lengths of given names, and places of street words: one scan for all."""
+            float(bool(more)), float(more in _SETS["firm"]), float(more in _common(self.folder)),
+            float(bool(follow) and (follow[0] in "@_" or follow[0].isalnum())), float(follow[:1] == ","),
+        ] + _cues_after(_after(text, end))
+
+    def _context(self, text: str, start: int, end: int) -> list[float]:
+        return self._left(text, start) + self._right(text, end)
+
+    def _can_be(self, own: list[float]) -> bool:
+        """False if no context whatever could lift a candidate with these words to the threshold: the sum of the best leaves
+        that the trees can reach stays below it. What is left out so, the trees would have refused."""
+        model = self.models.get("name")
+        if model is None:
+            return True
+        x = np.array(own)
+        known = model.features < len(x)
+        right = x[np.where(known, model.features, 0)] > model.limits
+        fits = np.ones((len(model.leaves), 1), bool)
+        for level in range(model.depth):
+            at = slice(2**level - 1, 2 ** (level + 1) - 1)
+            low, high = fits & (~known[:, at] | ~right[:, at]), fits & (~known[:, at] | right[:, at])
+            fits = np.stack([low, high], 2).reshape(len(low), -1)
+        top = model.base + np.where(fits, model.leaves, -np.inf).max(1).sum()
+        return 1 / (1 + np.exp(-top)) >= self.thresholds["name"] - 1e-9
+
+    def _hits(self, text: str) -> list[int]:
+        """Places of street words: one scan for all."""
         import ahocorasick
 
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
             for word in _STREET_WORDS:
                 self._automaton.add_word(word, 0)
-            for name in _first_names():
-                self._automaton.add_word(name, len(name))
             self._automaton.make_automaton()
         lower = text.lower()
         if len(lower) != len(text):  # a few capitals have longer small forms
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        names, streets = [], []
-        for end, length in self._automaton.iter(lower):
-            if length:
-                names.append((end, length))
-            else:
-                streets.append(end)
-        return lower, names, streets
-
-    def _names(self, text: str, lower: str, hits: list[tuple[int, int]]) -> Iterator[Candidate]:
+        return [end for end, _ in self._automaton.iter(lower)]
+
+    def _names(self, text: str) -> Iterator[Candidate]:
+        nothing = self._word("")
         for m in _TITLED.finditer(text):
-            a, b = m["a"], m["b"] or ""
+            a, b, c = m["a"], m["b"] or "", m["c"] or ""
             if not a[0].isupper() and a.lower() in _common(self.folder):
                 continue
-            if b and (b[0].isupper() or not a[0].isupper()):
-                yield Candidate("name", m.start(), m.end(), self._name(m["title"], a, b, 0.0, text, m.start(), m.end()))
+            first, initials = self._word(a), len(re.findall(_L, m["lead"]))
             end = m.end("a")
-            yield Candidate("name", m.start(), end, self._name(m["title"], "", a, 0.0, text, m.start(), end))
-        for m in _PAIR.finditer(text):
-            if m["a"].lower() not in _first_names():
-                yield Candidate("name", m.start(), m.end(), self._name("", m["a"], m["b"], 0.0, text, m.start(), m.end()))
-        for last, length in hits:
-            start, end = last - length + 1, last + 1
-            if start and (lower[start - 1].isalnum() or lower[start - 1] in "_@/$.-") and not lower[start - 3 : start] == "-- ":
-                continue
-            if end < len(lower) and (lower[end].isalnum() or lower[end] in "_@"):
+            yield Candidate("name", m.start(), end, self._own(True, 0.0, nothing, first, (initials, 0, 0, 0, 0)) + self._context(text, m.start(), end))
+            if b and (b[0].isupper() or not a[0].isupper()):
+                between = re.findall(_PART, m["mid"])
+                short = sum(len(w) == 1 for w in between)
+                mid = (initials + short, len(between) - short, 0, 0, 0)
+                yield Candidate("name", m.start(), m.end("b"), self._own(True, 0.0, first, self._word(b), mid) + self._context(text, m.start(), m.end("b")))
+                if c and (c[0].isupper() or not b[0].isupper()):
+                    second = self._word(b)
+                    mid = (mid[0], mid[1], 1, int(second[1]), int(second[3] == 1.0))
+                    yield Candidate("name", m.start(), m.end("c"), self._own(True, 0.0, first, self._word(c), mid) + self._context(text, m.start(), m.end("c")))
+        yield from self._untitled(text)
+
+    def _untitled(self, text: str) -> Iterator[Candidate]:
+        """Every run of words apart by one space, whatever their letters: given name, initials, middle names, particles, family
+        name; and every two words around a comma. No list decides, only the trees; runs that they can't accept are skipped."""
+        spans = [m.span() for m in _NAME_PART.finditer(text)]
+        seen: dict[str, tuple] = {}
+        words: list[tuple] = []
+        for a, b in spans:
+            w = text[a:b]
+            got = seen.get(w)
+            if got is None:
+                got = seen[w] = self._word(w)
+            words.append(got)
+        possible, number, size = self._possible, len(spans), len(text)
+        if len(possible) > 500_000:
+            possible.clear()
+        stops = [b >= size or not (text[b].isalnum() or text[b] in "_@") for _, b in spans]
+        rights: dict[int, list[float]] = {}
+        for i in range(number):
+            start, end = spans[i]
+            left = None
+            if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.$#"):
                 continue
-            follow = re.compile(rf" ({_L}(?:[\w'’-]*{_L}))(?![\w@])").match(text, end)
-            if follow and len(follow[1]) > 1:
-                stop = follow.end(1)
-                yield Candidate("name", start, stop, self._name("", text[start:end], follow[1], 0.0, text, start, stop))
-            prior = re.search(rf"(?<![\w@/$])({_L}(?:[\w'’-]*{_L})), $", text[max(0, start - 30) : start])
-            if prior and text[start].isupper() and prior[1][0].isupper():
-                begin = start - len(prior[0])
-                yield Candidate("name", begin, end, self._name("", prior[1], text[start:end], 1.0, text, begin, end))
+            given = words[i]
+            initials = particles = names = common = small = 0
+            j = i + 1
+            while j < number and j - i <= _MIDDLE + 1:
+                here = spans[j][0]
+                gap = here - end
+                if gap == 1 and text[end] == " " or words[j - 1][4] == 1.0 and (gap == 1 and text[end] == "." or gap == 2 and text[end] == "." and text[end + 1] == " "):
+                    pass
+                else:
+                    if j == i + 1 and gap == 2 and text[end] == "," and text[end + 1] == " ":
+                        yield from self._inverted(text, spans, words, stops, i)
+                    break
+                family, end = words[j], spans[j][1]
+                if family[4] > 1.0 and stops[j]:
+                    mid = (initials, particles, names, common, small)
+                    key = (0.0, given, family, mid)
+                    can = possible.get(key)
+                    if can is None:
+                        can = possible[key] = self._can_be(self._own(False, 0.0, given, family, mid))
+                    if can:
+                        left = left or self._left(text, start)
+                        right = rights.pop(end, None) or self._right(text, end)
+                        rights[end] = right
+                        yield Candidate("name", start, end, self._own(False, 0.0, given, family, mid) + left + right)
+                        if len(rights) > 64:
+                            del rights[next(iter(rights))]
+                if family[4] == 1.0:
+                    initials += 1
+                elif family[5]:
+                    particles += 1
+                else:
+                    names, common, small = names + 1, common + family[1], small + (family[3] == 1.0)
+                    if names > _MIDDLE_NAMES:
+                        break
+                j += 1
+
+    def _inverted(self, text: str, spans: list, words: list, stops: list, i: int) -> Iterator[Candidate]:
+        """'Family, Given', with an initial after it or without."""
+        start, end = spans[i][0], spans[i + 1][1]
+        family, given = words[i], words[i + 1]
+        if family[4] == 1.0 or not stops[i + 1]:
+            return
+        follows = i + 2 < len(spans) and spans[i + 2] == (end + 1, end + 2) and text[end] == " " and stops[i + 2] and words[i + 2][3] == 2.0
+        for initials, stop in [(0, end), *([(1, end + 2)] if follows else [])]:
+            mid = (initials, 0, 0, 0, 0)
+            key = (1.0, given, family, mid)
+            can = self._possible.get(key)
+            if can is None:
+                can = self._possible[key] = self._can_be(self._own(False, 1.0, given, family, mid))
+            if can:
+                yield Candidate("name", start, stop, self._own(False, 1.0, given, family, mid) + self._context(text, start, stop))
 
     def candidates(self, text: str) -> list[Candidate]:
-        lower, names, streets = self._hits(text)
-        out = [*_email(text), *_numbers(text), *_address(text, streets), *self._names(text, lower, names)]
+        out = [*_email(text), *_numbers(text), *_address(text, self._hits(text)), *self._names(text)]
         return [c for c in out if _RECORD not in text[c.start : c.end] and "\n" not in text[c.start : c.end]]
 
     def spans(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, str, float]]]:
@@ -376,7 +500,7 @@ class _Maker:
         return f"{s}-{self.syllables(2, 2).capitalize()}" if self.r.random() < 0.03 else s
 
     def given(self) -> str:
-        return self.r.choice(self.first).capitalize() if self.r.random() > 0.1 else self.syllables(1, 2).capitalize()
+        return self.r.choice(self.first).capitalize() if self.r.random() > 0.2 else self.syllables(1, 2).capitalize()
 
     def city(self) -> str:
         s = self.syllables().capitalize()
@@ -384,16 +508,25 @@ class _Maker:
 
     def name(self) -> str:
         a, b, k = self.given(), self.surname(), self.r.random()
+        m = self.r.random()
+        if m < 0.12:
+            a = f"{a} {self.r.choice('ABCDEFGHJKLMNPRSTW')}" + self.r.choice([".", ".", ""])
+        elif m < 0.16:
+            a = f"{a} {self.given()}"
+        elif m < 0.19:
+            b = f"{self.r.choice(['van', 'von', 'de', 'van der', 'de la', 'del', 'di'])} {b}"
+        elif m < 0.21:
+            a = f"{self.r.choice('ABCDEFGHJKLMNPRSTW')}."
         if k < 0.5:
             return f"{a} {b}"
         if k < 0.6:
             return f"{a} {b}".upper()
         if k < 0.68:
             return f"{a} {b}".lower()
-        if k < 0.76:
+        if k < 0.76 and m >= 0.21 or k < 0.76 and m < 0.12 and not a.endswith("."):
             return f"{b}, {a}"
         title = self.r.choice(["Mr.", "Mrs.", "Ms", "Dr.", "Mr", "Mrs", "Prof.", "Miss", "Herr", "Frau", "Ms.", "Dr", "Mme"])
-        return f"{title} {b}" if k < 0.94 else f"{title} {a} {b}"
+        return f"{title} {b}" if k < 0.94 and (m < 0.16 or m >= 0.19) else f"{title} {a} {b}"
 
     def email(self) -> str:
         a, b = self.given().lower(), self.surname().lower()
@@ -451,7 +584,7 @@ class _Maker:
         "phone": ["Call {}.", "My number is {}.", "WhatsApp {} works too.", "tel {}", "text me on {} after six", "reach the desk at {},", "phone: {}", "ring {} tonight", "{} is my cell"],
         "id_number": ["SSN {} was in the leaked sheet.", "The tax office has me as {}.", "ID number: {}", "my national id {} is on the statement", "passport no. {}", "They wanted a passport scan, {} is mine.", "wire it to IBAN {}", "my account is {} if you want to settle", "{} got rejected at onboarding", "they asked for my social, {}, on the form", "broker has me under {} still", "national insurance {}"],
         "address": ["I live at {} and they still sent it twice.", "Statements go to {}.", "Their letter came to {}.", "ship it to {}", "Meet up at {} on Friday.", "he moved to {} last year", "my house is {}"],
-        "name": ["My name is {}, long time reader.", "I went to school with {}.", "{} from accounting leaked it.", "{} signed the form.", "Ask for {} at the branch.", "-- {}", "my neighbour {} told me to sell", "The advisor, {}, never replied.", "Regards, {}", "I spoke to {} yesterday.", "{} is my boss.", "Sincerely, {}", "Dear {}, thank you"],
+        "name": ["My name is {}, long time reader.", "I went to school with {}.", "{} from accounting leaked it.", "{} signed the form.", "Ask for {} at the branch.", "-- {}", "my neighbour {} told me to sell", "The advisor, {}, never replied.", "Regards, {}", "I spoke to {} yesterday.", "{} is my boss.", "Sincerely, {}", "Dear {}, thank you", "Ask {} about it.", "Met {} at work.", "Thank {} for me.", "i think {} knows", "Tell {} to call back."],
     }
 
     def ordinary(self) -> str:
@@ -511,6 +644,18 @@ class _Maker:
             lambda: f"Order {d('99999999')} filled at {d('99.99')}",
             lambda: f"ticket {d('9999999')} closed",
             lambda: f"{d('9.999.999')} shares outstanding",
+            lambda: f"Long {self.city()}, {self.syllables().capitalize()} and {self.company()}.",
+            lambda: f"{self.syllables().capitalize()}, {self.syllables().capitalize()} and {self.city()} are up.",
+            lambda: f"Yesterday, {self.company()} fell. Meanwhile, {self.company()} rose.",
+            lambda: f"{r.choice(['BUY THE DIP', 'TO THE MOON', 'DO NOT SELL', 'HOLD THE LINE'])} {self.company().upper()} {t}",
+            lambda: f"{self.company().upper()} EARNINGS TODAY",
+            lambda: f"anyone following {self.company().lower()} after the split",
+            lambda: f"they call it plan {r.choice('ABC')}. {self.company()} agrees",
+            lambda: f"Regards, {self.given()} {r.choice('ABCDEFG')}. {self.company()} reports on Tuesday.",
+            lambda: f"Thanks {self.given()}, {self.syllables().capitalize()} was a good call.",
+            lambda: f"Die {r.choice(['Aktie', 'Zahlen', 'Anleihe'])} von {r.choice([t, self.company()])} {r.choice(['steigt', 'waren gut', 'bleibt im Depot'])}.",
+            lambda: f"{r.choice(['Las acciones de', 'El informe de', 'Los resultados de', 'Les comptes de', 'Le cours de', 'Il titolo di'])} {r.choice([t, self.company()])} {r.choice(['suben', 'monte', 'sale', 'son buenos'])}.",
+            lambda: f"Chart on {self.syllables().capitalize()} is clean, {self.city()} puts for me.",
         ]
         return r.choice(kinds)()
 
@@ -521,7 +666,8 @@ class _Maker:
             if text:
                 text += self.r.choice([" ", " ", "\n"])
             if self.r.random() < 0.5:
-                text += self.ordinary()
+                said, k = self.ordinary(), self.r.random()
+                text += said.upper() if k < 0.06 else said.lower() if k < 0.16 else said
                 continue
             kind = self.r.choice(KINDS)
             value = {"email": self.email, "phone": self.phone, "id_number": self.identity, "address": self.address, "name": self.name}[kind]()
@@ -555,13 +701,20 @@ def train(folder: str = DEFAULT_FOLDER, size: int = TRAINING, seed: int = 5) ->
         half.append(i % 2)
     for kind, (x, y, half) in rows.items():
         x, y, half = np.array(x), np.array(y, float), np.array(half, bool)
-        finder.models[kind] = BoostedTrees().fit(x[~half], y[~half])
+        used = ~half
+        weight = np.ones(len(y))
+        if kind == "name":  # wrong runs of small letters are many: one in five stands for five
+            small = (x[:, 5] == 1) & (x[:, 10] == 1) & (y == 0)
+            some = np.arange(len(y)) % 5 == 0
+            used, weight = used & (~small | some), np.where(small, 5.0, 1.0)
+        finder.models[kind] = BoostedTrees().fit(x[used], y[used], weight[used])
         p = finder.models[kind].predict(x[half])
         truth = y[half] > 0.5
         grid = np.linspace(0.2, 0.8, 61)
         quality = np.array([2 * (truth & (p >= g)).sum() / max(1, truth.sum() + (p >= g).sum()) for g in grid])
         best = grid[quality >= quality.max() - 0.002]
         finder.thresholds[kind] = float(best[len(best) // 2])
+    finder._possible.clear()  # without models everything was possible
     return finder
 
 

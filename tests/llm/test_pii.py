@@ -104,3 +104,33 @@ def test_odd_long_texts_end_soon(finder, text):
     began = time.perf_counter()
     finder.spans([text])
     assert time.perf_counter() - began < 15
+
+
+@pytest.mark.parametrize(
+    "name,text",
+    [
+        ("Zbigniew Kowalski", "Ask Zbigniew Kowalski about it."),
+        ("John A. Smith", "My name is John A. Smith, hello."),
+        ("Ludwig van Beethoven", "I spoke to Ludwig van Beethoven yesterday."),
+        ("Dr. John A. Smith", "Ask for Dr. John A. Smith at the branch."),
+        ("zbigniew kowalczyk", "my neighbour zbigniew kowalczyk told me to sell"),
+        ("ZBIGNIEW KOWALCZYK", "-- ZBIGNIEW KOWALCZYK"),
+        ("Kowalczyk, Zbigniew", "The advisor, Kowalczyk, Zbigniew, never replied."),
+        ("Łukasz Żółtowski", "Regards, Łukasz Żółtowski"),
+        ("Maximilianusfriedrich Hartenbauer", "Dear Maximilianusfriedrich Hartenbauer, thank you"),
+    ],
+)
+def test_names_that_no_list_holds(finder, name, text):
+    assert [text[a:b] for a, b, kind, _ in finder.spans([text])[0] if kind == "name"] == [name]
+
+
+def test_runs_left_out_are_those_the_trees_refuse(finder):
+    import pickle
+
+    maker = pii._Maker(78)
+    text = pii._RECORD.join(maker.sample()[0] for _ in range(200))
+    all_of_them = pickle.loads(pickle.dumps(finder))
+    all_of_them._can_be = lambda own: True
+    kept = {(c.start, c.end) for c in finder.candidates(text) if c.kind == "name"}
+    more = [c for c in all_of_them.candidates(text) if c.kind == "name" and (c.start, c.end) not in kept]
+    assert more and finder.models["name"].predict(np.array([c.x for c in more])).max() < finder.thresholds["name"]
