@@ -396,12 +396,13 @@ class LikelihoodRatio:
     lr: float
     df: int
     p_value: float
+    converged: bool  # both fits
 
 
 def likelihood_ratio(parameter: str, restricted: PanelGarchResult, unrestricted: PanelGarchResult) -> LikelihoodRatio:
     lr = max(0.0, 2 * (unrestricted.loglik - restricted.loglik))
     df = unrestricted.n_params - restricted.n_params
-    return LikelihoodRatio(parameter, restricted.loglik, unrestricted.loglik, lr, df, chi2_upper(lr, df))
+    return LikelihoodRatio(parameter, restricted.loglik, unrestricted.loglik, lr, df, chi2_upper(lr, df), restricted.converged and unrestricted.converged)
 
 
 def pooling_tests(stocks: DataFrame, base: GarchSpec, parameters: Sequence[str] = ("alpha", "beta", "delta"), rounds: int = 60) -> list[LikelihoodRatio]:

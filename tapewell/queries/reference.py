@@ -685,18 +685,28 @@ def regression_summary(spark, folder):
 
 
 _SPEC = garch.GarchSpec(exog=(), min_obs=30)
+_SPEC_X = garch.GarchSpec(exog=("attention_std", "sentiment_pos_std", "sentiment_neg_std"), min_obs=30)
+
+
+def _garch_table(spark, fit: garch.PanelGarchResult) -> DataFrame:
+    return spark.createDataFrame(fit.stock_table().assign(rounds=fit.rounds, converged=fit.converged))
 
 
 @query()
 def garch_panel_fit(spark, folder):
-    """Panel GARCH with a pooled alpha: every stock's parameters, likelihood and persistence."""
-    stocks = garch.stock_arrays(_returns(spark, folder), _SPEC)
-    return spark.createDataFrame(garch.fit_panel(stocks, _SPEC, rounds=3).stock_table())
+    """Panel GARCH with a pooled alpha: every stock's parameters, likelihood and persistence, and whether the fit converged."""
+    return _garch_table(spark, garch.fit_panel(garch.stock_arrays(_returns(spark, folder), _SPEC), _SPEC))
+
+
+@query()
+def garch_x_panel_fit(spark, folder):
+    """The same with attention and sentiment of the panel in the variance (GARCH-X), their effects by stock."""
+    return _garch_table(spark, garch.fit_panel(garch.stock_arrays(full_panel(spark, folder), _SPEC_X), _SPEC_X))
 
 
 @query()
 def lr_test_table(spark, folder):
-    """Likelihood-ratio test of one alpha for all stocks."""
-    stocks = garch.stock_arrays(_returns(spark, folder), _SPEC)
-    tests = garch.pooling_tests(stocks, _SPEC, ("alpha",), rounds=3)
-    return spark.createDataFrame([(t.parameter, t.restricted, t.unrestricted, t.lr, t.df, t.p_value) for t in tests], "parameter string, restricted double, unrestricted double, lr double, df bigint, p_value double")
+    """Likelihood-ratio tests of one alpha, one beta and one effect of each exogenous column for all stocks."""
+    tests = garch.pooling_tests(garch.stock_arrays(full_panel(spark, folder), _SPEC_X), _SPEC_X)
+    rows = [(t.parameter, t.restricted, t.unrestricted, t.lr, t.df, t.p_value, t.converged) for t in tests]
+    return spark.createDataFrame(rows, "parameter string, restricted double, unrestricted double, lr double, df bigint, p_value double, converged boolean")

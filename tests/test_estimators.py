@@ -132,3 +132,31 @@ def test_panel_fit_recovers_parameters_and_tests_pooling(spark):
     assert garch.stock_errors(stocks, fit).count() == 6
     assert garch.conditional_variances(stocks, fit).count() == 4500
     assert garch.fit_panel(garch.stock_arrays(panel, garch.GarchSpec(min_obs=9999)), spec, rounds=1).n_obs == 0
+
+
+def test_queries_fit_until_convergence(spark, monkeypatch):
+    import inspect
+
+    import pandas as pd
+
+    from tapewell.queries import reference
+
+    signature, calls = inspect.signature(garch.fit_panel), []
+
+    def fit(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        spec = bound.arguments["spec"]
+        calls.append((spec, bound.arguments["rounds"]))
+        own = pd.DataFrame([{"ticker": "A", "n_obs": 40, "loglik": 1.0, **{n: 0.1 for n in spec.names}}])
+        return garch.PanelGarchResult(spec, {}, own, 1.0, 7, len(calls) == 1, 39)
+
+    monkeypatch.setattr(reference, "_returns", lambda *a: None)
+    monkeypatch.setattr(reference, "full_panel", lambda *a: None)
+    monkeypatch.setattr(garch, "stock_arrays", lambda *a: None)
+    monkeypatch.setattr(garch, "fit_panel", fit)
+    assert reference.garch_panel_fit(spark, "").first()["converged"] is True
+    assert "delta_attention_std" in reference.garch_x_panel_fit(spark, "").columns
+    tests = reference.lr_test_table(spark, "").collect()
+    assert [r["parameter"] for r in tests] == ["alpha", "beta", "delta"] and not any(r["converged"] for r in tests)
+    assert {rounds for _, rounds in calls} == {60} and all(len(s.exog) == 3 for s, _ in calls[1:])
