@@ -117,12 +117,8 @@ class Matcher:
         return {k: v / length for k, v in total.items()}
 
     def subjects(self, sentence: str) -> dict[str, float]:
-        """Subjects that the sentence is about: above their limit, and not far behind the leading subject."""
-        scores = self.score(sentence)
-        if not scores:
-            return {}
-        best = max(scores.values())
-        return {k: v for k, v in scores.items() if v >= self.limits.get(k, 1.5) and v >= 0.6 * best}
+        """Subjects that the sentence is about: every one at or above its limit."""
+        return {k: v for k, v in self.score(sentence).items() if v >= self.limits.get(k, 1.5)}
 
     def document(self, text: str | None) -> dict[str, tuple[int, float]]:
         """subject -> (sentences about it, sum of their scores)."""
@@ -179,7 +175,7 @@ def fit(labels: Iterable[tuple[str | None, str | None]], terms: dict[str, dict[s
             wrong = sum(row[k] >= limit and s != subject for row, (_, s) in zip(best, rows))
             quality.append(2 * hit / max(1, hit + wrong + sum(s == subject for _, s in rows)))
         top = [g for g, q in zip(grid, quality) if q >= max(quality) - 0.005]
-        limits[subject] = min(max(top[len(top) // 2], 1.2), 1.9)
+        limits[subject] = top[len(top) // 2]
     matcher.limits = limits
     matcher.settings = (terms, rarity, limits)
     return matcher

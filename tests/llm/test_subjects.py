@@ -79,3 +79,14 @@ def test_without_labels_and_odd_long_texts():
     assert set(model.document("The surgeon left the clinic. The nurse stayed with the patients.")) == {"health"}
     for text in ("a" * 500_000, ". " * 200_000, "surgeon " * 60_000, "<b" * 100_000, "Ã" * 200_000):
         model.document(text)
+
+
+def test_a_stronger_subject_does_not_hide_another():
+    matcher = subjects.Matcher({"law": {"jury": 3.0, "bribe": 3.0}, "software": {"compiler": 3.0}}, limits={"law": 1.9, "software": 1.9})
+    assert matcher.subjects(" jury bribe compiler ") == {"law": 6.0, "software": 3.0}
+
+
+def test_limits_are_those_of_the_labels():
+    terms = {"law": {"jury": 3.0, "gavel": 2.2}, "software": {"compiler": 3.0}}
+    model = subjects.fit([("The jury.", "law")] * 3 + [("A gavel and a compiler.", "software")] * 3, terms)
+    assert model.limits["law"] > 2.2
