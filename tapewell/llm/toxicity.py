@@ -57,6 +57,10 @@ def read_classes(path: Path = _DATA / "toxicity_terms.txt") -> dict[str, list[st
     return out
 
 
+#: Decoded one after the other, so that what the first uncovers is decoded too.
+_ENTITIES = (("&amp;", "&"), ("&gt;", " "), ("&lt;", " "), ("&quot;", " "), ("&#39;", "'"), ("&nbsp;", " "))
+
+
 class Reader:
     """Turns texts into arrays of word ids, word classes and sentence numbers.
 
@@ -184,7 +188,8 @@ class Reader:
             if c in whole:
                 whole = whole.replace(c, "")
         if "&" in whole:
-            whole = whole.replace("&amp;", "&").replace("&gt;", " ").replace("&lt;", " ").replace("&quot;", " ").replace("&#39;", "'").replace("&nbsp;", " ")
+            for entity, sign in _ENTITIES:
+                whole = whole.replace(entity, sign)
         return _TOKEN.findall(whole)
 
     def read(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -441,19 +446,37 @@ def _loaded(model: bytes) -> Tagger:
     return pickle.loads(model)
 
 
+def _decoded(text: str) -> tuple[str, list[int], list[int]]:
+    """The text as it is read, without invisible characters and entities, and where each of its signs begins and ends."""
+    starts = [i for i, c in enumerate(text) if c not in _INVISIBLE]
+    ends = [i + 1 for i in starts]
+    clean = "".join(text[i] for i in starts).replace(_RECORD, " ")
+    for entity, sign in _ENTITIES:
+        at = clean.find(entity)
+        if at < 0:
+            continue
+        s, e, last = [], [], 0
+        while at >= 0:
+            stop = at + len(entity)
+            s += starts[last : at + 1]
+            e += [*ends[last:at], ends[stop - 1]]
+            last, at = stop, clean.find(entity, stop)
+        starts, ends = s + starts[last:], e + ends[last:]
+        clean = clean.replace(entity, sign)
+    return clean, starts, ends
+
+
 def locate(tagger: Tagger, text: str) -> list[dict[str, int]]:
     """Offsets (start, end) in ``text`` of the stretches whose words are above one half, or of the worst word."""
     _, p, _ = tagger.scores([text])
-    shown = [i for i, c in enumerate(text) if c not in _INVISIBLE and c != _RECORD]
-    clean = "".join(text[i] for i in shown)
+    clean, starts, ends = _decoded(text)
     hits = [m for m in _TOKEN.finditer(clean) if tagger.reader.number(m[0]) not in (-1, _END, _MARK)]
-    if len(hits) != len(p):  # entities change the words; the whole text is the stretch then
-        return [{"start": 0, "end": len(text)}]
+    assert len(hits) == len(p)
     bad = p >= min(0.5, float(p.max(initial=0.0)))
     out: list[dict[str, int]] = []
     last = -2
     for i in np.flatnonzero(bad).tolist():
-        a, b = shown[hits[i].start()], shown[hits[i].end() - 1] + 1
+        a, b = starts[hits[i].start()], ends[hits[i].end() - 1]
         if i == last + 1 and out:
             out[-1]["end"] = b
         else:

@@ -92,3 +92,19 @@ def test_without_labels():
     model = toxicity.train([])
     assert flagged(model, "You are a pathetic idiot.", "Nice chart.") == [True, False]
     assert flagged(toxicity.train([(None, 1), ("", 0), ("x", None)]), "Nice chart.") == [False]
+
+
+@pytest.mark.parametrize("text", ["Q&amp;A &gt; fine &quot;text&quot;. You are a pathetic&nbsp;idiot, don&#39;t post.", "&amp;gt; R&amp;amp;D. You​ are a pathetic idi​ot &lt;3", "ab &amp; c. You are a pathetic idiot."])
+def test_offsets_beside_entities(tagger, text):
+    shown = [text[s["start"] : s["end"]].replace("​", "") for s in toxicity.locate(tagger, text)]
+    assert any("idiot" in s for s in shown) and not any("fine" in s or "D." in s or "c." in s for s in shown)
+
+
+def test_offsets_follow_the_words_of_odd_texts(tagger):
+    import random
+
+    r = random.Random(3)
+    parts = ["&amp;", "&gt;", "gt;", "&", "amp;", "&#39;", "#39;", "&nbsp;", "​", "", "idiot", "i d i o t", " ", ".", "\n", "don", "t", "é", "…"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 12)))
+        assert all(0 <= s["start"] < s["end"] <= len(text) for s in toxicity.locate(tagger, text))
