@@ -129,6 +129,8 @@ class Reader:
         bare = bare[:-2] if bare.endswith(("'s", "’s")) else bare.replace("’", "'")
         if bare in self.words:
             return bare
+        if len(t) > 2 * LONGEST_WORD:  # a letter drawn out that far is as good as one drawn out to three
+            t, bare = re.sub(r"(.)\1{3,}", r"\1\1\1", t), re.sub(r"(.)\1{3,}", r"\1\1\1", bare)
         if len(t) > 2 * LONGEST_WORD or not any(c.isalpha() or c in "@+*" for c in t):
             return bare
         if re.fullmatch(r"[^\W\d_](?:[ ._-][^\W\d_])+", bare):
@@ -356,15 +358,10 @@ class Tagger:
         """Score of every text: the greatest marginal of its words; words' marginals and places come along."""
         ids, kinds, sentence, record = self.reader.read(texts)
         out = np.zeros(len(texts))
-        marked = np.zeros(len(record), bool)
-        marked[sentence[kinds > 0]] = True
-        live = marked[sentence]
-        # sentences without any listed word: the chain depends on their words' own weights only
-        live |= np.bincount(sentence, self.word[ids] > 0.5, len(record))[sentence] > 0
         p = np.zeros(len(ids))
-        if live.any():
-            used, where = np.unique(sentence[live], return_inverse=True)
-            p[live] = self.marginals(ids[live], kinds[live], where, len(used))
+        if len(ids):
+            used, where = np.unique(sentence, return_inverse=True)
+            p = self.marginals(ids, kinds, where, len(used))
         np.maximum.at(out, record[sentence], p)
         return out, p, (ids, kinds, sentence, record)
 

@@ -108,3 +108,12 @@ def test_offsets_follow_the_words_of_odd_texts(tagger):
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randint(1, 12)))
         assert all(0 <= s["start"] < s["end"] <= len(text) for s in toxicity.locate(tagger, text))
+
+
+def test_letters_drawn_out_beyond_any_length(tagger):
+    assert tagger.reader.plain("idi" + "o" * 500 + "t") == "idiot"
+
+
+def test_every_sentence_goes_through_the_field(tagger):
+    scores, p, _ = tagger.scores(["Nice chart today. We hold.", "", "nothing"])
+    assert (p > 0).all() and scores[0] > 0 and scores[1] == 0 and scores[2] > 0
