@@ -254,7 +254,7 @@ def fit_panel(stocks: DataFrame, spec: GarchSpec, rounds: int = 60, tolerance: f
     """Block coordinate ascent. ``stocks`` comes from ``stock_arrays`` and is kept in memory.
 
     Stock block: every stock climbs on its own in one grouped job. Global block: candidate vectors around the
-    current one are all scored in one job, each stock's likelihoods adding up; the step grows or shrinks with success.
+    current one are all scored in one job, each stock's likelihoods adding up; the step shrinks where none of them is better.
     Without global parameters one pass is the answer. Stops when the likelihood gains less than ``tolerance``.
     """
     spark = stocks.sparkSession
