@@ -689,7 +689,9 @@ _SPEC_X = garch.GarchSpec(exog=("attention_std", "sentiment_pos_std", "sentiment
 
 
 def _garch_table(spark, fit: garch.PanelGarchResult) -> DataFrame:
-    return spark.createDataFrame(fit.stock_table().assign(rounds=fit.rounds, converged=fit.converged))
+    out = fit.stock_table().assign(rounds=fit.rounds, converged=fit.converged)
+    kinds = {"ticker": "string", "n_obs": "bigint", "rounds": "bigint", "converged": "boolean"}
+    return spark.createDataFrame(out.values.tolist(), ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in out.columns))
 
 
 @query()
