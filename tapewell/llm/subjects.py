@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,7 +29,7 @@ USUAL_WORDS = 10
 
 _BREAK = re.compile(r"(?<=[.!?…。！？])\s+|[\r\n]+")
 _BLOCK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|h[1-6]|tr|td|table|blockquote)\b[^<>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _NOISE = re.compile(r"[^\w]+")
 
 
@@ -56,7 +56,7 @@ def sentences(text: str | None) -> list[str]:
 
 
 def read_terms(path: Path = TERMS) -> dict[str, dict[str, float]]:
-    """subject -> term -> weight."""
+    """subject -> term -> weight. A term with a star at its end stands for every word that begins so."""
     out: dict[str, dict[str, float]] = {}
     subject = ""
     for line in path.read_text(encoding="utf-8").splitlines():
@@ -70,6 +70,7 @@ def read_terms(path: Path = TERMS) -> dict[str, dict[str, float]]:
         for term in terms.split(","):
             words = _NOISE.sub(" ", clean(term)).strip()
             if words:
+                words += "*" if term.rstrip().endswith("*") else ""
                 out[subject][words] = max(float(weight), out[subject].get(words, 0))
     return out
 
@@ -86,18 +87,19 @@ class Matcher:
             for term, weight in own.items():
                 value = weight * (rarity or {}).get((subject, term), 1.0)
                 forms = {term}
-                if subject not in (HIDDEN, PASSING) and len(term) > 2 and not term.endswith("s"):
+                if subject not in (HIDDEN, PASSING) and len(term) > 2 and not term.endswith(("s", "*")):
                     forms.add(term + "s")
                 for form in forms:
                     weights[form].append((subject, value))
         self.automaton = ahocorasick.Automaton()
         for form, values in weights.items():
-            self.automaton.add_word(" " + form + " ", (len(form), values))
+            key = " " + form[:-1] if form.endswith("*") else " " + form + " "
+            self.automaton.add_word(key, (len(key), len(form.rstrip("*")), values))
         self.automaton.make_automaton()
 
     def score(self, sentence: str) -> dict[str, float]:
         """subject -> score of one padded sentence; none for a passing remark."""
-        found = [(end - length - 1, -length, values) for end, (length, values) in self.automaton.iter(sentence)]
+        found = [(end - size + 1, -length, values) for end, (size, length, values) in self.automaton.iter(sentence)]
         if not found:
             return {}
         found.sort(key=lambda x: x[:2])
@@ -152,10 +154,15 @@ def fit(labels: Iterable[tuple[str | None, str | None]], terms: dict[str, dict[s
                 grams.update(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
         for gram in grams:
             seen[gram][subject] += 1
-    rarity = {}
+    rarity, ordered = {}, sorted(seen)
     for subject, own in terms.items():
         for term in own:
             counts = seen.get(term)
+            if term.endswith("*"):
+                counts = Counter()
+                for gram in ordered[bisect_left(ordered, term[:-1]) : bisect_left(ordered, term[:-1] + "\uffff")]:
+                    if gram.count(" ") == term.count(" "):
+                        counts.update(seen[gram])
             if counts and subject not in (HIDDEN, PASSING) and sum(counts.values()) >= 4:
                 rarity[subject, term] = max(0.15, counts[subject] / sum(counts.values())) if counts[subject] else 0.5
     for gram, counts in seen.items():
