@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewell.llm.boosting import BoostedTrees
-from tapewell.llm.tokens import DEFAULT_FOLDER
+from tapewell.llm.tokens import DEFAULT_FOLDER, common_words
 from tapewell.operators.records import latest_records
 from tapewell.session import spread
 
@@ -72,20 +72,6 @@ def _first_names() -> frozenset[str]:
     return frozenset(w for line in lines if not line.startswith("#") for w in line.split())
 
 
-@lru_cache(maxsize=2)
-def _common(folder: str) -> frozenset[str]:
-    """Frequent words: those that a public vocabulary holds whole, after a space and in lower case."""
-    import base64
-
-    out = set()
-    with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as lines:
-        for line in lines:
-            token = base64.b64decode(line.split()[0])
-            if token[:1] == b" " and token[1:].isalpha() and token[1:].islower() and len(token) > 3:
-                out.add(token[1:].decode())
-    return frozenset(out)
-
-
 _SETS = {
     "mail": "mail email e-mail write contact address reach ping inbox send address is",
     "phone": "call tel phone telephone whatsapp text number mobile cell fax ring reach dial desk sms hotline telefon tél teléfono llama anruf",
@@ -279,7 +265,7 @@ class Finder:
         """Given name, common, of a company, shape, length, particle."""
         low = w.lower()
         shape = 0.0 if not w else 3.0 if w.isupper() and len(w) > 1 else 2.0 if w[0].isupper() else 1.0
-        return low in _first_names(), low in _common(self.folder), low in _SETS["firm"], shape, float(min(len(w), 30)), low in _PARTICLE_SET
+        return low in _first_names(), low in common_words(self.folder), low in _SETS["firm"], shape, float(min(len(w), 30)), low in _PARTICLE_SET
 
     @staticmethod
     def _own(title: bool, order: float, given: tuple, family: tuple, mid: tuple) -> list[float]:
@@ -293,7 +279,7 @@ class Finder:
         prior = _PRIOR.search(text[max(0, start - 24) : start])
         prior = prior[1].lower() if prior and prior[1][0].isupper() else ""
         return [
-            float(bool(prior)), float(prior in _SETS["firm"]), float(prior in _common(self.folder)),
+            float(bool(prior)), float(prior in _SETS["firm"]), float(prior in common_words(self.folder)),
             float(text[start - 1 : start] in "@/#$." if start else False), float(text[max(0, start - 3) : start] == "-- "),
         ] + _cues_before(_before(text, start))
 
@@ -302,7 +288,7 @@ class Finder:
         more = _MORE.match(follow)
         more = more[1].lower() if more and more[1][0].isupper() else ""
         return [
-            float(bool(more)), float(more in _SETS["firm"]), float(more in _common(self.folder)),
+            float(bool(more)), float(more in _SETS["firm"]), float(more in common_words(self.folder)),
             float(bool(follow) and (follow[0] in "@_" or follow[0].isalnum())), float(follow[:1] == ","),
         ] + _cues_after(_after(text, end))
 
@@ -344,7 +330,7 @@ class Finder:
         nothing = self._word("")
         for m in _TITLED.finditer(text):
             a, b, c = m["a"], m["b"] or "", m["c"] or ""
-            if not a[0].isupper() and a.lower() in _common(self.folder):
+            if not a[0].isupper() and a.lower() in common_words(self.folder):
                 continue
             first, initials = self._word(a), len(re.findall(_L, m["lead"]))
             end = m.end("a")

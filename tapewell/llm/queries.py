@@ -27,7 +27,7 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _toxicity(spark: SparkSession, folder: str, keep=(), spans: bool = False) -> DataFrame:
-    return toxicity.scored_records(table(spark, folder, "mention"), table(spark, folder, "toxic_label"), keep, spans)
+    return toxicity.scored_records(table(spark, folder, "mention"), table(spark, folder, "toxic_label"), keep, spans, table(spark, folder, "subject_label"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

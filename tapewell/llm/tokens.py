@@ -33,6 +33,18 @@ def encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def common_words(folder: str) -> frozenset[str]:
+    """Frequent words: those that a public vocabulary holds whole, after a space and in lower case."""
+    out = set()
+    with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as lines:
+        for line in lines:
+            token = base64.b64decode(line.split()[0])
+            if token[:1] == b" " and token[1:].isalpha() and token[1:].islower() and len(token) > 3:
+                out.add(token[1:].decode())
+    return frozenset(out)
+
+
 def pieces(text: str, size: int = LONG) -> Iterator[str]:
     """Cut a text at places where the split pattern always begins a new word.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import random
 import re
 import unicodedata
 from collections import Counter
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewell.llm.tokens import DEFAULT_FOLDER, common_words
 from tapewell.operators.records import latest_records
 from tapewell.session import spread
 
@@ -23,13 +25,13 @@ _DATA = Path(__file__).with_name("data")
 MOST_LABELS = 20_000
 #: Words whose reading is remembered per worker; beyond it the memory starts anew.
 MOST_WORDS = 400_000
-#: A longer run of signs without a space isn't looked at for a word in disguise (no listed word is half as long).
-LONGEST_WORD = 64
+#: Sentences made from each pattern (times the pattern's own number).
+COPIES = 10
 #: Padded words in one call of the recursions.
 CHUNK = 400_000
-_OFFENSIVE = ("insult_noun", "insult_adj", "shut", "threat", "harm", "threat_phrase", "dehuman", "erase", "sex_body", "sex_strong")
+_OFFENSIVE = ("insult_noun", "insult_adj", "insult_phrase", "slur", "shut", "threat", "harm", "threat_phrase", "dehuman", "erase", "sex_body", "sex_strong", "contempt")
 #: Classes whose words are also found in disguise.
-_DISGUISED = (*_OFFENSIVE, "you", "group", "sex_weak", "fword")
+_DISGUISED = (*_OFFENSIVE[:-1], "you", "group", "sex_weak", "fword")
 
 # Invisible characters, look-alike letters and digits or signs written for letters.
 _INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
@@ -38,7 +40,12 @@ _LEET = str.maketrans("0134578@$+!|", "oieastbastil")
 _LEET_L = str.maketrans("0134578@$+!|", "oleastbastil")
 
 #: Ordinary words that a swap of neighbours turns into a listed one.
-_NOT_SWAPPED = frozenset({"arts", "form", "trial", "trail", "angel", "diary", "dairy", "causal", "silver"})
+_NOT_SWAPPED = frozenset({"carp", "bran", "from", "form", "trial", "trail", "angel", "casual", "causal", "silver", "sliver"})
+#: Endings of words that no list holds: peoples, and compounds with an insult.
+_ENDINGS = {
+    "demonym": re.compile(r"[^\W\d_]{3,}(?:ians|eans|ans|ites|ese|ish)"),
+    "insult_noun": re.compile(r"[^\W\d_]{3,}(?:tards?|fucks?|fuckers?|cunts?|bitch|bitches|brained|wits?|whores?|idiots?|arschloch|arschlöcher|hurensohn|wichser|idiot|trottel)"),
+}
 
 _RECORD = "\ue000"
 _LETTER = r"[^\W\d_]"
@@ -48,7 +55,8 @@ _END = 1  # id of a sentence end
 _MARK = 2  # id of a record end
 
 
-def read_classes(path: Path = _DATA / "toxicity_terms.txt") -> dict[str, list[str]]:
+def read_lists(path: Path = _DATA / "toxicity_terms.txt") -> dict[str, list[str]]:
+    """Terms by the full name of their line; the class is the part before the first dot."""
     out: dict[str, list[str]] = {}
     for line in path.read_text(encoding="utf-8").splitlines():
         if line.strip() and not line.startswith("#"):
@@ -57,6 +65,58 @@ def read_classes(path: Path = _DATA / "toxicity_terms.txt") -> dict[str, list[st
     return out
 
 
+def read_classes() -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {name: [] for name in _ENDINGS}
+    for name, terms in read_lists().items():
+        out.setdefault(name.partition(".")[0], []).extend(terms)
+    return out
+
+
+class Patterns:
+    """Sentences for training, made from patterns and the word lists with a fixed seed."""
+
+    def __init__(self, path: Path = _DATA / "toxicity_patterns.txt", seed: int = 11) -> None:
+        self.r, self.lists = random.Random(seed), read_lists()
+        self.patterns: list[tuple[int, str]] = []
+        for line in path.read_text(encoding="utf-8").splitlines():
+            if line.strip() and not line.startswith(("#", "==")):
+                head, _, rest = line.partition(" ")
+                self.patterns.append((int(head), rest) if head.isdigit() else (1, line))
+
+    def invented(self) -> str:
+        return "".join(self.r.choice("bdfgklmnprstvz") + self.r.choice("aeiou") for _ in range(self.r.randint(2, 3)))
+
+    def fill(self, m: re.Match) -> str:
+        name = m[1]
+        if name in ("word", "invented"):
+            return self.invented() + self.r.choice("lnrstk")
+        if name == "people":
+            return self.invented() + self.r.choice(["rians", "nians", "ans", "vish people", "lish", "nese", "rites"])
+        return self.r.choice(self.lists[name])
+
+    def made(self, pattern: str) -> str:
+        while "(" in pattern:
+            pattern = re.sub(r"\(([^()]*)\)", lambda m: self.r.choice(m[1].split("|")), pattern)
+        text = re.sub(r"\{([a-z_.]+)\}", self.fill, pattern)
+        return text if self.r.random() < 0.6 else text + self.r.choice([".", "!", ", " + self.invented(), " today"])
+
+    def sentences(self, copies: int = COPIES) -> list[str]:
+        """Sentences of all patterns, and half as many clean ones of words that offend nobody, among them the patterns' own."""
+        made = [self.made(p) for n, p in self.patterns for _ in range(n * copies)]
+        harmless = [w for name in ("you", "third", "self", "people", "group.en", "intens.x", "praise.x", "market.x") for w in self.lists[name]]
+        plain = sorted(self.words())
+        return made + [" ".join(self.r.choice(plain if self.r.random() < 0.7 else harmless) for _ in range(self.r.randint(3, 9))) for _ in range(len(made) // 2)]
+
+    def words(self) -> set[str]:
+        """Words that stand in the patterns themselves and in no offensive class."""
+        listed = {t for name, terms in self.lists.items() if name.partition(".")[0] in _OFFENSIVE for t in terms}
+        return {w.casefold() for _, p in self.patterns for w in re.findall(r"[^\W\d_][^\W\d_'’]*", re.sub(r"\{[a-z_.]+\}", " ", p))} - listed
+
+
+def _without_accents(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 #: Decoded one after the other, so that what the first uncovers is decoded too.
 _ENTITIES = (("&amp;", "&"), ("&gt;", " "), ("&lt;", " "), ("&quot;", " "), ("&#39;", "'"), ("&nbsp;", " "))
 
@@ -65,15 +125,20 @@ class Reader:
     """Turns texts into arrays of word ids, word classes and sentence numbers.
 
     A word in disguise is read as the listed word behind it: invisible characters, look-alike letters,
-    digits and signs for letters, letters set apart, letters masked by stars, letters drawn out, or two
-    neighbours swapped. Only words of the offensive classes are looked for in disguise.
+    digits and signs for letters, letters set apart, letters masked by stars, letters drawn out, two
+    neighbours swapped, accents left off, or one letter too many or too few where that gives no ordinary word. Only words of
+    the offensive classes are looked for in disguise. Ordinary words are those that a public vocabulary holds whole.
     """
 
-    def __init__(self, words: Sequence[str] = ()) -> None:
+    def __init__(self, words: Sequence[str] = (), folder: str = DEFAULT_FOLDER) -> None:
         classes = read_classes()
         self.classes = ["", *classes]
         self.words: dict[str, int] = {}
         of: list[int] = [0, 0, 0]
+        self.endings: list[tuple[re.Pattern, int]] = []
+        for name, ending in _ENDINGS.items():  # words known by their ending share a number
+            self.endings.append((ending, len(of)))
+            of.append(self.classes.index(name))
         self.phrases: dict[int, list[tuple[tuple[int, ...], int]]] = {}
 
         def number(word: str, kind: int) -> int:
@@ -111,9 +176,25 @@ class Reader:
         for word in sorted(self.strong, key=lambda w: (rank.get(self.classes[of[self.words[w]]], len(rank)), w)):
             self.by_length.setdefault(len(word), []).append(word)
             self.squeezed.setdefault(re.sub(r"(.)\1+", r"\1", word), word)
-        self.is_first = np.zeros(len(of), bool)
-        self.is_first[list(self.phrases)] = True
-        self.group = self.classes.index("group")
+        for some in self.phrases.values():  # a longer phrase has the last word
+            some.sort(key=lambda x: len(x[0]))
+        self.size = len(of)
+        self.starts = np.unique([ids[0] * self.size + ids[1] for some in self.phrases.values() for ids, _ in some])
+        self.longest = max(map(len, self.words))
+        self.unaccented = {}
+        for word in self.words:
+            if not word.isascii():
+                self.unaccented.setdefault(_without_accents(word), word)
+        ordinary = common_words(folder)
+        self.short: dict[str, str] = {}
+        for word in sorted(self.strong):
+            if len(word) > 5 and word.isalpha():
+                for i in range(1, len(word)):
+                    form = word[:i] + word[i + 1 :]
+                    if form not in self.words and form not in ordinary:
+                        self.short.setdefault(form, word)
+        # ordinary words that one letter less would turn into a listed one
+        self.ordinary = frozenset(w for w in ordinary if any(w[:i] + w[i + 1 :] in self.strong for i in range(1, len(w))))
         self.cache: dict[str, int] = {}
 
     def plain(self, token: str) -> str:
@@ -129,9 +210,9 @@ class Reader:
         bare = bare[:-2] if bare.endswith(("'s", "’s")) else bare.replace("’", "'")
         if bare in self.words:
             return bare
-        if len(t) > 2 * LONGEST_WORD:  # a letter drawn out that far is as good as one drawn out to three
+        if len(t) > self.longest:  # a letter drawn out that far is as good as one drawn out to three
             t, bare = re.sub(r"(.)\1{3,}", r"\1\1\1", t), re.sub(r"(.)\1{3,}", r"\1\1\1", bare)
-        if len(t) > 2 * LONGEST_WORD or not any(c.isalpha() or c in "@+*" for c in t):
+        if not any(c.isalpha() or c in "@+*" for c in t):
             return bare
         if re.fullmatch(r"[^\W\d_](?:[ ._-][^\W\d_])+", bare):
             joined = re.sub(r"[ ._-]", "", bare)
@@ -139,7 +220,7 @@ class Reader:
                 return joined
             if joined[0] in "aiu" and joined[1:] in self.words:  # an article or pronoun before it
                 return joined[1:]
-            for i in range(2, len(joined) - 1):
+            for i in range(2, len(joined) - 1) if len(joined) <= 2 * self.longest + 1 else ():  # no two words are longer
                 for start in (0, 1) if joined[0] in "aiu" else (0,):
                     left, right = joined[start:i], joined[i:]
                     if left in self.words and right in self.words and (left in self.strong or right in self.strong):
@@ -151,8 +232,9 @@ class Reader:
                     if form in self.strong or form in self.words and len(form) > 1:
                         return form
         if "*" in t and t[0].isalpha():
-            pattern = re.compile(re.escape(t).replace(r"\*", "."))
-            for word in self.by_length.get(len(t), ()):
+            fitting = self.by_length.get(len(t), ())
+            pattern = re.compile(re.escape(t).replace(r"\*", ".")) if fitting else None
+            for word in fitting:
                 if pattern.fullmatch(word):
                     return word
             for part in t.split("*"):  # the mask may stand for the space between two words
@@ -167,11 +249,21 @@ class Reader:
             short = self.squeezed.get(re.sub(r"(.)\1+", r"\1", bare))
             if short:
                 return short
-        if bare.isalpha() and len(bare) > 3 and bare not in _NOT_SWAPPED:
+        if bare.isalpha() and 3 < len(bare) <= self.longest and bare not in _NOT_SWAPPED:
             for i in range(len(bare) - 1):
                 swapped = bare[:i] + bare[i + 1] + bare[i] + bare[i + 2 :]
                 if swapped in self.strong:
                     return swapped
+        if bare in self.unaccented:
+            return self.unaccented[bare]
+        if bare.isalpha() and 5 <= len(bare) <= self.longest + 1:
+            if bare in self.short:
+                return self.short[bare]
+            if len(bare) > 5 and bare not in self.ordinary:
+                for i in range(1, len(bare)):
+                    less = bare[:i] + bare[i + 1 :]
+                    if less in self.strong:
+                        return less
         return bare
 
     def number(self, token: str) -> int:
@@ -182,7 +274,11 @@ class Reader:
             return _END
         if not any(c.isalnum() or c in "@+*$" for c in token):
             return -1
-        return self.words.get(self.plain(token), 0)
+        plain = self.plain(token)
+        found = self.words.get(plain)
+        if found is None and len(plain) > 5:
+            found = next((n for ending, n in self.endings if ending.fullmatch(plain)), None)
+        return found or 0
 
     def tokens(self, texts: Sequence[str | None]) -> list[str]:
         whole = f" {_RECORD}\n".join((t or "").replace(_RECORD, " ") for t in texts) + f" {_RECORD}"
@@ -211,7 +307,9 @@ class Reader:
     def arrange(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids = ids[ids >= 0]
         kinds = self.of[ids]
-        for at in np.flatnonzero(self.is_first[ids]).tolist():
+        pairs = ids[:-1].astype(np.int64) * self.size + ids[1:]
+        place = np.minimum(np.searchsorted(self.starts, pairs), len(self.starts) - 1)
+        for at in np.flatnonzero(self.starts[place] == pairs).tolist():
             for phrase, k in self.phrases[int(ids[at])]:
                 n = len(phrase)
                 if at + n <= len(ids) and tuple(ids[at : at + n].tolist()) == phrase:
@@ -259,21 +357,23 @@ class Tagger:
         self.bias = np.zeros(1)
         self.word = np.zeros(len(reader.of))
         self.own, self.before, self.after = np.zeros(c), np.zeros(c), np.zeros(c)
-        self.pair = np.zeros((c, c))
+        self.pair = np.zeros((c, c + 1))
+        self.offensive = np.isin(np.arange(c), [reader.classes.index(k) for k in _OFFENSIVE])
         self.steps = np.array([-1.0, -1.0, 1.0])
         self.threshold = 0.5
 
     def _sentences(self, kinds: np.ndarray, sentence: np.ndarray, count: int) -> np.ndarray:
-        present = np.zeros((count, len(self.reader.classes)))
+        present = np.zeros((count, len(self.reader.classes) + 1))
         present[sentence, kinds] = 1.0
         present[:, 0] = 1.0  # class 0 stands for the sentence as such
+        present[:, -1] = present[:, :-1][:, self.offensive].any(1)
         return present
 
     def nodes(self, ids: np.ndarray, kinds: np.ndarray, sentence: np.ndarray, present: np.ndarray) -> np.ndarray:
         same = sentence[1:] == sentence[:-1]
         before = np.concatenate([[0], np.where(same, kinds[:-1], 0)]) if len(ids) else kinds
         after = np.concatenate([np.where(same, kinds[1:], 0), [0]]) if len(ids) else kinds
-        context = present @ self.pair.T
+        context = np.einsum("sc,kc->sk", present, self.pair)  # not a matrix product: its threads would spin
         return self.bias[0] + self.word[ids] + self.own[kinds] + self.before[before] + self.after[after] + context[sentence, kinds]
 
     def marginals(self, ids: np.ndarray, kinds: np.ndarray, sentence: np.ndarray, count: int) -> np.ndarray:
@@ -301,7 +401,7 @@ class Tagger:
             at = to
         return _sigmoid(out)
 
-    def fit(self, ids: np.ndarray, kinds: np.ndarray, sentence: np.ndarray, gold: np.ndarray, count: int, rounds: int = 220, rate: float = 0.08, decay: float = 0.004) -> None:
+    def fit(self, ids: np.ndarray, kinds: np.ndarray, sentence: np.ndarray, gold: np.ndarray, count: int, rounds: int = 120, rate: float = 0.08, decay: float = 0.004) -> None:
         """Penalised likelihood by Adam; gradients from forward-backward marginals."""
         lengths = np.bincount(sentence, minlength=count)
         keep = lengths > 0
@@ -334,10 +434,8 @@ class Tagger:
             w = np.where(both, w / w.sum(0), 0.0).sum((1, 2))
             d = np.zeros(len(ids))
             d[place[mask]] = (yp - p)[mask]
-            pair = np.zeros((c, c))
-            for k in range(c):
-                own = kinds == k
-                pair[k] = d[own] @ present[sentence[own]] if own.any() else 0
+            by_class = np.bincount(sentence * c + kinds, d, count * c).reshape(count, c)
+            pair = np.einsum("sk,sc->kc", by_class, present)
             grads = {
                 "bias": np.array([d.sum()]),
                 "word": np.bincount(ids, d, len(self.word)),
@@ -349,7 +447,7 @@ class Tagger:
             }
             for k, g in grads.items():
                 value = getattr(self, k)
-                g = g / n - decay * (3.0 if k == "word" else 0.0 if k == "bias" else 1.0) * value
+                g = g / n - decay * (1.0 if k == "word" else 0.0 if k == "bias" else 1.0) * value
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 value += rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
@@ -366,68 +464,78 @@ class Tagger:
         return out, p, (ids, kinds, sentence, record)
 
 
-def train(labels: Sequence[tuple[str | None, int | None]]) -> Tagger:
-    """Fit the field on labelled texts and on the sentences labelled by hand, and set the threshold.
-
-    The words of a text labelled 0 are clean. A text labelled 1 says not where it offends: in its sentences that
-    hold offensive words the stretch from the first to the last of them is labelled, its other sentences aren't
-    used, and a text without such a sentence (a wrong label, or a form the classes don't know) is not used.
+def _marked(reader: Reader, lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, classes, sentence and mark of the words of ``lines``; [[ ]] encloses marked words."""
+    marks: list[bool] = []
+    flat: list[int] = []
+    inside = False
+    for token in reader.tokens([line.replace("[[", " \ue001 ").replace("]]", " \ue002 ") for line in lines]):
+        if token in ("\ue001", "\ue002"):
+            inside = token == "\ue001"
+            continue
+        n = reader.number(token)
+        if n >= 0:
+            flat.append(n)
+            marks.append(inside and n not in (_END, _MARK))
+    all_ids = np.array(flat, np.int32)
+    ids, kinds, sentence, _ = reader.arrange(all_ids)
+    return ids, kinds, sentence, np.array(marks, bool)[(all_ids != _END) & (all_ids != _MARK)]
+
+
+def _joined(*parts: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    base, out = 0, []
+    for ids, kinds, sentence, gold in parts:
+        used, where = np.unique(sentence, return_inverse=True)
+        out.append((ids, kinds, where + base, gold))
+        base += len(used)
+    return *(np.concatenate(x) for x in zip(*out)), base
+
+
+def train(labels: Sequence[tuple[str | None, int | None]], ordinary: Sequence[str | None] = ()) -> Tagger:
+    """Fit the field on made sentences and on labelled texts, and set the threshold.
+
+    The made sentences (``Patterns``) have their offending words marked. A text labelled 1 says not where it offends: a
+    field fitted on the made sentences alone points out its worst sentence, and the words of offensive classes there, from the first to
+    the last, are marked; its other sentences aren't used, and neither is a text whose worst sentence has no such word (a wrong
+    label, or a form that no class knows). The words of a text labelled 0 are clean, unless that field is sure of the contrary.
+    ``ordinary``: texts of another label table, not about abuse; they count as labelled 0.
     """
-    rows = [(t, int(y)) for t, y in labels if t and y is not None]
-    lines = [x for x in (_DATA / "toxicity_sentences.txt").read_text(encoding="utf-8").splitlines() if x.strip() and not x.startswith("#")]
+    rows = [(t, int(y)) for t, y in labels if t and y is not None] + [(t, 0) for t in ordinary if t]
+    made = Patterns()
     plain = Reader()
     seen: Counter = Counter()
     for text, _ in rows:
         seen.update({plain.plain(w) for w in plain.tokens([text]) if w[0] not in ".!?…\n" and w != _RECORD})
-    reader = Reader([w for w, n in seen.items() if n >= 3 and w.isalpha()])
+    reader = Reader(sorted({w for w, n in seen.items() if n >= 3 and w.isalpha()} | made.words()))
+    part = _marked(reader, made.sentences())
     tagger = Tagger(reader)
-    offensive = np.isin(np.arange(len(reader.classes)), [reader.classes.index(k) for k in _OFFENSIVE])
-    ids, kinds, sentence, record = reader.read([t for t, _ in rows])
-    labelled = np.array([y for _, y in rows], bool)[record[sentence]] if rows else np.zeros(0, bool)
-    bad = offensive[kinds] & labelled
-    gold = np.zeros(len(ids), bool)
-    use = ~labelled
-    for s in np.unique(sentence[bad]):
+    tagger.fit(*_joined(part))
+    if not rows:
+        return tagger
+    scores, p, (ids, kinds, sentence, record) = tagger.scores([t for t, _ in rows])
+    truth = np.array([y for _, y in rows], bool)
+    worst = np.zeros(len(record))
+    np.maximum.at(worst, sentence, p)
+    use, gold = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    for s in np.unique(sentence):
         at = np.flatnonzero(sentence == s)
-        hits = at[bad[at]]
-        gold[hits[0] : hits[-1] + 1] = True
-        use[at] = True
-    parts = [(ids[use], kinds[use], sentence[use], gold[use])]
-    marks = []
-    texts = []
-    for line in lines:
-        texts.append(line.replace("[[", " \ue001 ").replace("]]", " \ue002 "))
-    extra = [reader.tokens([t])[:-1] for t in texts]
-    base = int(sentence.max()) + 1 if len(sentence) else 0
-    flat: list[int] = []
-    for tokens in extra:
-        inside = False
-        for token in tokens:
-            if token == "\ue001":
-                inside = True
-            elif token == "\ue002":
-                inside = False
-            else:
-                n = reader.number(token)
-                if n >= 0:
-                    flat.append(n)
-                    marks.append(inside)
-        flat.append(_MARK)
-        marks.append(False)
-    more = np.array(flat, np.int32)
-    i2, k2, s2, _ = reader.arrange(more)
-    keep = (more != _END) & (more != _MARK)
-    parts.append((i2, k2, s2 + base, np.array(marks, bool)[keep]))
-    ids, kinds, sentence, gold = (np.concatenate(x) for x in zip(*parts))
-    used, sentence = np.unique(sentence, return_inverse=True)
-    tagger.fit(ids, kinds, sentence, gold, len(used))
-    if rows:
-        scores = tagger.scores([t for t, _ in rows])[0]
-        truth = np.array([y for _, y in rows], bool)
-        grid = np.linspace(0.3, 0.7, 41)
-        quality = [2 * (truth & (scores >= g)).sum() / max(1, truth.sum() + (scores >= g).sum()) for g in grid]
-        best = grid[np.array(quality) >= max(quality) - 1e-9]
-        tagger.threshold = float(best[len(best) // 2])
+        r = record[s]
+        if not truth[r]:
+            use[at] = worst[s] < 0.9
+            continue
+        hits = at[tagger.offensive[kinds[at]]]
+        if len(hits) and worst[s] >= scores[r] - 1e-12:
+            gold[hits[0] : hits[-1] + 1] = True
+            use[at] = True
+    tagger.fit(*_joined(part, (ids[use], kinds[use], sentence[use], gold[use])))
+    # thresholds from the labelled texts and from made sentences of another seed
+    fresh = Patterns(seed=12).sentences(2)
+    scores = np.concatenate([tagger.scores([t for t, _ in rows])[0], tagger.scores([x.replace("[[", "").replace("]]", "") for x in fresh])[0]])
+    truth = np.concatenate([truth, np.array(["[[" in x for x in fresh])])
+    grid = np.linspace(0.2, 0.8, 61)
+    quality = [2 * (truth & (scores >= g)).sum() / max(1, truth.sum() + (scores >= g).sum()) for g in grid]
+    # the lowest that is as good but for one in a hundred: what is flagged is meant for review
+    tagger.threshold = float(grid[np.array(quality) >= max(quality) - 0.01][0])
     return tagger
 
 
@@ -482,14 +590,14 @@ def locate(tagger: Tagger, text: str) -> list[dict[str, int]]:
     return out
 
 
-def score_table(records: DataFrame, text: str, labels: DataFrame, spans: bool = False) -> DataFrame:
+def score_table(records: DataFrame, text: str, labels: DataFrame, spans: bool = False, ordinary: DataFrame | None = None) -> DataFrame:
     """``records`` without ``text``, with ``score`` (0 to 1), ``flagged`` and, if asked for, ``spans`` of flagged texts.
 
-    One pass without a shuffle; the model (under 1 MB, fitted on at most ``MOST_LABELS`` labelled texts) travels with
-    the tasks. Whole texts are read. Null, empty and blank texts score 0. Other columns pass through, null or not;
+    One pass without a shuffle; the model (under 3 MB, fitted on at most ``MOST_LABELS`` labelled texts and as many of ``ordinary``,
+    labelled texts in a column ``text`` that are not about abuse) travels with the tasks. Whole texts are read. Null, empty and blank texts score 0. Other columns pass through, null or not;
     a column that has one of the new names is replaced.
     """
-    model = pickle.dumps(train(read_labels(labels)))
+    model = pickle.dumps(train(read_labels(labels), [] if ordinary is None else [t for t, _ in read_labels(ordinary, "text", "text")]))
     others = [c for c in records.columns if c not in (text, "score", "flagged", "spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,12 +617,12 @@ def score_table(records: DataFrame, text: str, labels: DataFrame, spans: bool =
     return records.select(text, *others).mapInArrow(run, ", ".join(shape))
 
 
-def scored_records(rows: DataFrame, labels: DataFrame, keep: Sequence[str] = (), spans: bool = False) -> DataFrame:
+def scored_records(rows: DataFrame, labels: DataFrame, keep: Sequence[str] = (), spans: bool = False, ordinary: DataFrame | None = None) -> DataFrame:
     """Scores of records: every delivered row is scored where it lies, then the newest row of an id counts.
 
     So only ids, scores and the columns to keep are shuffled, never texts.
     """
-    scored = score_table(spread(rows.select("id", "ingested_at", "text", *keep)), "text", labels, spans)
+    scored = score_table(spread(rows.select("id", "ingested_at", "text", *keep)), "text", labels, spans, ordinary)
     return latest_records(scored, "id", "ingested_at", ["score", "flagged", *(["spans"] if spans else []), *keep])
 
 
