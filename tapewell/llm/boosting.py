@@ -70,3 +70,11 @@ class BoostedTrees:
                 node = 2 * node + (x[rows, f[place]] > c[place])
             margin += leaf[node]
         return 1 / (1 + np.exp(-margin))
+
+    def one(self, x: np.ndarray) -> float:
+        """Probability of a single row, all trees at a time."""
+        trees, node = np.arange(len(self.leaves)), np.zeros(len(self.leaves), int)
+        for level in range(self.depth):
+            place = 2**level - 1 + node
+            node = 2 * node + (x[self.features[trees, place]] > self.limits[trees, place])
+        return float(1 / (1 + np.exp(-(self.base + self.leaves[trees, node].sum()))))

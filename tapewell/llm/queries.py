@@ -86,13 +86,17 @@ def p3_reservoir(spark: SparkSession, folder: str) -> DataFrame:
     return marked.where("kept").select("id", "author", "score")
 
 
+def _finder(spark: SparkSession, folder: str) -> pii.Finder:
+    return pii.train(companies=pii.company_names(table(spark, folder, "universe")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.found_kinds(table(spark, folder, "mention"))
+    return pii.found_kinds(table(spark, folder, "mention"), _finder(spark, folder))
 
 
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Every record's text and title with placeholders for personal information."""
-    return pii.redacted_records(table(spark, folder, "mention"))
+    return pii.redacted_records(table(spark, folder, "mention"), _finder(spark, folder))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import pickle
+import re
+
 import numpy as np
 import pytest
 
 from tapewell.llm import pii
 from tapewell.llm.boosting import BoostedTrees
+from tests.llm.phrasings import phrasings
 
 
 @pytest.fixture(scope="module")
@@ -16,15 +20,27 @@ def kinds(finder, text):
     return {s[2] for s in finder.spans([text])[0]}
 
 
-def test_held_out_accuracy(finder):
-    """Texts from another seed: nearly everything is found, hardly anything else."""
-    maker = pii._Maker(77)
+def test_phrasings_kept_apart(finder):
+    """Sentences written before the training frames: at least nine in ten items found and right."""
     hit = miss = wrong = 0
-    samples = [maker.sample() for _ in range(600)]
-    for (text, gold), got in zip(samples, finder.spans([s[0] for s in samples])):
-        want, have = {k for _, _, k in gold}, {k for _, _, k, _ in got}
+    for line in phrasings("pii_phrasings.txt"):
+        want = set(re.findall(r"\{(\w+):", line))
+        have = kinds(finder, re.sub(r"\{\w+:(.*?)\}", r"\1", line))
         hit, miss, wrong = hit + len(want & have), miss + len(want - have), wrong + len(have - want)
-    assert hit / (hit + miss) > 0.97 and hit / (hit + wrong) > 0.99
+    assert hit / (hit + miss) >= 0.9 and hit / (hit + wrong) >= 0.9
+
+
+def test_local_parts_and_places_of_any_length(finder):
+    long = "x" * 500 + ".y@mail.example"
+    (span,) = finder.spans([f"write to {long} please"])[0]
+    assert span[:3] == (9, 9 + len(long), "email")
+    street = f"12 {'Long' * 60} Street, {'Place' * 40}"
+    assert any(f"They moved to {street} in May."[a:b] == street for a, b, k, _ in finder.spans([f"They moved to {street} in May."])[0] if k == "address")
+
+
+def test_known_companies_are_no_names():
+    finder = pii.train(companies=["Anselm Porter", "Ludo Benning Group"])
+    assert kinds(finder, "Anselm Porter reports on Monday.") == set() and kinds(finder, "Sold half of Ludo Benning this week.") == set()
 
 
 @pytest.mark.parametrize(
@@ -95,6 +111,7 @@ def test_boosting_learns_an_interaction():
     model = BoostedTrees(trees=30).fit(x[:1000], y[:1000])
     assert np.mean((model.predict(x[1000:]) > 0.5) == (y[1000:] > 0.5)) > 0.98
     assert model.predict(np.zeros((0, 5))).shape == (0,)
+    assert [model.one(row) for row in x[:20]] == pytest.approx(model.predict(x[:20]).tolist())
 
 
 @pytest.mark.parametrize("text", ["1" * 300_000, "1 " * 150_000, "Anna " * 60_000, "@" * 200_000, "a@b." * 50_000, "A. " * 100_000, "12 Oak Street, " * 4_000, "Mr. " * 50_000, "a" * 300_000])
@@ -124,13 +141,18 @@ def test_names_that_no_list_holds(finder, name, text):
     assert [text[a:b] for a, b, kind, _ in finder.spans([text])[0] if kind == "name"] == [name]
 
 
-def test_runs_left_out_are_those_the_trees_refuse(finder):
-    import pickle
-
+def test_hardly_a_name_is_left_out_for_its_words(finder):
+    """Runs that the words alone rule out: fewer than one made name in a thousand, and no run that the trees would take."""
     maker = pii._Maker(78)
-    text = pii._RECORD.join(maker.sample()[0] for _ in range(200))
-    all_of_them = pickle.loads(pickle.dumps(finder))
-    all_of_them._can_be = lambda own: True
+    samples = [maker.sample() for _ in range(1500)]
+    text = pii._RECORD.join(t for t, _ in samples)
+    starts = np.cumsum([0] + [len(t) + 1 for t, _ in samples])
+    names = {(int(s) + a, int(s) + b) for s, (_, spans) in zip(starts, samples) for a, b, k in spans if k == "name"}
+    everything = pickle.loads(pickle.dumps(finder))
+    everything._can_be = lambda own: True
     kept = {(c.start, c.end) for c in finder.candidates(text) if c.kind == "name"}
-    more = [c for c in all_of_them.candidates(text) if c.kind == "name" and (c.start, c.end) not in kept]
-    assert more and finder.models["name"].predict(np.array([c.x for c in more])).max() < finder.thresholds["name"]
+    more = [c for c in everything.candidates(text) if c.kind == "name" and (c.start, c.end) not in kept]
+    lost = [c for c in more if (c.start, c.end) in names]
+    assert len(names) > 300 and len(lost) <= len(names) / 1000
+    taken = finder.models["name"].predict(np.array([c.x for c in more])) >= finder.thresholds["name"]
+    assert taken.sum() <= len(names) / 1000

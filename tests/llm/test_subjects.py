@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tapewell.llm import subjects
+from tests.llm.phrasings import phrasings
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +31,21 @@ def test_held_out_accuracy(labels):
     assert right / (len(rows) - cut) > 0.9
 
 
+def test_phrasings_kept_apart(matcher):
+    """Texts written before the term lists: at least nine in ten subjects found and right."""
+    hit = miss = wrong = 0
+    for line in phrasings("subject_phrasings.tsv"):
+        subjects_, text = line.split("\t")
+        want = set(subjects_.split(",")) - {"-"}
+        have = {k for k, (n, _) in matcher.document(text).items() if n >= 2}
+        hit, miss, wrong = hit + len(want & have), miss + len(want - have), wrong + len(have - want)
+    assert hit / (hit + miss) >= 0.9 and hit / (hit + wrong) >= 0.9
+
+
+def test_tags_of_any_length(matcher):
+    assert subjects.sentences(f"<a title='{'surgeon ' * 500}'>nothing</a>") == [" nothing "]
+
+
 @pytest.mark.parametrize(
     "sentence,want",
     [

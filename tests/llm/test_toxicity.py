@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tapewell.llm import toxicity
+from tests.llm.phrasings import phrasings
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +15,26 @@ def labels(spark, folder):
 
 
 @pytest.fixture(scope="module")
-def tagger(labels):
-    return toxicity.train(labels)
+def ordinary(spark, folder):
+    return [r[0] for r in spark.read.parquet(f"{folder}/subject_label.parquet").select("text").collect()]
+
+
+@pytest.fixture(scope="module")
+def tagger(labels, ordinary):
+    return toxicity.train(labels, ordinary)
+
+
+def test_phrasings_kept_apart(tagger):
+    """Sentences written before the word lists and patterns: at least nine in ten found and right."""
+    rows = [line.split("\t") for line in phrasings("toxicity_phrasings.tsv")]
+    got = tagger.scores([t for _, t in rows])[0] >= tagger.threshold
+    truth = np.array([y == "1" for y, _ in rows])
+    assert (got & truth).sum() / truth.sum() >= 0.9 and (got & truth).sum() / got.sum() >= 0.9
+
+
+def test_misspelt_words(tagger):
+    plain = tagger.reader.plain
+    assert [plain(w) for w in ("imbecle", "imbeccile", "callate", "scumbagg", "parasites", "moon", "whole")] == ["imbecile", "imbecile", "cállate", "scumbag", "parasites", "moon", "whole"]
 
 
 def flagged(tagger, *texts):
