@@ -589,7 +589,7 @@ class _Maker:
         if k < 0.76 and m >= 0.21 or k < 0.76 and m < 0.12 and not a.endswith("."):
             return f"{b}, {a}"
         title = self.r.choice(["Mr.", "Mrs.", "Ms", "Dr.", "Mr", "Mrs", "Prof.", "Miss", "Herr", "Frau", "Ms.", "Dr", "Mme"])
-        return f"{title} {b}" if k < 0.94 and (m < 0.16 or m >= 0.19) else f"{title} {a} {b}"
+        return f"{title} {b}" if k < 0.88 and (m < 0.16 or m >= 0.19) else f"{title} {a} {b}"
 
     def email(self) -> str:
         a, b = self.given().lower(), self.surname().lower()
