@@ -37,6 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     p = sub.add_parser("returns", help="prices to returns and volatilities")
     p.add_argument("prices")
     p.add_argument("output")
+    p.add_argument("--limit", type=int, help="only the first so many tickers in alphabetical order")
     p = sub.add_parser("panel", help="returns and daily sentiment to the panel")
     for name in ("returns", "sentiment", "output"):
         p.add_argument(name)
@@ -71,7 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.command == "mentions":
         names = args.datasets or sources.discover(spark, args.raw)
         known = universe.usable(sources.universe_file(spark, args.universe))
-        stop = spark.read.text(args.stop_words).toPandas()["value"].tolist() if args.stop_words else []
+        stop = extraction.stop_words(spark, args.stop_words)
         find = extraction.extractor(known, universe.names_of(known), stop)
 
         def read(part: str, schema):
@@ -94,7 +95,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         sinks.csv(mentions.pivot_counts(counts), f"{args.output}/daily_ticker_counts", ("date",))
         counts.unpersist()
     elif args.command == "returns":
-        sinks.parquet(returns.calculate_returns(spark.read.parquet(args.prices)), args.output)
+        prices = spark.read.parquet(args.prices)
+        if args.limit is not None:
+            prices = universe.first_tickers(prices, args.limit)
+        sinks.parquet(returns.calculate_returns(prices), args.output)
     elif args.command == "panel":
         config = panel.PanelConfig(alternatives=tuple(args.alternatives), min_financial_days=args.min_days[0], min_mention_days=args.min_days[1], min_valid_days=args.min_days[2])
         state, inputs = State(args.output.rstrip("/") + ".state.json"), {"returns": args.returns, "sentiment": args.sentiment}
@@ -126,10 +130,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         stocks = garch.stock_arrays(spark.read.parquet(args.panel), spec)
         if args.command == "garch":
             result = garch.fit_panel(stocks, spec, args.rounds, errors=True)
-            out = {"global": result.global_params, "errors": result.global_errors, "loglik": result.loglik, "aic": result.aic, "bic": result.bic, "converged": result.converged}
-            sinks.json_file(out | {"stocks": result.stock_table().to_dict("records")}, args.output + ".json")
+            sinks.garch_tables(result, args.output)
         else:
-            sinks.json_file([asdict(t) for t in garch.pooling_tests(stocks, spec, args.params, args.rounds)], args.output + ".json")
+            sinks.likelihood_ratio_tables(garch.pooling_tests(stocks, spec, args.params, args.rounds), args.output)
 
 
 if __name__ == "__main__":

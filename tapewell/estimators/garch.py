@@ -19,14 +19,15 @@ _BLOCK = 64
 
 # ---------------------------------------------------------------- filter
 def filter_column(series: Column, omega: Column, alpha: Column, beta: Column, start: Column) -> Column:
-    """Conditional variances of an ordered array of returns as a fold inside the JVM; no exogenous terms."""
+    """Conditional variances of an ordered array of returns, in time linear in its length; no exogenous terms."""
 
-    def step(acc, r):
-        v = F.greatest(omega + alpha * acc["e"] * acc["e"] + beta * acc["v"], F.lit(FLOOR))
-        return F.struct(v.alias("v"), r.alias("e"), F.concat(acc["out"], F.array(v)).alias("out"))
+    @F.pandas_udf("array<double>")
+    def filtered(y: pd.Series, o: pd.Series, a: pd.Series, b: pd.Series, v: pd.Series) -> pd.Series:
+        none = np.zeros(0)
+        return pd.Series([variances(np.asarray(e, float), np.zeros((len(e), 0)), *map(float, p), none, float(s)) for e, *p, s in zip(y, o, a, b, v)])
 
-    first = F.struct(start.alias("v"), F.get(series, 0).alias("e"), F.array(start).alias("out"))
-    return F.aggregate(F.slice(series, 2, F.greatest(F.size(series) - 1, F.lit(0))), first, step, lambda acc: acc["out"])
+    number = lambda c: c.cast("double")
+    return filtered(series, number(omega), number(alpha), number(beta), number(start))
 
 
 def variances(eps: np.ndarray, exog: np.ndarray, omega: float, alpha: float, beta: float, delta: np.ndarray, start: float) -> np.ndarray:
@@ -250,94 +251,119 @@ def _table(spark, params: pd.DataFrame, names: Sequence[str]) -> DataFrame:
 MOST_STOCKS = 1_000_000
 
 
-def fit_panel(stocks: DataFrame, spec: GarchSpec, rounds: int = 60, tolerance: float = 1e-2, errors: bool = False, start: dict[str, float] | None = None) -> PanelGarchResult:
-    """Block coordinate ascent. ``stocks`` comes from ``stock_arrays`` and is kept in memory.
+def _concave(matrix: np.ndarray, least: float) -> np.ndarray:
+    """``matrix`` with all curvatures at least ``least`` downwards, so that it can be inverted and leads uphill."""
+    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
+    return (vectors * -np.maximum(np.abs(values), least)) @ vectors.T
+
+
+def _derivatives(f, at: np.ndarray, h: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian by central differences."""
+    n = len(at)
+    unit, middle = np.eye(n) * h, f(at)
+    up, down = [f(at + u) for u in unit], [f(at - u) for u in unit]
+    gradient, hessian = np.zeros(n), np.zeros((n, n))
+    for i in range(n):
+        gradient[i] = (up[i] - down[i]) / (2 * h)
+        hessian[i, i] = (up[i] - 2 * middle + down[i]) / (h * h)
+        for j in range(i):
+            both = f(at + unit[i] + unit[j]) - f(at + unit[i] - unit[j]) - f(at - unit[i] + unit[j]) + f(at - unit[i] - unit[j])
+            hessian[i, j] = hessian[j, i] = both / (4 * h * h)
+    ok = np.isfinite(gradient).all() and np.isfinite(hessian).all()
+    return (gradient, hessian) if ok else (np.zeros(n), -np.eye(n))
 
-    Stock block: every stock climbs on its own in one grouped job. Global block: candidate vectors around the
-    current one are all scored in one job, each stock's likelihoods adding up; the step shrinks where none of them is better.
-    Without global parameters one pass is the answer. Stops when the likelihood gains less than ``tolerance``.
+
+def fit_panel(stocks: DataFrame, spec: GarchSpec, rounds: int = 60, tolerance: float = 1e-2, errors: bool = False, start: dict[str, float] | None = None) -> PanelGarchResult:
+    """Joint maximum likelihood. ``stocks`` comes from ``stock_arrays`` and is kept in memory.
+
+    A round is a Newton step for the shared parameters in the joint likelihood. The joint Hessian has one block for the shared
+    parameters and one per stock, and stocks only touch the shared block; so each stock frees its own share of that block from
+    its own parameters (Schur complement), and the sums of these small matrices, one job, are all that the driver needs. Then
+    every stock climbs again from where it stood with the shared parameters held, one job; a step that doesn't raise the
+    likelihood is shortened. Parameters keep their bounds by logs and logits. Without shared parameters one pass is the
+    answer. Stops when a round gains less than ``tolerance``; ``converged`` says that the predicted gain was below it too.
+    ``errors``: standard errors of the shared parameters from the joint Hessian.
     """
     spark = stocks.sparkSession
     width = len(spec.exog)
     held = stocks.persist()
     shared = {n: (start or {}).get(n, {"alpha": 0.05, "beta": 0.90, "nu": 8.0, "omega": 1e-5}.get(n, 0.0)) for n in spec.global_names}
     own_shape = "ticker string, n_obs int, loglik double" + "".join(f", `{n}` double" for n in spec.stock_names)
-    params: pd.DataFrame | None = None
-    last, done, step = -math.inf, 0, 0.25
-    converged = False
+    names, mine = spec.global_names, spec.stock_names
+    k = len(names)
+    unit = 1e-4  # scale of shared effects
 
-    def stock_block() -> pd.DataFrame:
-        fixed, known = dict(shared), {} if params is None else params.set_index("ticker")[spec.stock_names].to_dict("index")
+    def with_known(params: pd.DataFrame | None) -> DataFrame:
+        return held if params is None or not mine else held.join(_table(spark, params, mine), "ticker")
 
+    def stock_block(fixed: dict[str, float], params: pd.DataFrame | None) -> pd.DataFrame:
         def run(frames):
             for frame in frames:
                 rows = []
                 for row in frame.itertuples(index=False):
                     y, x = _arrays(row, width)
-                    first = {**{c: 0.0 for c in spec.exog}, **start_values(y), **known.get(row.ticker, {})}
-                    own, value = fit_stock(spec, y, x, fixed, first, 250 if not known else 80)
-                    rows.append((row.ticker, len(y), value, *[own[n] for n in spec.stock_names]))
-                yield pd.DataFrame(rows, columns=["ticker", "n_obs", "loglik", *spec.stock_names])
+                    known = {} if params is None else {n: getattr(row, n) for n in mine}
+                    own, value = fit_stock(spec, y, x, fixed, {**{c: 0.0 for c in spec.exog}, **start_values(y), **known}, 80 if known else 250)
+                    rows.append((row.ticker, len(y), value, *[own[n] for n in mine]))
+                yield pd.DataFrame(rows, columns=["ticker", "n_obs", "loglik", *mine])
 
-        out = held.mapInPandas(run, own_shape).limit(MOST_STOCKS + 1).toPandas()
+        out = with_known(params).mapInPandas(run, own_shape).limit(MOST_STOCKS + 1).toPandas()
         if len(out) > MOST_STOCKS:
             raise ValueError("too many stocks for one table of parameters")
         return out.sort_values("ticker").reset_index(drop=True)
 
-    def score(candidates: list[dict[str, float]]) -> np.ndarray:
-        """Summed likelihood of each candidate, the stocks' parameters held."""
-        own = _table(spark, params, spec.stock_names) if spec.stock_names else None
-        rows = held if own is None else held.join(own, "ticker")
+    def curvature(fixed: dict[str, float], params: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the shared parameters, freed from those of the stocks."""
 
         def run(frames):
-            total = np.zeros(len(candidates))
+            total = np.zeros(k + k * k)
             for frame in frames:
                 for row in frame.itertuples(index=False):
                     y, x = _arrays(row, width)
-                    mine = {n: getattr(row, n) for n in spec.stock_names}
-                    first = {**start_values(y), **mine}
-                    for i, c in enumerate(candidates):
-                        total[i] += max(evaluate(spec, y, x, {**first, **c}), -1e12)
-            yield pd.DataFrame({"i": np.arange(len(candidates)), "v": total})
-
-        got = rows.mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-        out = np.full(len(candidates), -math.inf)
-        out[got["i"].to_numpy(int)] = got["v"].to_numpy(float)
-        return out
-
-    while done < rounds:
+                    scale = float(np.var(y, ddof=1)) or 1e-8
+                    scales = [unit] * k + [scale] * len(mine)
+                    at = np.array([_free(n, v, c) for n, v, c in zip([*names, *mine], [*(fixed[n] for n in names), *(getattr(row, n) for n in mine)], scales)])
+                    f = lambda v: evaluate(spec, y, x, {**start_values(y), **{n: _bound(n, a, c) for n, a, c in zip([*names, *mine], v, scales)}})
+                    g, h = _derivatives(f, at)
+                    if mine:
+                        pull = h[:k, k:] @ np.linalg.inv(_concave(h[k:, k:], 1e-6))
+                        g, h = g[:k] - pull @ g[k:], h[:k, :k] - pull @ h[k:, :k]
+                    total += np.concatenate([g, h.ravel()])
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+        got = with_known(params).mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        flat = np.zeros(k + k * k)
+        flat[got["i"].to_numpy(int)] = got["v"].to_numpy(float)
+        return flat[:k], flat[k:].reshape(k, k)
+
+    params = stock_block(shared, None)
+    last, done, converged = float(params["loglik"].sum()), 1, not names or not len(params)
+    while names and len(params) and done < rounds and not converged:
         done += 1
-        params = stock_block()
-        value = float(params["loglik"].sum())
-        if not spec.global_names:
-            last, converged = value, True
-            break
-        for _ in range(3):
-            around = [dict(shared)]
-            for n in spec.global_names:
-                a = _free(n, shared[n], 1e-4)
-                for k in (-2, -1, -0.3, 0.3, 1, 2):
-                    around.append({**shared, n: _bound(n, a + k * step, 1e-4)})
-            values = score(around)
-            best = int(np.argmax(values))
-            if best == 0 or values[best] <= values[0] + 1e-9:
-                step /= 3
-            else:
-                shared = around[best]
-                value = float(values[best])
-            if step < 1e-4:
+        gradient, hessian = curvature(shared, params)
+        step = np.linalg.solve(-_concave(hessian, 1e-6), gradient)
+        expected = float(gradient @ step) / 2
+        step = step / max(1.0, np.abs(step).max() / 2)
+        at = np.array([_free(n, shared[n], unit) for n in names])
+        gain = 0.0
+        for part in (1.0, 0.3, 0.1, 0.03, 0.01):
+            trial = {n: _bound(n, float(a), unit) for n, a in zip(names, at + part * step)}
+            own = stock_block(trial, params)
+            value = float(own["loglik"].sum())
+            if value > last:
+                gain, last, shared, params = value - last, value, trial, own
                 break
-        if done > 2 and abs(value - last) < tolerance:
-            last, converged = value, True
+        if gain < tolerance:
+            converged = expected < max(tolerance, 1e-6 * abs(last))
             break
-        last = value
     found: dict[str, float | None] = {}
-    if errors and spec.global_names:
-        for n in spec.global_names:
-            h = 1e-3 * max(abs(shared[n]), 1e-3)
-            v = score([{**shared, n: shared[n] - h}, dict(shared), {**shared, n: shared[n] + h}])
-            curve = -(v[0] - 2 * v[1] + v[2]) / (h * h)
-            found[n] = float(1 / math.sqrt(curve)) if curve > 0 else None
+    if errors and names and len(params):
+        _, hessian = curvature(shared, params)
+        variance = np.diag(np.linalg.pinv(-(hessian + hessian.T) / 2))
+        for n, v in zip(names, variance):
+            a = _free(n, shared[n], unit)
+            slope = (_bound(n, a + 1e-5, unit) - _bound(n, a - 1e-5, unit)) / 2e-5
+            found[n] = float(abs(slope) * math.sqrt(v)) if v > 0 else None
     held.unpersist()
     return PanelGarchResult(spec, shared, params, last, done, converged, int((params["n_obs"] - 1).sum()) if len(params) else 0, found)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -58,8 +58,8 @@ class RegressionResult:
         return [(self.spec.name, k, self.coefficients[k], self.std_errors[k], self.t_stats[k], self.p_values[k]) for k in self.coefficients]
 
 
-def demeaned(rows: DataFrame, columns: Sequence[str], effects: str, tolerance: float = 1e-10, most: int = 300) -> tuple[DataFrame, int]:
-    """``rows`` with ``columns`` freed of entity and/or day means; and the number of rounds.
+def demeaned(rows: DataFrame, columns: Sequence[str], effects: str, tolerance: float = 1e-10, most: int = 300) -> tuple[DataFrame, int, Callable[[], object]]:
+    """``rows`` with ``columns`` freed of entity and/or day means; the number of rounds; and what to call to free the memory held.
 
     Two effects on an unbalanced panel: the day effects solve a linear system whose matrix is known by what it does to
     a vector (take it to the rows, subtract the entity means, add up by day). Conjugate gradients need about ten such
@@ -68,11 +68,11 @@ def demeaned(rows: DataFrame, columns: Sequence[str], effects: str, tolerance: f
     also keeps the lineage short.
     """
     if effects == "none":
-        return rows, 0
+        return rows, 0, lambda: None
     keys = {"entity": "ticker", "time": "date"}
     if effects in keys:
         by = Window.partitionBy(keys[effects])
-        return rows.withColumns({c: F.col(c) - F.avg(c).over(by) for c in columns}), 1
+        return rows.withColumns({c: F.col(c) - F.avg(c).over(by) for c in columns}), 1, lambda: None
     held = rows.repartition("ticker").persist()
     by = Window.partitionBy("ticker")
     k = len(columns)
@@ -111,9 +111,12 @@ def demeaned(rows: DataFrame, columns: Sequence[str], effects: str, tolerance: f
         new = (gap * gap).sum(0)
         way = gap + np.where(size > 0, new / np.where(size > 0, size, 1.0), 0.0) * way
         size = new
+    if (size > enough).any():
+        held.unpersist()
+        raise ArithmeticError(f"day effects have not converged after {most} rounds")
     joined = held.join(table(effect), F.col("date") == F.col("__day"))
     less = joined.withColumns({c: F.col(c) - F.col(n) for n, c in zip(names, columns)})
-    return less.withColumns({c: F.col(c) - F.avg(c).over(by) for c in columns}).select(*rows.columns), rounds
+    return less.withColumns({c: F.col(c) - F.avg(c).over(by) for c in columns}).select(*rows.columns), rounds, held.unpersist
 
 
 def _cross(rows: DataFrame, names: Sequence[str]) -> np.ndarray:
@@ -155,7 +158,7 @@ def run_panel_regression(panel: DataFrame, spec: RegressionSpec) -> RegressionRe
     n, entities, days, variance = int(raw[0]), int(raw[1]), int(raw[2]), raw[3]
     if n <= len(x):
         raise ValueError(f"{spec.name}: {n} complete rows for {len(x)} regressors")
-    free, rounds = demeaned(rows, [y, *[c for c in x if c != "__one"]], spec.effects)
+    free, rounds, release = demeaned(rows, [y, *[c for c in x if c != "__one"]], spec.effects)
     free = free.persist()
     cross = _cross(free, [*x, y])
     xx, xy, yy = cross[:-1, :-1], cross[:-1, -1], cross[-1, -1]
@@ -180,6 +183,7 @@ def run_panel_regression(panel: DataFrame, spec: RegressionSpec) -> RegressionRe
     else:
         cov, g = covariance(["ticker" if spec.cluster == "entity" else "date"])
     free.unpersist()
+    release()
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     names = [c for c in x if c != "__one"]
     at = [x.index(c) for c in names]

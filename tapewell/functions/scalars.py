@@ -56,6 +56,14 @@ def stars(p: Column, weakest: bool = True) -> Column:
     return (marks.when(p < 0.1, ".") if weakest else marks).otherwise("")
 
 
+def duration_text(seconds: Column) -> Column:
+    """Whole seconds as hours, minutes and seconds ("1h 02m 05s", "2m 05s", "5s"); null and negative ones give "?"."""
+    s = F.floor(seconds).cast("bigint")
+    hours, minutes, rest = F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60
+    long = F.when(hours > 0, F.format_string("%dh %02dm %02ds", hours, minutes, rest)).when(minutes > 0, F.format_string("%dm %02ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
+    return F.when(s >= 0, long).otherwise("?")
+
+
 def without_lag(name: Column) -> Column:
     return F.regexp_replace(name, r"_lag\d+$", "")
 

@@ -25,11 +25,12 @@ def as_of_trading_day(rows: DataFrame, calendar: DataFrame, date: str = "date")
     """``rows`` with ``trading_date``: the latest trading day up to ``date``; rows before the first one leave.
 
     The calendar is small, so it becomes a spine of all days between its first day and the last of ``rows``,
-    each with its trading day, and one broadcast equi join maps the rows. No range join, no sort of ``rows``.
+    each with its trading day, and one equi join maps the rows; the planner broadcasts the spine where it is as small as days are.
+    No range join, no sort of ``rows``.
     """
     wanted = rows.select(F.col(date).cast("date").alias("__day")).where("__day IS NOT NULL").distinct()
     marked = wanted.withColumn("__trade", F.lit(None).cast("date")).unionByName(calendar.select(F.col("date").alias("__day"), F.col("date").alias("__trade")))
     per_day = marked.groupBy("__day").agg(F.max("__trade").alias("__trade"))
     upto = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)
     spine = per_day.select("__day", F.last("__trade", ignorenulls=True).over(upto).alias("trading_date")).where("trading_date IS NOT NULL")
-    return rows.join(F.broadcast(spine), F.col(date).cast("date") == F.col("__day")).drop("__day")
+    return rows.join(spine, F.col(date).cast("date") == F.col("__day")).drop("__day")

@@ -143,6 +143,15 @@ class Extractor:
 MOST_NAMES = 500_000
 
 
+def stop_words(spark, path: str | None) -> list[str]:
+    """Words in capitals that are no symbols, one a line. Without such a list ordinary words in capitals would count as mentions, so
+    a missing or empty one is refused; an empty list has to be passed on purpose."""
+    words = [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip()] if path else []
+    if not words:
+        raise ValueError("a list of stop words is needed: ordinary words in capitals would count as symbols")
+    return words
+
+
 def extractor(universe: DataFrame, names: DataFrame, stop_words: Sequence[str] = (), aliases=None) -> Extractor:
     """Reads symbols and name variants on the driver, behind a check of their number."""
     symbols = [r[0] for r in universe.select("ticker").distinct().limit(MOST_NAMES + 1).collect()]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges into which the values are cut for percentiles, so that no task has all values of a key.
-RANGES = 64
+#: Least number of ranges into which the values are cut for percentiles, so that no task has all values of a key. A session
+#: with many shuffle partitions (``spark.sql.shuffle.partitions``) gets four times as many ranges as partitions.
+RANGES = 1024
 
 
 def compressed(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -36,9 +38,9 @@ def key_totals(counts: DataFrame) -> DataFrame:
 
 
 def key_modes(counts: DataFrame) -> DataFrame:
-    """Per key: the most frequent non-null value (the smallest of equals) and its count."""
-    best = F.max(F.struct(F.col("n").alias("n"), (-F.col("value")).alias("minus"))).alias("best")
-    return counts.where(F.col("value").isNotNull()).groupBy("key").agg(best).select("key", (-F.col("best.minus")).alias("mode_value"), F.col("best.n").alias("mode_count"))
+    """Per key: the most frequent non-null value (the smallest of equals) and its count. Values of any type that has an order."""
+    best = F.min(F.struct((-F.col("n")).alias("minus"), F.col("value").alias("value"))).alias("best")
+    return counts.where(F.col("value").isNotNull()).groupBy("key").agg(best).select("key", F.col("best.value").alias("mode_value"), (-F.col("best.minus")).alias("mode_count"))
 
 
 def key_percentiles(counts: DataFrame, shares: Sequence[float] = (0.5,), interpolate: bool = False) -> DataFrame:
@@ -47,14 +49,24 @@ def key_percentiles(counts: DataFrame, shares: Sequence[float] = (0.5,), interpo
     Without ``interpolate`` the least value with at least that share at or below it; with it the linear interpolation
     between the two values around the place share * (n - 1).
 
-    Two levels, so that no task ever sorts all values of one key: the values are cut into ``RANGES``
-    ranges at global approximate quantiles, weights are added up by key and range, and only the
-    ranges that hold a wanted rank are put in order. The cuts decide the balance, never the result.
+    Two levels, so that no task ever sorts all values of one key: the values are cut into ranges (``RANGES`` or more)
+    at global approximate quantiles, weights are added up by key and range, and only the
+    ranges that hold a wanted rank are put in order. The cuts decide the balance, never the result. A value finds its
+    range by two looks, first among every w-th cut and then among the w cuts there.
     """
     some = counts.where(F.col("value").isNotNull())
-    inner = [i / RANGES for i in range(1, RANGES)]
-    cuts = some.agg(F.percentile_approx(F.col("value").cast("double"), inner, 2000).alias("cuts"))
-    placed = some.withColumn("cuts", cuts.scalar()).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value").cast("double")))).drop("cuts")
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = math.ceil(math.sqrt(max(RANGES, 4 * partitions)))
+    ranges = width * width
+    cuts = some.agg(F.percentile_approx(F.col("value").cast("double"), [i / ranges for i in range(1, ranges)], 4 * ranges).alias("cuts"))
+    number = F.col("value").cast("double")
+    below = lambda some_cuts: F.size(F.filter(some_cuts, lambda c: c < number))
+    placed = (
+        some.withColumn("cuts", cuts.scalar())
+        .withColumn("first", below(F.transform(F.sequence(F.lit(width), F.lit(ranges - width), F.lit(width)), lambda i: F.get("cuts", i - 1))))
+        .withColumn("part", F.col("first") * width + below(F.slice("cuts", F.col("first") * width + 1, F.lit(width - 1))))
+        .drop("cuts", "first")
+    )
     by_part = placed.groupBy("key", "part").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy("key")
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

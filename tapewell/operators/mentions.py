@@ -123,7 +123,7 @@ def sample_records(records: DataFrame, by, k: int = 20, seed: int = 0, identity:
     Each task keeps its k smallest per group first, so a group never gathers whole in one task.
     """
     by = [by] if isinstance(by, str) else list(by)
-    keyed = records.withColumns({"__h": F.xxhash64(F.lit(seed), identity), "__part": F.spark_partition_id()})
+    keyed = records.withColumns({"__h": F.md5(F.concat(F.lit(f"{seed}:"), F.col(identity).cast("string"))), "__part": F.spark_partition_id()})
     mine = keyed.withColumn("__i", F.row_number().over(Window.partitionBy(*by, "__part").orderBy("__h", identity))).where(F.col("__i") <= k)
     final = F.row_number().over(Window.partitionBy(*by).orderBy("__h", identity))
     return mine.withColumn("__i", final).where(F.col("__i") <= k).drop("__h", "__part", "__i")

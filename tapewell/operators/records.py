@@ -29,18 +29,13 @@ def latest_records(rows: DataFrame, key: str, order: str, columns: Sequence[str]
 def once(rows: DataFrame, key: Sequence[str], columns: Sequence[str], whole: Sequence[str] | None = None) -> DataFrame:
     """Exact copies of a row count once; gives ``key`` and ``columns``.
 
-    Rows are the same when ``key`` and a 64-bit hash over all columns (or over ``whole``) are the
-    same, so only the key, the hash and ``columns`` are shuffled, combined before the shuffle.
-    Different rows with one key all stay.
+    Rows are the same when all columns (or ``key``, ``columns`` and those of ``whole``) are the same, null being the same as
+    null, NaN as NaN and -0.0 as 0.0. The columns themselves are compared, maps included, so no two different rows are taken
+    for one; copies are combined before the shuffle. Different rows with one key all stay.
     """
-    names = [c for c in (whole or rows.columns)]
-    plain = [c for c in names if not rows.schema[c].dataType.typeName() == "map"]
-    return (
-        rows.select(*key, *[c for c in columns if c not in key], F.xxhash64(*plain).alias("__copy"))
-        .groupBy(*key, "__copy")
-        .agg(*[F.first(c).alias(c) for c in columns if c not in key])
-        .drop("__copy")
-    )
+    names = list(dict.fromkeys([*key, *columns, *(whole or rows.columns)]))
+    copies = rows.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("__copies"))
+    return copies.select(*key, *[c for c in columns if c not in key])
 
 
 def clean_tickers(tickers: str | Column) -> Column:

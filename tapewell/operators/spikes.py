@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewell.operators.heavy_keys import compressed, key_percentiles
 from tapewell.operators.records import once
+from tapewell.session import ensure_checkpoint_dir
 
-#: A series is judged in blocks of so many calendar days, with a margin from both neighbours. The
-#: task that judges a block never has more than block plus margins of one series.
-BLOCK_DAYS, MARGIN_DAYS = 2048, 60
+#: Neighbours of a bar are those within so many calendar days, wherever blocks end.
+MARGIN_DAYS = 60
+#: A series is read in blocks of so many calendar days, with that margin from both neighbours, so that no task has more of one
+#: source. The results don't depend on it: what concerns a source as a whole is found over all its blocks.
+BLOCK_DAYS = 2048
+#: Bars of a weekday that its usual deviation needs; a weekday with fewer has none.
+LEAST_OF_WEEKDAY = 20
+#: With fewer bars the deviate test can reject nothing, whatever the values; the limit in scales decides alone.
+LEAST_FOR_TEST = 8
 
 
 def student_quantile(p: float, df: float) -> float:
@@ -29,65 +38,77 @@ def student_quantile(p: float, df: float) -> float:
     return x + sum(t / df ** (i + 1) for i, t in enumerate(terms))
 
 
-def extreme_deviates(values: np.ndarray, alpha: float, share: float = 0.2) -> np.ndarray:
-    """Generalised extreme studentised deviate test: a mask of the outliers among finite ``values``.
+def critical_value(m: int, alpha: float) -> float:
+    """Limit of the deviate of the most extreme of ``m`` values."""
+    t = student_quantile(1 - alpha / (2 * m), m - 2)
+    return (m - 1) * t / math.sqrt((m - 2 + t * t) * m)
+
+
+def deviate(value: float, m: int, total: float, squares: float) -> float:
+    """Studentised deviate of ``value`` among ``m`` values with this sum and sum of squares, itself among them."""
+    mean = total / m
+    sd = math.sqrt(max(squares / m - mean * mean, 0.0) * m / (m - 1))
+    return abs(value - mean) / sd if sd > 1e-12 else 0.0
+
+
+def outliers(suspects: np.ndarray, n: int, total: float, squares: float, alpha: float) -> np.ndarray:
+    """Generalised extreme studentised deviate test of ``suspects`` among ``n`` values with this sum and sum of squares: a mask.
 
-    Up to ``share`` of the values may be outliers. Sums are updated as values leave, so a step costs O(1).
+    The most extreme suspect leaves first; the last one whose deviate is beyond its limit and all before it are outliers, so
+    outliers can't hide each other. Sums are updated as values leave, so a step costs O(1).
     """
-    at = np.flatnonzero(np.isfinite(values))
-    n = len(at)
-    found = np.zeros(len(values), bool)
-    most = int(n * share)
-    if n < 8 or most < 1:
-        return found
-    x = values[at]
-    left, right = 0, n - 1
-    order = np.argsort(x, kind="stable")
-    total, squares, number = float(x.sum()), float((x * x).sum()), 0
+    found = np.zeros(len(suspects), bool)
+    order = np.argsort(suspects, kind="stable")
+    left, right, number = 0, len(suspects) - 1, 0
     gone: list[int] = []
-    for i in range(1, most + 1):
-        m = n - i + 1
+    for m in range(n, max(n - len(suspects), 2), -1):
         mean = total / m
-        sd = np.sqrt(max(squares / m - mean * mean, 0.0) * m / (m - 1))
-        if sd <= 1e-12:
-            break
-        low, high = x[order[left]], x[order[right]]
+        low, high = suspects[order[left]], suspects[order[right]]
         if mean - low > high - mean:
-            pick, value, left = order[left], low, left + 1
+            pick, left = order[left], left + 1
         else:
-            pick, value, right = order[right], high, right - 1
+            pick, right = order[right], right - 1
+        value = float(suspects[pick])
         gone.append(pick)
-        t = student_quantile(1 - alpha / (2 * m), m - 2)
-        if abs(value - mean) / sd > (m - 1) * t / np.sqrt((m - 2 + t * t) * m):
-            number = i
+        if deviate(value, m, total, squares) > critical_value(m, alpha):
+            number = len(gone)
         total, squares = total - value, squares - value * value
-    found[at[gone[:number]]] = True
+    found[gone[:number]] = True
     return found
 
 
-def _shifted(x: np.ndarray, steps: Sequence[int]) -> np.ndarray:
+def extreme_deviates(values: np.ndarray, alpha: float, share: float = 0.2) -> np.ndarray:
+    """The test over a whole array, with up to ``share`` of the finite values, the farthest from the median, as suspects."""
+    at = np.flatnonzero(np.isfinite(values))
+    found = np.zeros(len(values), bool)
+    x = values[at]
+    most = int(len(at) * share)
+    if len(at) < LEAST_FOR_TEST or most < 1:
+        return found
+    far = np.argsort(-np.abs(x - np.median(x)), kind="stable")[:most]
+    found[at[far[outliers(x[far], len(x), float(x.sum()), float((x * x).sum()), alpha)]]] = True
+    return found
+
+
+def _shifted(x: np.ndarray, steps: Sequence[int], days: np.ndarray) -> np.ndarray:
+    """``x`` so many rows before (positive steps) or after, NaN where that row is further away than the margin."""
     out = np.full((len(steps), len(x)), np.nan)
     for row, k in zip(out, steps):
-        if k > 0:
-            row[k:] = x[:-k] if k < len(x) else row[k:]
-        elif k < 0:
-            row[:k] = x[-k:] if -k < len(x) else row[:k]
-        else:
-            row[:] = x
+        if 0 < k < len(x):
+            row[k:] = np.where(days[k:] - days[:-k] <= MARGIN_DAYS, x[:-k], np.nan)
+        elif k < 0 and -k < len(x):
+            row[:k] = np.where(days[-k:] - days[:k] <= MARGIN_DAYS, x[-k:], np.nan)
     return out
 
 
-def judge(bars: np.ndarray, weekday: np.ndarray, alpha: float = 1e-4, least: float = 9.0, repeats: int = 5) -> dict[str, np.ndarray]:
-    """Flags of one series in date order. ``bars`` holds open, high, low and close; NaN stands for a missing price.
+def neighbourhood(bars: np.ndarray, days: np.ndarray, repeats: int = 5) -> dict[str, np.ndarray]:
+    """What the bars around each bar of a series in date order tell. ``bars`` holds open, high, low and close; NaN stands for missing.
 
-    *Range check:* infinite, zero or negative prices, a low above the high, an open or close outside low and high.
-    *Spikes:* logs of the prices are split into trend, weekday effect and residual. The trend keeps jumps: it is
-    the nearer of the median of the three days before and of the three days after, so a lasting move is borne out
-    on one side, and a day deviates only if it leaves both sides in the same direction. At an end of the series
-    the bar's own middle stands for the missing side. Residuals are divided by the larger of the source's usual
-    daily move, the move of the surrounding days and their trading range; those beyond the studentised deviate
-    limits and at least ``least`` scales away are spikes.
-    *Stuck readings:* bars equal to the one before, from a run with at least ``repeats`` repetitions.
+    ``impossible``: infinite, zero or negative prices, a low above the high, an open or close outside low and high.
+    ``stuck``: bars equal to the one before, from a run with at least ``repeats`` repetitions.
+    ``before``, ``after``: medians of the logs of the three bars on either side; at an end the bar's own middle stands for the missing side.
+    ``away``: how far the middle of the bar is from the nearer of the two. ``move``: distance from the middle of the bar before.
+    ``around``: usual move of the twenty bars around, ``near``: their usual range, both as scales.
     """
     n = len(bars)
     o, h, l, c = bars.T
@@ -96,44 +117,77 @@ def judge(bars: np.ndarray, weekday: np.ndarray, alpha: float = 1e-4, least: flo
         impossible = np.isinf(bars).any(1) | (bars <= 0).any(1) | (l > h) | (o > h) | (c > h) | (o < l) | (c < l)
         logs = np.log(np.where((bars > 0) & np.isfinite(bars), bars, np.nan))
         middle = np.nanmedian(logs, axis=1) if n else np.empty(0)
-        before, after = np.nanmedian(_shifted(middle, (1, 2, 3)), axis=0), np.nanmedian(_shifted(middle, (-1, -2, -3)), axis=0)
+        before, after = np.nanmedian(_shifted(middle, (1, 2, 3), days), axis=0), np.nanmedian(_shifted(middle, (-1, -2, -3), days), axis=0)
         before, after = np.where(np.isnan(before), middle, before), np.where(np.isnan(after), middle, after)
         away = np.where(np.abs(middle - before) < np.abs(middle - after), middle - before, middle - after)
+        move = np.abs(middle - _shifted(middle, (1,), days)[0])
+        around = 1.4826 * np.nanmedian(_shifted(move, [k for k in range(-10, 11) if k], days), axis=0)
+        ranges = np.nanmax(logs, axis=1) - np.nanmin(logs, axis=1) if n else np.empty(0)
+        near = 0.6 * np.nanmedian(_shifted(ranges, (-3, -2, -1, 1, 2, 3), days), axis=0)
+    same = np.zeros(n, bool)
+    if n > 1:
+        both = ~np.isnan(bars[1:]) & ~np.isnan(bars[:-1])
+        same[1:] = (both.sum(1) >= 2) & ((bars[1:] == bars[:-1]) | ~both).all(1) & (np.diff(days) <= MARGIN_DAYS)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    stuck = np.zeros(n, bool)
+    for first, stop in zip(edges[::2][edges[1::2] - edges[::2] >= repeats], edges[1::2][edges[1::2] - edges[::2] >= repeats]):
+        stuck[first:stop] = True
+    return {"impossible": impossible, "stuck": stuck, "before": before, "after": after, "away": away, "move": move, "around": around, "near": near}
+
+
+def judge(bars: np.ndarray, weekday: np.ndarray, alpha: float = 1e-4, least: float = 9.0, repeats: int = 5, days: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Flags of one series in memory, the plain form of ``faulty_bars``: the same rules with numpy (days: consecutive if not given)."""
+    n = len(bars)
+    of = neighbourhood(bars, np.arange(n) if days is None else days, repeats)
+    with warnings.catch_warnings(), np.errstate(invalid="ignore", divide="ignore"):
+        warnings.simplefilter("ignore")
         season = np.zeros(n)
         for d in np.unique(weekday):
-            if (weekday == d).sum() >= 20:
-                season[weekday == d] = np.nan_to_num(np.nanmedian(away[weekday == d]))
-        moves = np.abs(_shifted(middle, (0,))[0] - _shifted(middle, (1,))[0])
-        usual = 1.4826 * np.nanmedian(moves) if np.isfinite(moves).any() else np.nan
-        around = 1.4826 * np.nanmedian(_shifted(moves, [k for k in range(-10, 11) if k]), axis=0)
-        ranges = np.nanmax(logs, axis=1) - np.nanmin(logs, axis=1)
-        near = 0.6 * np.nanmedian(_shifted(ranges, (-3, -2, -1, 1, 2, 3)), axis=0)
-        scale = np.fmax(np.fmax(usual, around), np.fmax(near, 1e-4))
-        down, up = logs - season[:, None] - before[:, None], logs - season[:, None] - after[:, None]
+            own = of["away"][(weekday == d) & np.isfinite(of["away"])]
+            if len(own) >= LEAST_OF_WEEKDAY:
+                season[weekday == d] = np.median(own)
+        usual = 1.4826 * np.nanmedian(of["move"]) if np.isfinite(of["move"]).any() else np.nan
+        scale = np.fmax(np.fmax(usual, of["around"]), np.fmax(of["near"], 1e-4))
+        logs = np.log(np.where((bars > 0) & np.isfinite(bars), bars, np.nan))
+        down, up = logs - season[:, None] - of["before"][:, None], logs - season[:, None] - of["after"][:, None]
         residual = np.where(np.sign(down) == np.sign(up), np.where(np.abs(down) < np.abs(up), down, up), 0.0) / scale[:, None]
         residual = np.where(np.isnan(logs), np.nan, residual)
         field = np.argmax(np.nan_to_num(np.abs(residual)), axis=1)
         worst = residual[np.arange(n), field]
-        spike = extreme_deviates(worst, alpha) & (np.abs(worst) >= least)
-        gap = np.isnan(bars)
-        stuck, run = np.zeros(n, bool), 0
-        for i in range(1, n + 1):
-            both = i < n and ~gap[i] & ~gap[run]
-            if i < n and both.sum() >= 2 and (bars[i] == bars[run])[both].all():
-                continue
-            if i - 1 - run >= repeats:
-                stuck[run + 1 : i] = True
-            run = i
-    return {"impossible": impossible, "spike": spike, "stuck": stuck, "field": field, "deviation": worst}
+    at = np.flatnonzero(np.abs(worst) >= least)
+    x = worst[np.isfinite(worst)]
+    spike = np.zeros(n, bool)
+    spike[at] = outliers(worst[at], len(x), float(x.sum()), float((x * x).sum()), alpha) if len(x) >= LEAST_FOR_TEST else True
+    return {"impossible": of["impossible"], "spike": spike, "stuck": of["stuck"], "field": field, "deviation": worst}
+
+
+def _median(features: DataFrame, key: Column, value: str) -> DataFrame:
+    """(key, n, p50) over the non-null values, by value frequencies: no task has all values of a key."""
+    counts = compressed(features.where(F.col(value).isNotNull()).select(key.alias("k"), value), "k", value)
+    number = counts.groupBy("key").agg(F.sum("n").alias("n")).withColumnRenamed("key", "k")
+    return key_percentiles(counts, (0.5,), interpolate=True).join(number, F.col("key") == F.col("k")).drop("k")
 
 
 def faulty_bars(rows: DataFrame, source: str, date: str, fields: Sequence[str] = ("open", "high", "low", "close"), alpha: float = 1e-4, least: float = 9.0, repeats: int = 5) -> DataFrame:
     """Rows: source, date, ``impossible``, ``spike``, ``stuck`` (booleans), ``field``, ``deviation`` of faulty bars.
 
+    *Range and run checks:* see ``neighbourhood``. *Spikes:* logs of the prices are split into trend, weekday effect and
+    residual. The trend keeps jumps: it is the nearer of the medians of the three bars before and after, so a lasting move is
+    borne out on one side, and a day deviates only if it leaves both sides in the same direction. Residuals are divided by the
+    largest of the source's usual daily move, the move of the surrounding days and their trading range. Suspects are at least
+    ``least`` scales away; those beyond the limits of the generalised extreme studentised deviate test among all residuals of the
+    source are spikes (in a source with fewer than ``LEAST_FOR_TEST`` bars every suspect).
+
     Exact copies of a row count once. Null and NaN prices are missing, not faulty; rows without a source or a
     date can't be placed and are left out. Several different rows of one day are judged one after the other, in the order of their values.
-    One shuffle by source and block of days; a block is judged in one call with numpy. An empty table gives no rows.
+    An empty table gives no rows.
+
+    One shuffle by source and block of days and one pass in numpy over each block; its result is checkpointed. Medians per source
+    and weekday are exact and found by value frequencies, sums per source are combined before their shuffle. The test first asks
+    whether the least extreme suspect is an outlier without the others, which needs sums only and settles nearly every source; only
+    suspects of sources where it isn't are put in order.
     """
+    spark = rows.sparkSession
     bars = once(rows.where(F.col(source).isNotNull() & F.col(date).isNotNull()), [source, date], list(fields))
     day = F.datediff(F.col(date).cast("date"), F.lit("1970-01-01").cast("date"))
     block, inside = F.floor(day / BLOCK_DAYS), F.pmod(day, F.lit(BLOCK_DAYS))
@@ -141,23 +195,75 @@ def faulty_bars(rows: DataFrame, source: str, date: str, fields: Sequence[str] =
         F.struct(block.alias("b"), F.lit(True).alias("own")),
         F.struct(F.when(inside < MARGIN_DAYS, block - 1).when(inside >= BLOCK_DAYS - MARGIN_DAYS, block + 1).alias("b"), F.lit(False).alias("own")),
     )
-    spread = bars.select(
+    prices = [f"x{i}" for i in range(len(fields))]
+    placed = bars.select(
         F.col(source).alias("source"),
-        F.col(date).cast("date").alias("date"),
-        *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(fields)],
+        day.alias("day"),
+        *[F.col(f).cast("double").alias(x) for f, x in zip(fields, prices)],
         F.explode(blocks).alias("at"),
     ).where("at.b IS NOT NULL")
-    names, kind = list(fields), rows.schema[source].dataType.simpleString()
+    kind = rows.schema[source].dataType.simpleString()
+    numbers = ("before", "after", "away", "move", "around", "near")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "x0", "x1", "x2", "x3"], kind="stable")
-        flags = judge(pdf[["x0", "x1", "x2", "x3"]].to_numpy(float), pd.to_datetime(pdf["date"]).dt.dayofweek.to_numpy(), alpha, least, repeats)
-        out = pd.DataFrame({"source": pdf["source"].to_numpy(), "date": pdf["date"].to_numpy(), **{k: flags[k] for k in ("impossible", "spike", "stuck")}, "field": np.array(names)[flags["field"]], "deviation": flags["deviation"]})
-        return out[pdf["own"].to_numpy(bool) & (out["impossible"] | out["spike"] | out["stuck"]).to_numpy()]
+        day, values, own = pdf["day"].to_numpy(), pdf[prices].to_numpy(float), pdf["own"].to_numpy(bool)
+        order = np.lexsort((*values.T[::-1], day))
+        of = neighbourhood(values[order], day[order], repeats)
+        keep = own[order]
+        out = {"source": pdf["source"].to_numpy()[order][keep], "day": day[order][keep], **{x: v[order][keep] for x, v in zip(prices, values.T)}}
+        return pd.DataFrame(out | {k: of[k][keep] for k in ("impossible", "stuck", *numbers)})
 
-    shape = f"source {kind}, date date, impossible boolean, spike boolean, stuck boolean, field string, deviation double"
-    flat = spread.select("source", "date", "x0", "x1", "x2", "x3", F.col("at.b").alias("b"), F.col("at.own").alias("own"))
+    shape = f"source {kind}, day int, {', '.join(f'{x} double' for x in prices)}, impossible boolean, stuck boolean, {', '.join(f'{k} double' for k in numbers)}"
+    flat = placed.select("source", "day", *prices, F.col("at.b").alias("b"), F.col("at.own").alias("own"))
     # a fixed number of partitions: coalescing by bytes would leave the work in Python to few tasks
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    judged = flat.repartition(parts, "source", "b").groupBy("source", "b").applyInPandas(one, shape)
-    return judged.withColumnsRenamed({"source": source, "date": date})
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    features = flat.repartition(parts, "source", "b").groupBy("source", "b").applyInPandas(one, shape)
+    features = features.select("source", "day", *prices, "impossible", "stuck", *[F.nanvl(k, F.lit(None).cast("double")).alias(k) for k in numbers]).checkpoint()
+
+    weekday = F.pmod(F.col("day") + 3, F.lit(7))
+    usual = _median(features, F.col("source"), "move").select(F.col("key").alias("s"), (1.4826 * F.col("p50")).alias("usual"))
+    seasons = _median(features, F.struct("source", weekday.alias("w")), "away").where(F.col("n") >= LEAST_OF_WEEKDAY)
+    seasons = seasons.select(F.col("key.source").alias("s"), F.col("key.w").alias("w"), F.col("p50").alias("season"))
+    known = features.join(usual, F.col("source") == F.col("s"), "left").drop("s").join(seasons, (F.col("source") == F.col("s")) & (weekday == F.col("w")), "left").drop("s", "w")
+    scale = F.greatest("usual", "around", "near", F.lit(1e-4))
+
+    def residual(x: str) -> Column:
+        log = F.when((F.col(x) > 0) & (F.col(x) < float("inf")), F.log(x))
+        down, up = (log - F.coalesce("season", F.lit(0.0)) - F.col(side) for side in ("before", "after"))
+        return F.when(F.signum(down) != F.signum(up), F.lit(0.0)).when(F.abs(down) < F.abs(up), down).otherwise(up) / scale
+
+    away = F.array(*[F.struct(F.abs(residual(x)).alias("size"), F.lit(-i).alias("i"), residual(x).alias("r")) for i, x in enumerate(prices)])
+    worst = known.select("source", "day", "impossible", "stuck", F.array_max(F.filter(away, lambda a: a["size"].isNotNull())).alias("w"))
+    worst = worst.select("source", "day", "impossible", "stuck", F.element_at(F.array(*[F.lit(f) for f in fields]), F.lit(1) - F.coalesce("w.i", F.lit(0))).alias("field"), F.col("w.r").alias("deviation"))
+    suspect = F.abs("deviation") >= least
+    of_all = worst.groupBy("source").agg(
+        F.count("deviation").alias("n"),
+        F.sum("deviation").alias("total"),
+        F.sum(F.col("deviation") * F.col("deviation")).alias("squares"),
+        F.count_if(suspect).alias("m"),
+        F.sum(F.when(suspect, F.col("deviation"))).alias("total_s"),
+        F.sum(F.when(suspect, F.col("deviation") * F.col("deviation"))).alias("squares_s"),
+        F.min_by("deviation", F.when(suspect, F.abs("deviation"))).alias("least"),
+    ).where("m > 0")
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            whole = []
+            for r in pdf.itertuples():
+                m = r.n - r.m + 1  # all that aren't suspects, and the least extreme one
+                others = r.total - r.total_s + r.least, r.squares - r.squares_s + r.least**2
+                whole.append(r.n < LEAST_FOR_TEST or m > 2 and deviate(r.least, m, *others) > critical_value(m, alpha))
+            yield pd.DataFrame({"s": pdf["source"], "n": pdf["n"], "total": pdf["total"], "squares": pdf["squares"], "whole": np.array(whole, bool)})
+
+    sources = of_all.mapInPandas(settle, f"s {kind}, n bigint, total double, squares double, whole boolean")
+    faults = worst.where(F.col("impossible") | F.col("stuck") | suspect).join(sources, F.col("source") == F.col("s"), "left").withColumn("suspect", F.coalesce(suspect, F.lit(False)))
+    settled = faults.where(~F.col("suspect") | F.col("whole")).select("source", "day", "impossible", F.col("suspect").alias("spike"), "stuck", "field", "deviation")
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf["spike"] = outliers(pdf["deviation"].to_numpy(float), int(pdf["n"].iloc[0]), float(pdf["total"].iloc[0]), float(pdf["squares"].iloc[0]), alpha)
+        return pdf[["source", "day", "impossible", "spike", "stuck", "field", "deviation"]]
+
+    open_ = faults.where(F.col("suspect") & ~F.col("whole")).groupBy("source").applyInPandas(test, f"source {kind}, day int, impossible boolean, spike boolean, stuck boolean, field string, deviation double")
+    found = settled.unionByName(open_).where(F.col("impossible") | F.col("spike") | F.col("stuck"))
+    return found.select(F.col("source").alias(source), F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias(date), "impossible", "spike", "stuck", "field", "deviation")

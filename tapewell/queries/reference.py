@@ -300,9 +300,9 @@ def sentiment_global_stats(spark, folder):
     return sentiment.global_stats(sentiment.daily_sentiment(_scored(spark, folder, tuple(MODELS))))
 
 
-@query()
+@query(f"WITH {RECORDS} SELECT id, subreddit, type FROM (SELECT *, row_number() OVER (PARTITION BY subreddit, type ORDER BY md5('0:' || id), id) AS place FROM rec) WHERE place <= 20")
 def sample_of_records(spark, folder):
-    """Twenty records per subreddit and type, the same for a seed; another hash than SQL has, so rows only."""
+    """Twenty records per subreddit and type, the same for a seed."""
     return mentions.sample_records(_records(spark, folder).select("id", "subreddit", "type"), ("subreddit", "type"))
 
 
@@ -492,7 +492,21 @@ def universe_names(spark, folder):
     return universe.names_of(universe.usable(table(spark, folder, "universe")))
 
 
-@query()
+def _variants_sql() -> str:
+    avoid, keep = universe.name_words()
+    quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
+    bare = lambda x: rf"regexp_replace({x}, '^[ ,.\-]+|[ ,.\-]+$', '', 'g')"
+    kinds, endings = "|".join(universe._STOCK_KINDS), "|".join(universe._ENDINGS)
+    return rf"""WITH a AS (SELECT ticker, raw_name, {bare(r"regexp_replace(split_part(raw_name, ' - ', 1), '\(.*?\)', '', 'g')")} AS head FROM universe),
+    b AS (SELECT *, {bare(f"regexp_replace(head, '{kinds}', '', 'gi')")} AS nk FROM a),
+    c AS (SELECT *, trim(regexp_replace({bare(rf"regexp_replace(nk, '(?:[ ,.\-]*\s(?:{endings})[ ,.\-]*)+$', '', 'i')")}, '^the ', '', 'i')) AS core FROM b),
+    d AS (SELECT ticker, raw_name, unnest([head, trim(split_part(head, ',', 1)), core, CASE WHEN contains(core, '.') AND NOT contains(core, ' ') THEN split_part(core, '.', 1) END]) AS n FROM c),
+    e AS (SELECT ticker, min(n) AS n, length(n) AS size FROM d WHERE n IS NOT NULL AND length(n) > 1 AND lower(n) NOT IN ({quoted(avoid)}) AND (contains(n, ' ') OR length(n) >= 6 OR lower(n) IN ({quoted(keep)})) GROUP BY ticker, lower(n), length(n)),
+    f AS (SELECT ticker, string_agg(n, '|' ORDER BY size, lower(n)) AS name FROM e GROUP BY 1)
+    SELECT universe.ticker, raw_name, coalesce(name, '') AS name FROM universe LEFT JOIN f ON f.ticker = universe.ticker"""
+
+
+@query(_variants_sql())
 def universe_name_variants(spark, folder):
     return universe.with_variants(table(spark, folder, "universe").select("ticker", "raw_name"))
 
@@ -614,6 +628,58 @@ def mean_group(spark, folder):
     return rounded(describe.mean_group(slopes.withColumn("exog", F.lit("volatility"))), 6)
 
 
+@query("SELECT DISTINCT volatility_ja_gk, adj_close, open FROM stock_returns WHERE date < DATE '2100-01-01'")
+def exact_copies(spark, folder):
+    """Rows that are the same in three columns with nulls, once."""
+    names = ["volatility_ja_gk", "adj_close", "open"]
+    return once(table(spark, folder, "stock_returns").where("date < DATE '2100-01-01'"), [], names, names)
+
+
+@query(f"WITH {BATTERY} SELECT ticker, date, {r('annualised', 'volatility_ja_gk * sqrt(252.0)')} FROM ret")
+def annualised_volatility(spark, folder):
+    return rounded(_returns(spark, folder).select("ticker", "date", px.annualised(F.col("volatility_ja_gk")).alias("annualised")))
+
+
+@query(
+    """WITH t AS (SELECT event_id, CAST(floor(abs(value) * 100) AS BIGINT) AS s FROM events)
+    SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration FROM t"""
+)
+def duration_text(spark, folder):
+    return table(spark, folder, "events").select("event_id", sc.duration_text(F.floor(F.abs("value") * 100)).alias("duration"))
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT upper(trim(ticker)) AS s FROM universe WHERE ticker IS NOT NULL), b AS (SELECT DISTINCT upper(trim(t)) AS s FROM (SELECT unnest(tickers) AS t FROM mention) WHERE t IS NOT NULL)
+    SELECT (SELECT count(*) FROM a) AS in_first, (SELECT count(*) FROM b) AS in_second, (SELECT count(*) FROM a WHERE s IN (SELECT s FROM b)) AS in_both, (SELECT count(*) FROM (SELECT s FROM a UNION SELECT s FROM b)) AS in_either"""
+)
+def listing_spot_check(spark, folder):
+    known = table(spark, folder, "universe").select(F.upper(F.trim("ticker")).alias("symbol"))
+    named = table(spark, folder, "mention").select(F.explode("tickers").alias("symbol")).select(F.upper(F.trim("symbol")).alias("symbol"))
+    return universe.spot_check(known, named)
+
+
+@query("SELECT ticker, CAST(count(*) AS BIGINT) AS n FROM stock_returns WHERE ticker IN (SELECT DISTINCT ticker FROM stock_returns WHERE ticker IS NOT NULL ORDER BY 1 LIMIT 5) GROUP BY 1")
+def first_tickers(spark, folder):
+    """--limit: the first five tickers in alphabetical order."""
+    return universe.first_tickers(table(spark, folder, "stock_returns"), 5).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _parity(texts, targets):
+    """A made scorer: the label follows from the length of the text."""
+    return [(("bullish", "bearish", "neutral")[len(t) % 3], (len(t) % 100) / 100) for t in texts]
+
+
+@query(
+    f"""WITH {RECORDS}, x AS (SELECT DISTINCT substr(text, 1, 4000) AS t FROM rec WHERE length(trim(text)) > 0)
+    SELECT sha256(t) AS text_hash, CASE length(t) % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -1.0 ELSE 0.0 END * (length(t) % 100) / 100.0 + 0.0 AS score FROM x"""
+)
+def scored_texts(spark, folder):
+    """Every distinct text of the records scored once by an injected scorer, in batches."""
+    empty = spark.createDataFrame([], store.SCHEMA)
+    got = store.updated(empty, _records(spark, folder).select("text"), [store.Model("parity", _parity)])
+    return got.select("text_hash", (F.col("score") + F.lit(0.0)).alias("score"))
+
+
 # ---------------------------------------------------------------- estimators
 _GARCH_SQL = f"""WITH RECURSIVE {BATTERY},
 e AS (SELECT ticker, log_return AS y, row_number() OVER (PARTITION BY ticker ORDER BY date) AS t FROM ret WHERE log_return IS NOT NULL),

@@ -47,16 +47,11 @@ def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Inputs of fewer bytes per core than this are spread before work that Python does row by row.
-SMALL = 1 << 20
+def spread(rows: DataFrame, least: int | None = None) -> DataFrame:
+    """``rows`` in at least ``least`` partitions (all cores if not given; 0 leaves them as they are).
 
-
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores if they are too small to be split by the scan.
-
-    A file of a few megabytes is one split, and work in Python on it would use one core. The planner's size estimate
-    decides, nothing is run; beyond ``SMALL`` bytes a core the splits of the scan are enough and nothing is moved.
+    A file of a few megabytes is one split, and work in Python on it would use one core. Rows that come in fewer
+    partitions are shuffled into that many; a table that the scan splits far enough isn't moved. The rows are the same.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < SMALL * cores else rows
+    wanted = rows.sparkSession.sparkContext.defaultParallelism if least is None else least
+    return rows.repartition(wanted) if wanted and rows.rdd.getNumPartitions() < wanted else rows

@@ -86,6 +86,29 @@ def latex(header: Sequence[str], body: Sequence[Sequence[str]], caption: str = "
     return "\n".join([*lines, r"\hline", r"\end{tabular}", r"\end{table}"])
 
 
+def garch_tables(result, path: str) -> None:
+    """A fitted panel GARCH as ``path``.json (shared parameters, errors, fit), .csv (a row per stock) and .tex."""
+    fit = {"loglik": result.loglik, "aic": result.aic, "bic": result.bic, "n_obs": result.n_obs, "n_params": result.n_params, "rounds": result.rounds, "converged": result.converged}
+    stocks = result.stock_table()
+    json_file({"global": result.global_params, "errors": result.global_errors, **fit, "stocks": stocks.to_dict("records")}, path + ".json")
+    stocks.to_csv(path + ".csv", index=False)
+    names = [c for c in stocks.columns if c not in ("ticker", "n_obs", "loglik")]
+    number = lambda v: "" if v is None or v != v else f"{v:.4g}"
+    body = [[c, number(stocks[c].mean()), number(stocks[c].median()), number(result.global_errors.get(c))] for c in names]
+    body += [[k, number(float(v)), "", ""] for k, v in fit.items() if k != "converged"]
+    with open(path + ".tex", "w", encoding="utf-8") as file:
+        file.write(document(latex(["", "mean", "median", "std. error"], body, "Panel GARCH")))
+
+
+def likelihood_ratio_tables(tests, path: str) -> None:
+    """Likelihood-ratio tests as ``path``.json and .csv."""
+    from dataclasses import asdict
+
+    rows = [asdict(t) for t in tests]
+    json_file(rows, path + ".json")
+    pd.DataFrame(rows, columns=list(rows[0]) if rows else None).to_csv(path + ".csv", index=False)
+
+
 def regression_latex(results, caption: str = "Panel regressions") -> str:
     """Coefficients with marks, errors in parentheses below, one column per specification; lag endings are left out."""
     import re

@@ -63,11 +63,13 @@ def test_symbols_for_quotes(spark, raw, want):
 
 
 def test_names(spark):
-    avoid, keep = universe.name_words()
-    assert universe.name_variants("Block, Inc. - Class A Common Stock", avoid, keep) == "Block, Inc"
-    assert universe.name_variants("The Walt Disney Company (DE)", avoid, keep).startswith("Walt Disney")
-    assert universe.name_variants("Ford Motor Company", avoid, keep) == "Ford Motor|Ford Motor Company"
-    assert universe.name_variants(None) == ""
+    def variants(name):
+        return universe.with_variants(spark.createDataFrame([(name,)], "raw_name string")).first()["name"]
+
+    assert variants("Block, Inc. - Class A Common Stock") == "Block, Inc"
+    assert variants("The Walt Disney Company (DE)").startswith("Walt Disney")
+    assert variants("Ford Motor Company") == "Ford Motor|Ford Motor Company"
+    assert variants(None) == ""
     df = spark.createDataFrame([("A", "Amazon.com, Inc."), ("B", None)], "ticker string, raw_name string")
     assert {r["ticker"]: r["name"] for r in universe.with_variants(df).collect()} == {"A": "Amazon|Amazon.com|Amazon.com, Inc", "B": ""}
 

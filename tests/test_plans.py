@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tapewell.queries import general, reference
 
-ARROW = {"p6_found", "p6_flags", "mention_extraction", "universe_name_variants", "ols_twoway_fe", "ols_entity_fe", "ols_pooled", "garch_panel_fit", "lr_test_table", "regression_summary", "stream_daily_sentiment", "full_panel", "daily_counts_pivot", "daily_counts_unpivot"}
+ARROW = {"scored_texts", "garch_filter", "garch_loglik", "p6_found", "p6_flags", "mention_extraction", "ols_twoway_fe", "ols_entity_fe", "ols_pooled", "garch_panel_fit", "lr_test_table", "regression_summary", "stream_daily_sentiment", "full_panel", "daily_counts_pivot", "daily_counts_unpivot"}
 
 
 def plan(df) -> str:

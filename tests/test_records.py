@@ -28,3 +28,13 @@ def test_copies_count_once_different_rows_stay(spark):
 def test_clean_tickers(spark):
     df = spark.createDataFrame([(["b ", "A", None, "a"],), (None,), ([],)], "t array<string>")
     assert [r[0] for r in df.select(clean_tickers("t")).collect()] == [["A", "B"], [], []]
+
+
+def test_rows_that_differ_in_where_the_null_stands_both_stay(spark):
+    df = spark.createDataFrame([("a", None, 5.0), ("a", 5.0, None), ("a", 5.0, None)], "k string, x double, y double")
+    assert sorted((str(r["x"]), str(r["y"])) for r in once(df, ["k"], ["x", "y"]).collect()) == [("5.0", "None"), ("None", "5.0")]
+
+
+def test_rows_that_differ_only_in_a_map_both_stay(spark):
+    df = spark.createDataFrame([("a", {"p": "1", "q": "2"}), ("a", {"q": "2", "p": "1"}), ("a", {"p": "2"}), ("a", None)], "k string, m map<string,string>")
+    assert once(df, ["k"], ["m"]).count() == 3 and once(df, ["k"], []).count() == 3

@@ -121,5 +121,36 @@ def test_blocks_give_what_one_block_gives(spark, monkeypatch):
     assert whole == parts and len(whole) >= 10
 
 
+@pytest.mark.parametrize("days", [128, 300, 1000, 2048])
+def test_the_length_of_blocks_changes_nothing(spark, monkeypatch, days):
+    """Seasons, usual moves and the test concern the whole source; gaps and single bars in a block don't matter."""
+    from tapewell.operators import spikes
+
+    data = []
+    for k, name in enumerate("ABC"):
+        b = series(700, seed=20 + k, move=0.01 * (k + 1))
+        for i in range(20, 700, 83):
+            b[i, i % 4] *= 1 + 0.12 * (1 + i % 3)
+        b[250:257] = b[249]
+        first = dt.date(2018, 1, 1)
+        data += [(name, first + dt.timedelta(i + (200 if i > 400 else 0)), *map(float, x), i) for i, x in enumerate(b)]
+    df = spark.createDataFrame(data, SHAPE)
+    monkeypatch.setattr(spikes, "BLOCK_DAYS", days)
+    got = {(r["ticker"], (r["date"] - dt.date(2018, 1, 1)).days, r["impossible"], r["spike"], r["stuck"]) for r in faulty_bars(df, "ticker", "date").collect()}
+    want = set()
+    for name in "ABC":
+        own = [r for r in data if r[0] == name]
+        offset = np.array([(r[1] - dt.date(2018, 1, 1)).days for r in own])
+        f = judge(np.array([r[2:6] for r in own]), offset % 7, days=offset)
+        want |= {(name, int(d), bool(i), bool(s), bool(u)) for d, i, s, u in zip(offset, f["impossible"], f["spike"], f["stuck"]) if i or s or u}
+    assert got == want and sum(w[3] for w in want) > 5
+
+
+def test_a_short_source_is_judged_by_scales_alone(spark):
+    b = series(7, seed=2)
+    b[3] *= 3
+    assert [r["spike"] for r in faulty_bars(spark.createDataFrame(rows("A", b), SHAPE), "ticker", "date").collect()] == [True]
+
+
 def test_empty_table(spark):
     assert faulty_bars(spark.createDataFrame([], SHAPE), "ticker", "date").count() == 0
