@@ -23,12 +23,21 @@ def exponential_key(quality: Column, identity: Sequence[Column], seed: int = 0)
     This is the exponential form of weighted sampling without replacement. ``u`` comes from a hash of the
     identity, so a lost task draws the same number again. Weight: max(1, ln(1 + max(0, quality))); null counts as 1.
     """
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *identity), 11)
-    u = (bits.cast("double") + 0.5) / F.lit(float(2**53))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in identity])), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(2**52))
     weight = F.greatest(F.lit(1.0), F.log1p(F.greatest(F.lit(0.0), F.coalesce(quality.cast("double"), F.lit(0.0)))))
     return -F.log(u) / weight
 
 
+def beginning(name: str, records: DataFrame, more: int = 3) -> Column:
+    """The first letters of column ``name``, as many as all its values share and ``more``: a level that tells values apart even
+    where they all begin alike."""
+    both = records.agg(F.min(name).alias("a"), F.max(name).alias("b"))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("a"), F.length("b"))))
+    shared = F.size(F.filter(places, lambda i: F.substr("a", F.lit(1), i) == F.substr("b", F.lit(1), i)))
+    return F.substr(F.col(name), F.lit(1), both.select(F.coalesce(shared, F.lit(0)).alias("n")).scalar() + more)
+
+
 def mark_capped(records: DataFrame, contributor: str, cap: Column | int, levels: Sequence[Sequence[Column]], exact: Sequence[Column], most: int | None = None) -> DataFrame:
     """``records`` with a boolean ``kept``: the first ``cap`` records of each contributor stay.
 

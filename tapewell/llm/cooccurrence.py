@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Most items that may be frequent enough for a pair share (``pair_counts``); more raise an error.
+MOST_FREQUENT = 100_000
+#: First items of a basket whose pairs one row stands for; baskets of more are spread over the tasks in such pieces.
+PIECE = 64
+
 
 def collapse(records: DataFrame, items: str) -> DataFrame:
     """(basket, weight): each distinct item set once, with the number of records that have it.
@@ -22,9 +27,10 @@ def pair_counts(baskets: DataFrame, item_share: float = 0.0, pair_share: float =
     Pairs are enumerated once per distinct basket and weighted with the basket's record count. The pairs of
     a basket stream out of two nested generators, so a long basket is never held as a list of pairs.
     With ``pair_share`` only pairs in at least that share of all records come out; the items of such a
-    pair have at least that share themselves, so rarer items leave the baskets first and the shortened
-    baskets collapse again. There are at most (mean basket size / share) such items; they are broadcast only
-    then, otherwise nothing is. An empty table gives no rows. Conviction is that of a implying b, null
+    pair have at least that share themselves, so rarer items leave the baskets first, by comparing with the array of
+    frequent items, and the shortened baskets collapse again. There are at most (mean basket size / share) such items; more than
+    ``MOST_FREQUENT`` raise an error. The pairs of a basket longer than ``PIECE`` are made in pieces that are spread over the tasks.
+    An empty table gives no rows. Conviction is that of a implying b, null
     where b always follows a.
     """
     total = baskets.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"))
@@ -32,14 +38,18 @@ def pair_counts(baskets: DataFrame, item_share: float = 0.0, pair_share: float =
     least = max(item_share, pair_share)
     if least > 0:
         singles = singles.where(F.col("n") >= F.lit(least) * total.scalar())
-        numbered = baskets.where(F.size("basket") > 1).select(F.col("basket").alias("whole"), "weight", F.explode("basket").alias("item"))
-        frequent = F.broadcast(singles.select("item"))
-        short = numbered.join(frequent, "item", "left_semi").groupBy("whole", "weight").agg(F.array_sort(F.collect_list("item")).alias("basket"))
-        usable = collapse_again(short)
+        frequent = singles.agg(F.array_sort(F.collect_list("item")).alias("items")).select(
+            F.when(F.size("items") <= MOST_FREQUENT, F.col("items")).otherwise(F.raise_error(F.lit(f"more than {MOST_FREQUENT} frequent items; give a larger share")).cast(baskets.schema["basket"].dataType)).alias("items")
+        )
+        short = baskets.where(F.size("basket") > 1).select(F.array_intersect("basket", frequent.scalar()).alias("basket"), "weight")
+        usable = collapse_again(short.where(F.size("basket") > 1))
     else:
         usable = baskets
-    firsts = usable.where(F.size("basket") > 1).select("basket", "weight", F.posexplode("basket").alias("i", "item_a"))
-    pairs = firsts.select("weight", "item_a", F.explode(F.slice("basket", F.col("i") + 2, F.size("basket"))).alias("item_b"))
+    usable = usable.where(F.size("basket") > 1)
+    pieces = usable.where(F.size("basket") > PIECE).select("basket", "weight", F.explode(F.sequence(F.lit(0), F.size("basket") - 2, F.lit(PIECE))).alias("at"))
+    rows = usable.where(F.size("basket") <= PIECE).withColumn("at", F.lit(0)).unionByName(pieces.repartition(F.xxhash64("basket", "at")))
+    firsts = rows.select("basket", "weight", "at", F.posexplode(F.slice("basket", F.col("at") + 1, F.lit(PIECE))).alias("i", "item_a"))
+    pairs = firsts.select("weight", "item_a", F.explode(F.slice("basket", F.col("at") + F.col("i") + 2, F.size("basket"))).alias("item_b"))
     counted = pairs.groupBy("item_a", "item_b").agg(F.sum("weight").alias("n_ab")).withColumn("n_total", total.scalar())
     if pair_share > 0:
         counted = counted.where(F.col("n_ab") >= F.lit(pair_share) * F.col("n_total"))

@@ -63,7 +63,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
             [F.col("score").isNull(), F.bitwise_not("score")],
             [F.col("created_utc").isNull(), F.shiftright("created_utc", 16)],
             [F.col("created_utc")],
-            [F.substring("id", 1, 6)],
+            [contributors.beginning("id", records, 2)],
+            [contributors.beginning("id", records, 4)],
         ],
         exact=[F.col("score").desc_nulls_last(), F.col("created_utc").asc_nulls_last(), F.col("id")],
         most=100,
@@ -174,6 +175,10 @@ SQL = {
     "p1_found": f"WITH {_PAIRS} SELECT ticker_a, ticker_b FROM pair WHERE n_ab >= 0.005 * n AND lift >= 3",
     "p1_pairs": f"""WITH {_PAIRS} SELECT ticker_a, ticker_b, n_ab, round(lift, 12) AS lift,
         round(CASE WHEN n_ab < n_a THEN (1 - CAST(n_b AS DOUBLE) / n) / (1 - CAST(n_ab AS DOUBLE) / n_a) END, 12) AS conviction FROM pair""",
+    "p3_reservoir": f"""WITH {_RECORD}, w AS (SELECT id, author, score, lower(trim(author)) AS who,
+        -ln((CAST('0x' || substr(md5('0:' || id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / greatest(1.0, ln(1 + CAST(greatest(0, coalesce(score, 0)) AS DOUBLE))) AS key FROM rec),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY key, id) AS place FROM w)
+        SELECT id, author, score FROM ranked WHERE who IS NULL OR who = '[deleted]' OR place <= (SELECT count(*) // 100 FROM rec)""",
     "p3_found": f"""WITH {_RECORD}, who AS (SELECT id, score, created_utc, lower(trim(author)) AS who FROM rec),
         ranked AS (SELECT id, row_number() OVER (PARTITION BY who ORDER BY score DESC NULLS LAST, created_utc ASC NULLS LAST, id) AS place FROM who
           WHERE who IS NOT NULL AND who <> '[deleted]')

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tapewell.llm import cooccurrence
 from tapewell.llm.cooccurrence import collapse, pair_counts
 
 SHAPE = "items array<string>"
@@ -48,3 +49,22 @@ def test_empty_table_and_long_basket(spark):
 def test_one_basket_of_most_records(spark):
     got = run(spark, [["a", "b"]] * 500 + [["a", "c"]], pair_share=0.5)
     assert list(got) == [("a", "b")] and got["a", "b"]["n_ab"] == 500
+
+
+def test_a_long_basket_is_spread_and_complete(spark):
+    """One basket of 1,500 items: every pair once, in several pieces."""
+    items = [f"i{k:05d}" for k in range(1500)]
+    baskets = spark.createDataFrame([(items, 3), (items[:2], 4)], "basket array<string>, weight long")
+    pairs = cooccurrence.pair_counts(baskets)
+    assert pairs.count() == 1500 * 1499 // 2
+    top = pairs.orderBy(F.desc("n_ab")).first()
+    assert (top["item_a"], top["item_b"], top["n_ab"]) == (items[0], items[1], 7)
+    frequent = cooccurrence.pair_counts(baskets, pair_share=0.9)
+    assert [(r["item_a"], r["item_b"]) for r in frequent.collect()] == [(items[0], items[1])]
+
+
+def test_too_many_frequent_items_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "MOST_FREQUENT", 3)
+    baskets = spark.createDataFrame([(["a", "b", "c", "d", "e"], 1)], "basket array<string>, weight long")
+    with pytest.raises(Exception, match="frequent items"):
+        cooccurrence.pair_counts(baskets, pair_share=0.5).collect()
