@@ -283,6 +283,12 @@ def _address_candidate(text: str, m: re.Match, k: int, end: int) -> Candidate:
     return Candidate("address", m.start(), end, x + _cues(before, []))  # what follows says nothing about a place
 
 
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Which characters are letters or digits."""
+    different, back = np.unique(codes, return_inverse=True)
+    return np.array([chr(c).isalnum() for c in different.tolist()], bool)[back]
+
+
 class Finder:
     """Generators and models together; pickled with the task. ``folder`` holds the public vocabulary."""
 
@@ -293,10 +299,12 @@ class Finder:
         self.models: dict[str, BoostedTrees] = {}
         self.thresholds = {k: 0.5 for k in KINDS}
         self._automaton = None
-        self._possible: dict[tuple, bool] = {}
+        self._possible: dict = {}
+        self._forms: dict[tuple, int] = {}
+        self._known: list[tuple] = []
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None, "_possible": {}}
+        return self.__dict__ | {"_automaton": None, "_possible": {}, "_forms": {}, "_known": []}
 
     def _word(self, w: str) -> tuple[bool, bool, bool, float, float, bool]:
         """Given name, common, of a company, shape, length, particle."""
@@ -397,73 +405,87 @@ class Finder:
                     second = self._word(b)
                     mid = (mid[0], mid[1], 1, int(second[1]), int(second[3] == 1.0))
                     yield Candidate("name", m.start(), m.end("c"), self._own(True, 0.0, first, self._word(c), mid) + self._context(text, m.start(), m.end("c")))
+        if len(self._possible) > 500_000:
+            self._possible.clear()
         yield from self._untitled(text)
 
     def _untitled(self, text: str) -> Iterator[Candidate]:
         """Every run of words apart by one space, whatever their letters: given name, initials, middle names, particles, family
         name; and every two words around a comma. No list decides, only the trees; runs that they can't accept are skipped."""
         spans = [m.span() for m in _NAME_PART.finditer(text)]
-        seen: dict[str, tuple] = {}
-        words: list[tuple] = []
-        for a, b in spans:
+        if len(spans) < 2:
+            return
+        numbers: dict[str, int] = {}
+        forms: dict[tuple, int] = self._forms
+        kind = np.empty(len(spans), np.int64)
+        for i, (a, b) in enumerate(spans):
             w = text[a:b]
-            got = seen.get(w)
-            if got is None:
-                got = seen[w] = self._word(w)
-            words.append(got)
-        possible, number, size = self._possible, len(spans), len(text)
-        if len(possible) > 500_000:
-            possible.clear()
-        stops = [b >= size or not (text[b].isalnum() or text[b] in "_@") for _, b in spans]
-        rights: dict[int, list[float]] = {}
-        for i in range(number):
-            start, end = spans[i]
-            left = None
-            if start and (text[start - 1].isalnum() or text[start - 1] in "_@/.$#"):
-                continue
-            given = words[i]
-            initials = particles = names = common = small = 0
-            j = i + 1
-            while j < number and j - i <= _MIDDLE + 1:
-                here = spans[j][0]
-                gap = here - end
-                if gap == 1 and text[end] == " " or words[j - 1][4] == 1.0 and (gap == 1 and text[end] == "." or gap == 2 and text[end] == "." and text[end + 1] == " "):
-                    pass
-                else:
-                    if j == i + 1 and gap == 2 and text[end] == "," and text[end + 1] == " ":
-                        yield from self._inverted(text, spans, words, stops, i)
-                    break
-                family, end = words[j], spans[j][1]
-                if family[4] > 1.0 and stops[j]:
-                    mid = (initials, particles, names, common, small)
-                    key = (0.0, given, family, mid)
-                    can = possible.get(key)
-                    if can is None:
-                        can = possible[key] = self._can_be(self._own(False, 0.0, given, family, mid))
-                    if can:
-                        left = left or self._left(text, start)
-                        right = rights.pop(end, None) or self._right(text, end)
-                        rights[end] = right
-                        yield Candidate("name", start, end, self._own(False, 0.0, given, family, mid) + left + right + self._company(text, start, end))
-                        if len(rights) > 64:
-                            del rights[next(iter(rights))]
-                if family[4] == 1.0:
-                    initials += 1
-                elif family[5]:
-                    particles += 1
-                else:
-                    names, common, small = names + 1, common + family[1], small + (family[3] == 1.0)
-                    if names > _MIDDLE_NAMES:
-                        break
-                j += 1
+            n = numbers.get(w)
+            if n is None:
+                form = self._word(w)
+                n = forms.get(form)
+                if n is None:
+                    n = forms[form] = len(forms)
+                    self._known.append(form)
+                numbers[w] = n
+            kind[i] = n
+        known = np.array(self._known, float)
+        place = np.array(spans)
+        signs = np.frombuffer((" " + text + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = lambda i: signs[i + 1]
+        first, last = place[:, 0], place[:, 1]
+        # what may stand before a name and what may not stand after it
+        glued = np.isin(at(first - 1), [ord(c) for c in "_@/.$#"]) | _letters(at(first - 1))
+        stops = ~(np.isin(at(last), [ord(c) for c in "_@"]) | _letters(at(last)))
+        length, particle = known[kind, 4], known[kind, 5] == 1.0
+        single = length == 1.0
+        gap = np.full(len(spans), 99)
+        gap[1:] = first[1:] - last[:-1]
+        sign, after = at(np.roll(last, 1)), at(np.roll(last, 1) + 1)
+        near = (gap == 1) & (sign == 32) | np.roll(single, 1) & ((gap == 1) & (sign == 46) | (gap == 2) & (sign == 46) & (after == 32))
+        name = ~single & ~particle
+        counted = np.stack([single, ~single & particle, name, name & (known[kind, 1] == 1.0), name & (known[kind, 3] == 1.0)])
+        sums = np.concatenate([np.zeros((5, 1), np.int64), counted.cumsum(1)], axis=1)
+        run, found = ~glued, []
+        for size in range(1, _MIDDLE + 2):
+            number = len(spans) - size
+            if number <= 0:
+                break
+            run = run[:number] & near[size:]
+            i = np.flatnonzero(run & (length[size:] > 1.0) & stops[size:])
+            mid = sums[:, i + size] - sums[:, i + 1]
+            few = mid[2] <= _MIDDLE_NAMES
+            i, mid = i[few], mid[:, few]
+            keys = ((kind[i] << 20) + kind[i + size]) * 3125 + np.array([1, 5, 25, 125, 625]) @ mid
+            different, back = np.unique(keys, return_inverse=True)
+            example = np.empty(len(different), np.int64)
+            example[back] = np.arange(len(i))
+            can = np.array([self._possible_run(int(k), i[e], i[e] + size, kind, mid[:, e]) for k, e in zip(different.tolist(), example.tolist())], bool)
+            chosen = can[back] if len(i) else np.zeros(0, bool)
+            found += [(int(x), size, m) for x, m in zip(i[chosen], mid[:, chosen].T.tolist())]
+        found.sort(key=lambda f: f[:2])
+        words = self._known
+        lefts: tuple[int, list[float]] = (-1, [])
+        for i, size, mid in found:
+            start, end = spans[i][0], spans[i + size][1]
+            if lefts[0] != i:
+                lefts = (i, self._left(text, start))
+            yield Candidate("name", start, end, self._own(False, 0.0, words[kind[i]], words[kind[i + size]], mid) + lefts[1] + self._right(text, end) + self._company(text, start, end))
+        comma = np.flatnonzero(~glued[:-1] & (gap[1:] == 2) & (sign[1:] == 44) & (after[1:] == 32) & ~single[:-1] & stops[1:])
+        for i in comma.tolist():
+            yield from self._inverted(text, spans, [words[n] for n in kind[i : i + 3]], stops, i)
+
+    def _possible_run(self, key: int, i: int, j: int, kind: np.ndarray, mid: np.ndarray) -> bool:
+        can = self._possible.get(key)
+        if can is None:
+            can = self._possible[key] = self._can_be(self._own(False, 0.0, self._known[kind[i]], self._known[kind[j]], mid.tolist()))
+        return can
 
     def _inverted(self, text: str, spans: list, words: list, stops: list, i: int) -> Iterator[Candidate]:
         """'Family, Given', with an initial after it or without."""
         start, end = spans[i][0], spans[i + 1][1]
-        family, given = words[i], words[i + 1]
-        if family[4] == 1.0 or not stops[i + 1]:
-            return
-        follows = i + 2 < len(spans) and spans[i + 2] == (end + 1, end + 2) and text[end] == " " and stops[i + 2] and words[i + 2][3] == 2.0
+        family, given = words[0], words[1]
+        follows = i + 2 < len(spans) and spans[i + 2] == (end + 1, end + 2) and text[end] == " " and stops[i + 2] and words[2][3] == 2.0
         for initials, stop in [(0, end), *([(1, end + 2)] if follows else [])]:
             mid = (initials, 0, 0, 0, 0)
             key = (1.0, given, family, mid)
