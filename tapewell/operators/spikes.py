@@ -147,7 +147,7 @@ def judge(bars: np.ndarray, weekday: np.ndarray, alpha: float = 1e-4, least: flo
             if len(own) >= LEAST_OF_WEEKDAY:
                 season[weekday == d] = np.median(own)
         usual = 1.4826 * np.nanmedian(of["move"]) if np.isfinite(of["move"]).any() else np.nan
-        scale = np.fmax(np.fmax(usual, of["around"]), np.fmax(of["near"], 1e-4))
+        scale = np.maximum(np.fmax(np.fmax(usual, of["around"]), of["near"]), 1e-4)  # NaN where nothing is known
         logs = np.log(np.where((bars > 0) & np.isfinite(bars), bars, np.nan))
         down, up = logs - season[:, None] - of["before"][:, None], logs - season[:, None] - of["after"][:, None]
         residual = np.where(np.sign(down) == np.sign(up), np.where(np.abs(down) < np.abs(up), down, up), 0.0) / scale[:, None]
@@ -176,7 +176,7 @@ def faulty_bars(rows: DataFrame, source: str, date: str, fields: Sequence[str] =
     borne out on one side, and a day deviates only if it leaves both sides in the same direction. Residuals are divided by the
     largest of the source's usual daily move, the move of the surrounding days and their trading range. Suspects are at least
     ``least`` scales away; those beyond the limits of the generalised extreme studentised deviate test among all residuals of the
-    source are spikes (in a source with fewer than ``LEAST_FOR_TEST`` bars every suspect).
+    source are spikes (in a source with fewer than ``LEAST_FOR_TEST`` bars every suspect). A bar without neighbours has nothing to deviate from.
 
     Exact copies of a row count once. Null and NaN prices are missing, not faulty; rows without a source or a
     date can't be placed and are left out. Several different rows of one day are judged one after the other, in the order of their values.
@@ -226,7 +226,7 @@ def faulty_bars(rows: DataFrame, source: str, date: str, fields: Sequence[str] =
     seasons = _median(features, F.struct("source", weekday.alias("w")), "away").where(F.col("n") >= LEAST_OF_WEEKDAY)
     seasons = seasons.select(F.col("key.source").alias("s"), F.col("key.w").alias("w"), F.col("p50").alias("season"))
     known = features.join(usual, F.col("source") == F.col("s"), "left").drop("s").join(seasons, (F.col("source") == F.col("s")) & (weekday == F.col("w")), "left").drop("s", "w")
-    scale = F.greatest("usual", "around", "near", F.lit(1e-4))
+    scale = F.when(F.coalesce("usual", "around", "near").isNotNull(), F.greatest("usual", "around", "near", F.lit(1e-4)))
 
     def residual(x: str) -> Column:
         log = F.when((F.col(x) > 0) & (F.col(x) < float("inf")), F.log(x))
