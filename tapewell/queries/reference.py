@@ -503,7 +503,7 @@ def _variants_sql() -> str:
     d AS (SELECT ticker, raw_name, unnest([head, trim(split_part(head, ',', 1)), core, CASE WHEN contains(core, '.') AND NOT contains(core, ' ') THEN split_part(core, '.', 1) END]) AS n FROM c),
     e AS (SELECT ticker, min(n) AS n, length(n) AS size FROM d WHERE n IS NOT NULL AND length(n) > 1 AND lower(n) NOT IN ({quoted(avoid)}) AND (contains(n, ' ') OR length(n) >= 6 OR lower(n) IN ({quoted(keep)})) GROUP BY ticker, lower(n), length(n)),
     f AS (SELECT ticker, string_agg(n, '|' ORDER BY size, lower(n)) AS name FROM e GROUP BY 1)
-    SELECT universe.ticker, raw_name, coalesce(name, '') AS name FROM universe LEFT JOIN f ON f.ticker = universe.ticker"""
+    SELECT universe.ticker, raw_name, coalesce(f.name, '') AS name FROM universe LEFT JOIN f ON f.ticker = universe.ticker"""
 
 
 @query(_variants_sql())
@@ -628,11 +628,11 @@ def mean_group(spark, folder):
     return rounded(describe.mean_group(slopes.withColumn("exog", F.lit("volatility"))), 6)
 
 
-@query("SELECT DISTINCT volatility_ja_gk, adj_close, open FROM stock_returns WHERE date < DATE '2100-01-01'")
+@query("SELECT DISTINCT volatility_ja_gk, adj_close, open FROM stock_returns")
 def exact_copies(spark, folder):
     """Rows that are the same in three columns with nulls, once."""
     names = ["volatility_ja_gk", "adj_close", "open"]
-    return once(table(spark, folder, "stock_returns").where("date < DATE '2100-01-01'"), [], names, names)
+    return once(table(spark, folder, "stock_returns"), [], names, names)
 
 
 @query(f"WITH {BATTERY} SELECT ticker, date, {r('annualised', 'volatility_ja_gk * sqrt(252.0)')} FROM ret")
