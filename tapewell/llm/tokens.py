@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,20 +46,27 @@ def common_words(folder: str) -> frozenset[str]:
     return frozenset(out)
 
 
+#: A letter or number before a sign that is neither one nor white space.
+_EDGE = re.compile(r"[^\W_](?=[^\w\s])")
+
+
 def pieces(text: str, size: int = LONG) -> Iterator[str]:
     """Cut a text at places where the split pattern always begins a new word.
 
     Such a place is before a single space between two characters that aren't white space: the word before
-    ends there in any case, and the space opens the next one. Encoding the pieces gives the same ids as
-    encoding the text. A stretch without such a place stays whole, however long it is.
+    ends there in any case, and the space opens the next one. Another is between a letter or number and a sign, which end one
+    match and open the next, so texts without spaces are cut as well. Encoding the pieces gives the same ids as
+    encoding the text. A stretch without such a place, one run of letters, is a single match and stays whole, however long it is.
     """
     start, n = 0, len(text)
     while n - start > size:
         at = start + size
+        edge = _EDGE.search(text, at)
+        end = edge.end() if edge else n
         while True:
-            at = text.find(" ", at)
+            at = text.find(" ", at, end)
             if at < 0 or at + 1 >= n:
-                at = n
+                at = end
                 break
             if not text[at - 1].isspace() and not text[at + 1].isspace():
                 break

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,3 +65,16 @@ def test_texts_without_safe_places_end_soon(text):
     ids = tokens.encode(text, PATH)
     assert time.perf_counter() - began < 20
     assert tokens.decode(ids, PATH) == text.encode()
+
+
+def test_pieces_of_texts_without_spaces(monkeypatch):
+    """Cut or whole: the same ids, with signs, marks, contractions, numbers and scripts side by side."""
+    r = random.Random(4)
+    signs = ["你好", "世界", "。", "，", "'s", "'ll", "’", "abc", "12", "½", "é", "é", "-", "_", "‍", "🚀", " ", "  ", "\n", "'", "''", "ß", "٣"]
+    enc = tokens.encoding(f"{tokens.DEFAULT_FOLDER}/byte_bpe_50k.tiktoken")
+    for _ in range(400):
+        text = "".join(r.choice(signs) for _ in range(r.randint(1, 60)))
+        parts = list(tokens.pieces(text, r.randint(1, 12)))
+        assert "".join(parts) == text
+        assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+    assert max(map(len, tokens.pieces("你好世界。" * 50_000, 1000))) <= 1005
