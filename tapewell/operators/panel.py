@@ -145,9 +145,9 @@ def lagged_controls(panel: DataFrame, measures: Sequence[str] = MEASURES) -> Dat
 def with_day_series(panel: DataFrame, series: DataFrame, column: str, name: str) -> DataFrame:
     """``panel`` with ``name``: the z-score of a series by day (a volatility index, say), 0 where it is missing.
 
-    ``series`` has one row per day; its moments are a scalar subquery over its distinct days.
+    ``series`` has one row per day (of several the greatest counts); its moments are a scalar subquery over its distinct days.
     """
-    days = series.select(F.col("date").cast("date").alias("date"), finite(F.col(column).cast("double")).alias("__x")).where("__x IS NOT NULL").groupBy("date").agg(F.first("__x").alias("__x"))
+    days = series.select(F.col("date").cast("date").alias("date"), finite(F.col(column).cast("double")).alias("__x")).where("__x IS NOT NULL").groupBy("date").agg(F.max("__x").alias("__x"))
     moments = days.agg(F.struct(F.avg("__x").alias("m"), F.stddev_samp("__x").alias("s")).alias("z")).scalar()
     scored = days.withColumn("__z", moments).select("date", F.try_divide(F.col("__x") - F.col("__z.m"), F.col("__z.s")).alias(name))
     return panel.drop(name).join(scored, "date", "left").na.fill(0.0, [name])

@@ -52,8 +52,9 @@ def _returns(spark, folder) -> DataFrame:
     return returns.calculate_returns(_prices(spark, folder))
 
 
-def _records(spark, folder) -> DataFrame:
-    return latest_records(table(spark, folder, "mention"), "id", "ingested_at", ["subreddit", "author", "created_utc", "type", "score", "tickers", "text"])
+def _records(spark, folder, *columns: str) -> DataFrame:
+    """The newest rows with these columns: no other is read, and texts are shuffled only where a query looks at them."""
+    return latest_records(table(spark, folder, "mention"), "id", "ingested_at", columns)
 
 
 def _seconds() -> Column:
@@ -65,7 +66,7 @@ MODELS = {"finbert": 7919, "bertweet": 104729, "fintwit": 15485863}
 
 def _scored(spark, folder, models=("finbert",)) -> DataFrame:
     """Mentions by ticker and model with a made sentiment in [-1, 1]."""
-    base = _records(spark, folder).select(
+    base = _records(spark, folder, "subreddit", "created_utc", "type", "score", "tickers").select(
         sc.epoch_date(_seconds()).alias("date"),
         F.explode(clean_tickers("tickers")).alias("ticker"),
         F.col("subreddit").alias("dataset"),
@@ -303,7 +304,7 @@ def sentiment_global_stats(spark, folder):
 @query(f"WITH {RECORDS} SELECT id, subreddit, type FROM (SELECT *, row_number() OVER (PARTITION BY subreddit, type ORDER BY md5('0:' || id), id) AS place FROM rec) WHERE place <= 20")
 def sample_of_records(spark, folder):
     """Twenty records per subreddit and type, the same for a seed."""
-    return mentions.sample_records(_records(spark, folder).select("id", "subreddit", "type"), ("subreddit", "type"))
+    return mentions.sample_records(_records(spark, folder, "subreddit", "type"), ("subreddit", "type"))
 
 
 # ---------------------------------------------------------------- calendar and panel
@@ -455,7 +456,7 @@ def token_mentions(spark, folder):
     """Cashtags and bare capitals; two symbols stand in for the stop words."""
     stop = spark.createDataFrame([("DRAVO",), ("ZUVEX",)], "word string")
     symbols = table(spark, folder, "universe").select(F.upper(F.trim("ticker")).alias("ticker"))
-    return extraction.token_mentions(_records(spark, folder), symbols, stop).select("id", "ticker", "phase")
+    return extraction.token_mentions(_records(spark, folder, "text"), symbols, stop).select("id", "ticker", "phase")
 
 
 @query()
@@ -463,7 +464,7 @@ def mention_extraction(spark, folder):
     """All four phases over every record's text, names by automaton; checked against brute force in the tests."""
     known = universe.usable(table(spark, folder, "universe"))
     find = extraction.extractor(known, universe.names_of(known))
-    hit = extraction.mention_records(_records(spark, folder).select("id", "text"), find)
+    hit = extraction.mention_records(_records(spark, folder, "text"), find)
     return hit.select("id", "tickers", F.map_entries("match_types").alias("match_types"))
 
 
@@ -543,7 +544,7 @@ def label_to_score(spark, folder):
 
 def _score_table(spark, folder) -> DataFrame:
     """A made score table: every second distinct text of the records, by the first hex digit of its key."""
-    keys = _records(spark, folder).select(sc.text_key(F.col("text")).alias("text_hash")).distinct().where(F.substring("text_hash", 1, 1) < "8")
+    keys = _records(spark, folder, "text").select(sc.text_key(F.col("text")).alias("text_hash")).distinct().where(F.substring("text_hash", 1, 1) < "8")
     score = F.conv(F.substring("text_hash", 1, 4), 16, 10).cast("bigint") / 65536.0
     return keys.select("text_hash", F.lit("finbert").alias("model"), F.lit("").alias("target"), F.lit("positive").alias("label"), score.alias("confidence"), score.alias("score"))
 
@@ -553,14 +554,14 @@ def _score_table(spark, folder) -> DataFrame:
     SELECT id, CASE WHEN substr(h, 1, 1) < '8' THEN CAST(CAST('0x' || substr(h, 1, 4) AS INTEGER) AS DOUBLE) / 65536.0 END AS score FROM k"""
 )
 def score_lookup_join(spark, folder):
-    rows = _records(spark, folder).select("id", "text", F.create_map(F.lit("a"), F.lit("b")).alias("matched_on"))
+    rows = _records(spark, folder, "text").select("id", "text", F.create_map(F.lit("a"), F.lit("b")).alias("matched_on"))
     return store.attach(rows, _score_table(spark, folder), [("finbert", False)]).select("id", F.col("scores")["finbert"]["score"].alias("score"))
 
 
 @query(f"WITH {RECORDS} SELECT DISTINCT sha256(substr(text, 1, 4000)) AS text_hash FROM rec WHERE length(trim(text)) > 0 AND substr(sha256(substr(text, 1, 4000)), 1, 1) >= '8'")
 def dedup_uncached(spark, folder):
     model = store.Model("finbert", len)
-    wanted = store.requests(_records(spark, folder).select("text"), model)
+    wanted = store.requests(_records(spark, folder, "text").select("text"), model)
     return store.uncached(wanted, _score_table(spark, folder), "finbert").select("text_hash")
 
 
@@ -676,7 +677,7 @@ def _parity(texts, targets):
 def scored_texts(spark, folder):
     """Every distinct text of the records scored once by an injected scorer, in batches."""
     empty = spark.createDataFrame([], store.SCHEMA)
-    got = store.updated(empty, _records(spark, folder).select("text"), [store.Model("parity", _parity)])
+    got = store.updated(empty, _records(spark, folder, "text").select("text"), [store.Model("parity", _parity)])
     return got.select("text_hash", (F.col("score") + F.lit(0.0)).alias("score"))
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -160,3 +161,62 @@ def test_queries_fit_until_convergence(spark, monkeypatch):
     tests = reference.lr_test_table(spark, "").collect()
     assert [r["parameter"] for r in tests] == ["alpha", "beta", "delta"] and not any(r["converged"] for r in tests)
     assert {rounds for _, rounds in calls} == {60} and all(len(s.exog) == 3 for s, _ in calls[1:])
+
+
+def test_joint_fit_and_errors_against_a_dense_optimiser(spark):
+    """All parameters of four stocks in one vector: nothing higher nearby, and the pooled error is that of the whole Hessian."""
+    series = {f"s{i}": np.array(simulated(600, 2e-6 * (i + 1), 0.08, 0.88, 40 + i)) for i in range(4)}
+    rows = [(k, dt.date(2015, 1, 1) + dt.timedelta(t), float(e)) for k, v in series.items() for t, e in enumerate(v)]
+    spec = garch.GarchSpec(min_obs=100)
+    fit = garch.fit_panel(garch.stock_arrays(spark.createDataFrame(rows, "ticker string, date date, log_return double"), spec), spec, errors=True)
+    assert fit.converged
+    names = list(fit.stock_params["ticker"])
+    none = np.zeros((600, 0))
+
+    def joint(v):
+        return sum(garch.evaluate(spec, series[k], none, {"alpha": v[0], "omega": math.exp(v[1 + 2 * i]), "beta": v[2 + 2 * i]}) for i, k in enumerate(names))
+
+    at = np.array([fit.global_params["alpha"], *[x for r in fit.stock_params.itertuples() for x in (math.log(r.omega), r.beta)]])
+    assert joint(at) == pytest.approx(fit.loglik, abs=1e-6)
+    _, top = garch._climb(joint, at, np.array([0.02, *[0.2, 0.02] * 4]), 3000, 1e-9)
+    assert top - fit.loglik < 0.05
+    _, hessian = garch._derivatives(joint, at, 1e-4)
+    assert fit.global_errors["alpha"] == pytest.approx(math.sqrt(np.linalg.inv(-hessian)[0, 0]), rel=0.05)
+
+
+def test_filter_takes_time_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(n):
+        df = spark.range(8).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sin(i) / 100).alias("y")).cache()
+        df.count()
+        began = time.perf_counter()
+        df.select(F.size(garch.filter_column(F.col("y"), F.lit(1e-5), F.lit(0.05), F.lit(0.9), F.lit(1e-4))).alias("n")).agg(F.sum("n")).collect()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 40 * max(seconds(20_000), 0.05)
+
+
+def test_two_way_regressions_hold_no_memory(spark):
+    r = np.random.default_rng(0)
+    panel = spark.createDataFrame([(f"t{i}", dt.date(2020, 1, 1) + dt.timedelta(d), float(r.normal()), float(r.normal())) for i in range(5) for d in range(30)], "ticker string, date date, y double, x double")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ols.run_panel_regression(panel, ols.RegressionSpec("r", "y", ["x"]))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_garch_tables(spark, tmp_path):
+    import json
+
+    from tapewell.sinks import files as sinks
+
+    rows = [(f"s{i}", dt.date(2015, 1, 1) + dt.timedelta(t), e) for i in range(2) for t, e in enumerate(simulated(300, 2e-6, 0.10, 0.85, i))]
+    stocks = garch.stock_arrays(spark.createDataFrame(rows, "ticker string, date date, log_return double"), garch.GarchSpec(min_obs=100))
+    fit = garch.fit_panel(stocks, garch.GarchSpec(min_obs=100), rounds=2)
+    sinks.garch_tables(fit, str(tmp_path / "g"))
+    sinks.likelihood_ratio_tables([garch.likelihood_ratio("alpha", fit, fit)], str(tmp_path / "lr"))
+    assert len(json.loads((tmp_path / "g.json").read_text())["stocks"]) == 2 and "tabular" in (tmp_path / "g.tex").read_text()
+    assert (tmp_path / "lr.csv").read_text().startswith("parameter,")

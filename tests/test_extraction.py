@@ -79,3 +79,25 @@ def test_labels_and_dates(spark):
     assert [r[0] for r in df.select(sc.label_score(F.col("l"), F.col("c"))).collect()] == [-0.8, 0.0, 0.7, 0.0]
     days = spark.createDataFrame([(0,), (-5,), (86399,), (86400,)], "t long").select(sc.epoch_date(F.col("t")).cast("string")).collect()
     assert [r[0] for r in days] == ["1970-01-01", "1970-01-01", "1970-01-01", "1970-01-02"]
+
+
+def test_a_missing_list_of_stop_words_is_refused(spark, tmp_path):
+    (tmp_path / "none.txt").write_text("\n \n")
+    for path in (None, str(tmp_path / "none.txt")):
+        with pytest.raises(ValueError):
+            extraction.stop_words(spark, path)
+    (tmp_path / "some.txt").write_text("THE\n AND \n")
+    assert extraction.stop_words(spark, str(tmp_path / "some.txt")) == ["THE", "AND"]
+
+
+def test_durations(spark):
+    df = spark.createDataFrame([(0,), (59,), (60,), (3725,), (-1,), (None,)], "s long")
+    assert [r[0] for r in df.select(sc.duration_text(F.col("s"))).collect()] == ["0s", "59s", "1m 00s", "1h 02m 05s", "?", "?"]
+
+
+def test_first_tickers_and_spot_checks(spark):
+    df = spark.createDataFrame([("B", 1), ("A", 2), (None, 3), ("C", 4), ("A", 5)], "ticker string, x int")
+    assert sorted(r["x"] for r in universe.first_tickers(df, 2).collect()) == [1, 2, 5]
+    assert universe.first_tickers(df.where("false"), 2).count() == 0
+    other = spark.createDataFrame([("A",), ("Z",), ("Z",)], "ticker string")
+    assert tuple(universe.spot_check(df, other, "ticker").first()) == (3, 2, 1, 4)

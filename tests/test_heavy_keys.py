@@ -48,3 +48,8 @@ def test_sums_of_doubles_and_dominant_keys(spark):
     totals = heavy.key_totals(heavy.compressed(df, "k", "v"))
     whole = df.selectExpr("sum(v) AS n")
     assert {r["key"] for r in heavy.dominant_keys(totals, "total", 0.5, whole).collect()} == {"a"}
+
+
+def test_modes_of_strings(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("a", "x"), ("b", None), (None, "z")], "k string, v string")
+    assert {r["key"]: (r["mode_value"], r["mode_count"]) for r in heavy.key_modes(heavy.compressed(df, "k", "v")).collect()} == {"a": ("x", 2), None: ("z", 1)}
