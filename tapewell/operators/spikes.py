@@ -9,10 +9,9 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewell.operators.heavy_keys import compressed, key_percentiles
 from tapewell.operators.records import once
 from tapewell.session import ensure_checkpoint_dir
 
@@ -21,6 +20,11 @@ MARGIN_DAYS = 60
 #: A series is read in blocks of so many calendar days, with that margin from both neighbours, so that no task has more of one
 #: source. The results don't depend on it: what concerns a source as a whole is found over all its blocks.
 BLOCK_DAYS = 2048
+#: Medians per source are taken over value frequencies: sizes are counted in so many steps per doubling, over 64 doublings below 1
+#: and as many above, so a median is right within 0.3 % and a source has a bounded number of counts, however many bars it has.
+STEPS, DOUBLINGS = 128, 64
+#: Sources whose statistics are broadcast, one short row each; more are joined.
+BROADCAST_SOURCES = 200_000
 #: Bars of a weekday that its usual deviation needs; a weekday with fewer has none.
 LEAST_OF_WEEKDAY = 20
 #: With fewer bars the deviate test can reject nothing, whatever the values; the limit in scales decides alone.
@@ -101,6 +105,24 @@ def _shifted(x: np.ndarray, steps: Sequence[int], days: np.ndarray) -> np.ndarra
     return out
 
 
+def steps(values: np.ndarray) -> np.ndarray:
+    """Signed number of the step that a value falls into; 0 stands for 0."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        size = np.floor(np.log2(np.abs(values)) * STEPS) + STEPS * DOUBLINGS
+    size = np.clip(np.where(values == 0, 0, size), 0, 2 * STEPS * DOUBLINGS)
+    return np.where(np.isfinite(values), np.sign(values) * size, 0).astype(np.int32)
+
+
+def step_value(step: float) -> float:
+    return math.copysign(2.0 ** ((abs(step) + 0.5) / STEPS - DOUBLINGS), step) if step else 0.0
+
+
+def _step_median(values: np.ndarray) -> float:
+    """Middle of the step of the lower median."""
+    own = np.sort(steps(values[np.isfinite(values)]))
+    return step_value(float(own[(len(own) - 1) // 2])) if len(own) else math.nan
+
+
 def neighbourhood(bars: np.ndarray, days: np.ndarray, repeats: int = 5) -> dict[str, np.ndarray]:
     """What the bars around each bar of a series in date order tell. ``bars`` holds open, high, low and close; NaN stands for missing.
 
@@ -145,8 +167,8 @@ def judge(bars: np.ndarray, weekday: np.ndarray, alpha: float = 1e-4, least: flo
         for d in np.unique(weekday):
             own = of["away"][(weekday == d) & np.isfinite(of["away"])]
             if len(own) >= LEAST_OF_WEEKDAY:
-                season[weekday == d] = np.median(own)
-        usual = 1.4826 * np.nanmedian(of["move"]) if np.isfinite(of["move"]).any() else np.nan
+                season[weekday == d] = _step_median(own)
+        usual = 1.4826 * _step_median(of["move"])
         scale = np.maximum(np.fmax(np.fmax(usual, of["around"]), of["near"]), 1e-4)  # NaN where nothing is known
         logs = np.log(np.where((bars > 0) & np.isfinite(bars), bars, np.nan))
         down, up = logs - season[:, None] - of["before"][:, None], logs - season[:, None] - of["after"][:, None]
@@ -161,13 +183,6 @@ def judge(bars: np.ndarray, weekday: np.ndarray, alpha: float = 1e-4, least: flo
     return {"impossible": of["impossible"], "spike": spike, "stuck": of["stuck"], "field": field, "deviation": worst}
 
 
-def _median(features: DataFrame, key: Column, value: str) -> DataFrame:
-    """(key, n, p50) over the non-null values, by value frequencies: no task has all values of a key."""
-    counts = compressed(features.where(F.col(value).isNotNull()).select(key.alias("k"), value), "k", value)
-    number = counts.groupBy("key").agg(F.sum("n").alias("n")).withColumnRenamed("key", "k")
-    return key_percentiles(counts, (0.5,), interpolate=True).join(number, F.col("key") == F.col("k")).drop("k")
-
-
 def faulty_bars(rows: DataFrame, source: str, date: str, fields: Sequence[str] = ("open", "high", "low", "close"), alpha: float = 1e-4, least: float = 9.0, repeats: int = 5) -> DataFrame:
     """Rows: source, date, ``impossible``, ``spike``, ``stuck`` (booleans), ``field``, ``deviation`` of faulty bars.
 
@@ -183,7 +198,7 @@ def faulty_bars(rows: DataFrame, source: str, date: str, fields: Sequence[str] =
     An empty table gives no rows.
 
     One shuffle by source and block of days and one pass in numpy over each block; its result is checkpointed. Medians per source
-    and weekday are exact and found by value frequencies, sums per source are combined before their shuffle. The test first asks
+    and weekday come from counts of value steps, sums per source are combined before their shuffle. The test first asks
     whether the least extreme suspect is an outlier without the others, which needs sums only and settles nearly every source; only
     suspects of sources where it isn't are put in order.
     """
@@ -203,7 +218,7 @@ def faulty_bars(rows: DataFrame, source: str, date: str, fields: Sequence[str] =
         F.explode(blocks).alias("at"),
     ).where("at.b IS NOT NULL")
     kind = rows.schema[source].dataType.simpleString()
-    numbers = ("before", "after", "away", "move", "around", "near")
+    numbers, counted = ("before", "after", "around", "near"), ("move", "away")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         day, values, own = pdf["day"].to_numpy(), pdf[prices].to_numpy(float), pdf["own"].to_numpy(bool)
@@ -211,21 +226,37 @@ def faulty_bars(rows: DataFrame, source: str, date: str, fields: Sequence[str] =
         of = neighbourhood(values[order], day[order], repeats)
         keep = own[order]
         out = {"source": pdf["source"].to_numpy()[order][keep], "day": day[order][keep], **{x: v[order][keep] for x, v in zip(prices, values.T)}}
-        return pd.DataFrame(out | {k: of[k][keep] for k in ("impossible", "stuck", *numbers)})
+        out |= {k: of[k][keep] for k in ("impossible", "stuck", *numbers)}
+        for k in counted:
+            out |= {f"{k}_step": steps(of[k][keep]), f"has_{k}": np.isfinite(of[k][keep])}
+        return pd.DataFrame(out)
 
-    shape = f"source {kind}, day int, {', '.join(f'{x} double' for x in prices)}, impossible boolean, stuck boolean, {', '.join(f'{k} double' for k in numbers)}"
+    shape = f"source {kind}, day int, {', '.join(f'{x} double' for x in prices)}, impossible boolean, stuck boolean, {', '.join(f'{k} double' for k in numbers)}, {', '.join(f'{k}_step int, has_{k} boolean' for k in counted)}"
     flat = placed.select("source", "day", *prices, F.col("at.b").alias("b"), F.col("at.own").alias("own"))
     # a fixed number of partitions: coalescing by bytes would leave the work in Python to few tasks
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(spark)
     features = flat.repartition(parts, "source", "b").groupBy("source", "b").applyInPandas(one, shape)
-    features = features.select("source", "day", *prices, "impossible", "stuck", *[F.nanvl(k, F.lit(None).cast("double")).alias(k) for k in numbers]).checkpoint()
+    others = [f(k) for k in counted for f in ("has_{}".format, "{}_step".format)]
+    features = features.select("source", "day", *prices, "impossible", "stuck", *[F.nanvl(k, F.lit(None).cast("double")).alias(k) for k in numbers], *others).checkpoint()
 
     weekday = F.pmod(F.col("day") + 3, F.lit(7))
-    usual = _median(features, F.col("source"), "move").select(F.col("key").alias("s"), (1.4826 * F.col("p50")).alias("usual"))
-    seasons = _median(features, F.struct("source", weekday.alias("w")), "away").where(F.col("n") >= LEAST_OF_WEEKDAY)
-    seasons = seasons.select(F.col("key.source").alias("s"), F.col("key.w").alias("w"), F.col("p50").alias("season"))
-    known = features.join(usual, F.col("source") == F.col("s"), "left").drop("s").join(seasons, (F.col("source") == F.col("s")) & (weekday == F.col("w")), "left").drop("s", "w")
+    both = F.array(
+        F.struct(F.lit(-1).alias("what"), F.col("move_step").alias("step"), F.col("has_move").alias("has")),
+        F.struct(weekday.alias("what"), F.col("away_step").alias("step"), F.col("has_away").alias("has")),
+    )
+    frequencies = features.select("source", F.inline(both)).where("has").groupBy("source", "what", "step").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("source", "what")
+    upto = F.sum("n").over(by.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    middle = frequencies.select("source", "what", "step", "n", upto.alias("upto"), F.sum("n").over(by).alias("all"))
+    middle = middle.where((2 * F.col("upto") >= F.col("all")) & (2 * (F.col("upto") - F.col("n")) < F.col("all")))  # the lower median
+    value = F.when(F.col("step") == 0, 0.0).otherwise(F.signum("step") * F.pow(F.lit(2.0), (F.abs("step") + 0.5) / STEPS - DOUBLINGS))
+    known = middle.where((F.col("what") < 0) | (F.col("all") >= LEAST_OF_WEEKDAY)).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("what", value))).alias("usually"))
+    known = known.withColumnRenamed("source", "s").checkpoint()
+    known = F.broadcast(known) if known.count() <= BROADCAST_SOURCES else known
+    known = features.join(known, F.col("source") == F.col("s"), "left").drop("s")
+    usually = lambda what: F.try_element_at("usually", what.cast("int"))
+    known = known.withColumns({"usual": 1.4826 * usually(F.lit(-1)), "season": usually(weekday)})
     scale = F.when(F.coalesce("usual", "around", "near").isNotNull(), F.greatest("usual", "around", "near", F.lit(1e-4)))
 
     def residual(x: str) -> Column:
