@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import random
 import re
@@ -111,6 +112,10 @@ class Candidate:
 _TOKEN, _TOKEN_OR_DASHES = re.compile(r"[\w'’-]+"), re.compile(r"[\w'’-]+|--")
 
 
+_CUES = ("mail", "phone", "id", "not", "live", "who")
+_CUES_OF = {w: [i for i, k in enumerate(_CUES) if w in _SETS[k]] for k in _CUES for w in _SETS[k]}
+
+
 class _Index:
     """Where the words of a text and the ends of its sentences are, so that neighbours are found at any length of words."""
 
@@ -120,6 +125,7 @@ class _Index:
         self.text = text
         spans = [m.span() for m in _TOKEN_OR_DASHES.finditer(text)]
         self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+        self.cues = [_CUES_OF.get(text[a:b].lower(), ()) for a, b in spans]
         self.stops = [m.end() for m in _BREAK.finditer(text) if text[m.start() - 2 : m.start() + 1].lower() not in ("no.", "nr.")]
 
     @classmethod
@@ -134,6 +140,18 @@ class _Index:
         low = self.stops[j - 1] if j else 0
         return [self.text[self.starts[k] : self.ends[k]].lower() for k in range(i - 1, max(-1, i - 1 - number), -1) if self.starts[k] >= low]
 
+    def cues_before(self, start: int, number: int) -> list[float]:
+        """How near the nearest word of each set of cues is, within ``number`` words of the sentence."""
+        out = [0.0] * len(_CUES)
+        i, j = bisect_right(self.ends, start), bisect_right(self.stops, start)
+        low, starts, cues = self.stops[j - 1] if j else 0, self.starts, self.cues
+        for k in range(i - 1, max(-1, i - 1 - number), -1):
+            if starts[k] < low:
+                break
+            for c in cues[k]:
+                out[c] = out[c] or float(8 - i + k + 2)
+        return out
+
     def after(self, end: int, number: int) -> list[str]:
         i, j = bisect_left(self.starts, end), bisect_right(self.stops, end)
         high = self.stops[j] if j < len(self.stops) else len(self.text)
@@ -159,10 +177,6 @@ def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
     return _before(text, start), _after(text, end)
 
 
-_CUES = ("mail", "phone", "id", "not", "live", "who")
-_CUES_OF = {w: [i for i, k in enumerate(_CUES) if w in _SETS[k]] for k in _CUES for w in _SETS[k]}
-
-
 def _cues_before(before: Sequence[str]) -> list[float]:
     """How near the nearest word of each set is."""
     out = [0.0] * len(_CUES)
@@ -329,7 +343,7 @@ class Finder:
         return [
             float(bool(prior)), float(prior in _SETS["firm"]), float(prior in common_words(self.folder)),
             float(text[start - 1 : start] in "@/#$." if start else False), float(text[max(0, start - 3) : start] == "-- "),
-        ] + _cues_before(_before(text, start))
+        ] + index.cues_before(start, 6)
 
     def _right(self, text: str, end: int) -> list[float]:
         follow = text[end : end + 1]
@@ -503,6 +517,15 @@ class Finder:
 
     def spans(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, str, float]]]:
         """Chosen spans (start, end, kind, probability) of every text, in order and without overlaps."""
+        collecting = gc.isenabled()
+        gc.disable()  # many short lists and no cycles
+        try:
+            return self._spans(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _spans(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, str, float]]]:
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
         clean = [(t or "").replace(_RECORD, " ") for t in texts]
         whole = _RECORD.join(clean)
