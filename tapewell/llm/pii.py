@@ -26,7 +26,7 @@ _DATA = Path(__file__).with_name("data")
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 #: Sentences made for training, half of them kept for the thresholds.
-TRAINING = 7000
+TRAINING = 10_000
 #: Runs of words that are names with less than this probability whatever stands beside them aren't looked at further. On made
 #: texts of another seed fewer than one name in a thousand is lost so (tests/llm/test_pii.py).
 LEAST_OWN = 0.002
@@ -717,7 +717,7 @@ class _Maker:
         "phone": ["You may telephone {} on weekdays.", "mobile {}", "Fax: {}", "Our new number: {}", "leave a message on {}", "customer service, {}, keeps you waiting", "he texted from {}", "if urgent, {}", "T: {}", "the line {} is always busy", "they phoned from {} twice", "Telefon {}", "Tel. {}", "tél. {}", "teléfono {}", "handy {}", "my cell is {}"],
         "id_number": ["Social security number: {}", "tax ID {}", "Her passport number is {}.", "Passport {} was stolen.", "transfer the rent to {}", "IBAN: {}", "the form asks for {}", "they verified me with {}", "my national insurance number, {}, was wrong on the payslip", "licence {} expired", "He typed {} into the identity check.", "account number {}", "Steuernummer {}", "Kontonummer {}", "numéro fiscal {}", "mi DNI es {}", "cuenta bancaria {}", "identity card {}"],
         "address": ["Home: {}", "We moved to {} in spring.", "invoices should be posted to {}", "The parcel went to {} by mistake.", "Her brother rents at {}.", "deliver to {}", "come to {} after work", "the house at {} is empty", "Registered office: {}", "{} was on the envelope", "he owns {}", "Anschrift: {}", "adresse : {}", "dirección: {}", "born and raised at {}"],
-        "name": ["I am {} and I approve.", "This was written by {}.", "{} called me yesterday about the refund.", "{} told everybody.", "{} resigned.", "Please speak with {} first.", "Yours faithfully, {}", "Kind regards\\n{}", "my sister {} works there", "our neighbour {} sold the house", "The manager, {}, apologised.", "Dear {},", "{} lives next door.", "{} and I went there together.", "a certain {} complained", "met {} in person", "hello {}, how are you", "Hi, I'm {}.", "the nurse {} was kind", "according to {}, nothing happened", "{} has been my broker for years", "the email was from {}", "signed, {}", "Gruß, {}", "Cordialement, {}", "Saludos, {}", "ich heiße {}", "je m'appelle {}", "me llamo {}", "congratulations to {}", "{} owes me money", "say hello to {} from me", "{}, a teacher, won the prize", "thanks to {} for the help", "i know {} from work", "her lawyer is {}", "{} bought the flat"],
+        "name": ["I am {} and I approve.", "This was written by {}.", "{} called me yesterday about the refund.", "{} told everybody.", "{} resigned.", "Please speak with {} first.", "Yours faithfully, {}", "-- {}", "Best wishes -- {}", "that is all for today -- {}", "you can ask {} for the key", "Kind regards\\n{}", "my sister {} works there", "our neighbour {} sold the house", "The manager, {}, apologised.", "Dear {},", "{} lives next door.", "{} and I went there together.", "a certain {} complained", "met {} in person", "hello {}, how are you", "Hi, I'm {}.", "the nurse {} was kind", "according to {}, nothing happened", "{} has been my broker for years", "the email was from {}", "signed, {}", "Gruß, {}", "Cordialement, {}", "Saludos, {}", "ich heiße {}", "je m'appelle {}", "me llamo {}", "congratulations to {}", "{} owes me money", "say hello to {} from me", "{}, a teacher, won the prize", "thanks to {} for the help", "i know {} from work", "her lawyer is {}", "{} bought the flat"],
     }
 
     def ordinary(self) -> str:
