@@ -136,3 +136,11 @@ def test_letters_drawn_out_beyond_any_length(tagger):
 def test_every_sentence_goes_through_the_field(tagger):
     scores, p, _ = tagger.scores(["Nice chart today. We hold.", "", "nothing"])
     assert (p > 0).all() and scores[0] > 0 and scores[1] == 0 and scores[2] > 0
+
+
+def test_abuse_without_an_offensive_word(tagger):
+    """Sentences written before the patterns of implied abuse: 0.45 found (0.30 before those), 0.90 right."""
+    rows = [line.split("\t") for line in phrasings("implied_phrasings.tsv")]
+    got = tagger.scores([t for _, t in rows])[0] >= tagger.threshold
+    truth = np.array([y == "1" for y, _ in rows])
+    assert (got & truth).sum() / truth.sum() >= 0.4 and (got & truth).sum() / got.sum() >= 0.85
