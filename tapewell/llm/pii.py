@@ -40,12 +40,14 @@ _DIGIT = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 # ---------------------------------------------------------------- generators
 _AT = re.compile(r"\s?(?:@|[\[({]\s?at\s?[\])}])\s?|\sat\s(?=[\w-]+\s?(?:dot\s|[\[(]dot))", re.I)
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[\w-]+)*", re.I)
-_NUMBER = re.compile(
+_NUMBER = (
     rf"(?<![\w$.,])\+?\d{{1,4}}(?:[ .-]?\d{{1,4}}){{0,3}}[ .-](?:(?:{_DIGIT})\b[ -]?){{3,}}"
     r"|(?<![\w$])[A-Z]{2}\d{2} ?(?:[A-Z]{4}|\d{4})(?: ?\d{4}){1,6}(?: ?\d{1,4})?(?!\w)"
     r"|(?<![\w$])[A-Z](?=[A-Z\d]{8}(?!\w))(?:[A-Z]*\d){4,8}[A-Z\d]*(?!\w)"
     r"|(?<![\w$€£.,])(?:[A-Z]{1,2}[ -]?)?(?:\+ ?|\(\+?)?\d(?:\d|[ .\-/()]{1,2}(?=[\d(]))*\d(?:[ -]?[A-Z](?![\w]))?(?![\w%,]\d|\w)"
 )
+#: The same, looked for only where a first sign of it stands; nothing but that sign is consumed.
+_NUMBER_FROM = re.compile(rf"[\d+(A-Z](?<=(?=({_NUMBER}))[\d+(A-Z])")
 _PLACE = rf"(?:\d{{4,5}} )?[A-ZÄÖÜÉÁ][\w'’-]+(?: [A-ZÄÖÜÉÁ][a-zß-ÿ'’-]+)?(?: (?:[A-Z]{{1,2}}\d[A-Z\d]? ?\d[A-Z]{{2}}|[A-Z]{{2}} \d{{5}}|\d{{5}}))?"
 _STREET = r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|way|boulevard|blvd|place|pl|square|sq|terrace|close|crescent|gardens|grove|hill|mews|row|walk|park|circle|trail|alley|loop|parkway|highway|hwy)"
 _ADDRESS = [
@@ -63,12 +65,12 @@ _STREET_WORDS = [
 ]
 _PARTICLES = "van|von|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|bin|ibn|al|el|af|av|zu|y"
 _PART = r"[^\W\d_](?:[\w'’̀-ͯ-]*[^\W\d_][̀-ͯ]*)?"
-#: Nothing is consumed, so that a title after a name begins a candidate of its own.
+#: Only the first sign is consumed, so that a title after a name begins a candidate of its own.
 _TITLED = re.compile(
-    r"\b(?=(?P<title>Miss|(?:[Mm]r|[Mm]rs|[Mm]s|[Dd]r|[Pp]rof|MR|MRS|MS|DR|Sra?|Mme|Mlle)\b\.?|Professor|Herr|Frau|Señora?|Monsieur|Madame|Sir) "
-    rf"(?P<lead>(?:{_L}\. ?){{0,3}})(?P<a>{_L}[\w'’̀-ͯ-]+)(?P<mid>(?: (?:{_L}(?!\w)\.?|(?:{_PARTICLES})(?!\w))){{0,3}})(?: (?P<b>{_L}[\w'’̀-ͯ-]+)(?: (?P<c>{_L}[\w'’̀-ͯ-]+))?)?)"
+    r"[MmDdPpSHF](?<=\b(?=(?P<title>Miss|(?:[Mm]r|[Mm]rs|[Mm]s|[Dd]r|[Pp]rof|MR|MRS|MS|DR|Sra?|Mme|Mlle)\b\.?|Professor|Herr|Frau|Señora?|Monsieur|Madame|Sir) "
+    rf"(?P<lead>(?:{_L}\. ?){{0,3}})(?P<a>{_L}[\w'’̀-ͯ-]+)(?P<mid>(?: (?:{_L}(?!\w)\.?|(?:{_PARTICLES})(?!\w))){{0,3}})(?: (?P<b>{_L}[\w'’̀-ͯ-]+)(?: (?P<c>{_L}[\w'’̀-ͯ-]+))?)?)[MmDdPpSHF])"
 )
-_NAME_PART = re.compile(_PART)
+_NAME_PART = re.compile(f"({_PART})")
 _MORE = re.compile(rf" ({_L}[\w'’-]+)")
 _WORD = re.compile(rf"{_L}(?:[\w'’-]*{_L})?")
 
@@ -109,7 +111,20 @@ class Candidate:
         self.kind, self.start, self.end, self.x = kind, start, end, x
 
 
-_TOKEN, _TOKEN_OR_DASHES = re.compile(r"[\w'’-]+"), re.compile(r"[\w'’-]+|--")
+_TOKEN, _TOKEN_OR_DASHES = re.compile(r"[\w'’-]+"), re.compile(r"([\w'’-]+|--)")
+
+
+def _parted(pattern: re.Pattern, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The matches of ``pattern``, which is one group, and where they begin and end."""
+    parts = pattern.split(text)
+    ends = np.fromiter(map(len, parts), np.int64, len(parts)).cumsum()
+    return parts[1::2], ends[:-1:2], ends[1::2]
+
+
+def _lower(text: str) -> str:
+    """Small letters, sign by sign: a few capitals have longer small forms and stay."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 _CUES = ("mail", "phone", "id", "not", "live", "who")
@@ -123,9 +138,10 @@ class _Index:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        spans = [m.span() for m in _TOKEN_OR_DASHES.finditer(text)]
-        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
-        self.cues = [_CUES_OF.get(text[a:b].lower(), ()) for a, b in spans]
+        words, starts, ends = _parted(_TOKEN_OR_DASHES, text)
+        self.starts, self.ends = starts.tolist(), ends.tolist()
+        cues = _CUES_OF.get
+        self.cues = [cues(w, ()) for w in map(str.lower, words)]
         self.stops = [m.end() for m in _BREAK.finditer(text) if text[m.start() - 2 : m.start() + 1].lower() not in ("no.", "nr.")]
 
     @classmethod
@@ -239,8 +255,12 @@ def _number_features(span: str, text: str, start: int, end: int) -> list[float]:
 
 
 def _numbers(text: str) -> Iterator[Candidate]:
-    for m in _NUMBER.finditer(text):
-        span = m[0].rstrip(" -")
+    upto = 0
+    for m in _NUMBER_FROM.finditer(text):
+        if m.start() < upto:
+            continue
+        upto = m.end(1)
+        span = m[1].rstrip(" -")
         digits = sum(c.isdigit() for c in span) + len(re.findall(_DIGIT, span))
         if digits < 6 or digits < 7 and not any(c.isalpha() for c in span):
             continue
@@ -397,10 +417,7 @@ class Finder:
             for word in _STREET_WORDS:
                 self._automaton.add_word(word, 0)
             self._automaton.make_automaton()
-        lower = text.lower()
-        if len(lower) != len(text):  # a few capitals have longer small forms
-            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        return [end for end, _ in self._automaton.iter(lower)]
+        return [end for end, _ in self._automaton.iter(_lower(text))]
 
     def _names(self, text: str) -> Iterator[Candidate]:
         nothing = self._word("")
@@ -427,10 +444,10 @@ class Finder:
     def _untitled(self, text: str) -> Iterator[Candidate]:
         """Every run of words apart by one space, whatever their letters: given name, initials, middle names, particles, family
         name; and every two words around a comma. No list decides, only the trees; runs that they can't accept are skipped."""
-        spans = [m.span() for m in _NAME_PART.finditer(text)]
-        if len(spans) < 2:
+        parts, first, last = _parted(_NAME_PART, text)
+        if len(parts) < 2:
             return
-        codes, different = pd.factorize(np.array(_NAME_PART.findall(text), object))
+        codes, different = pd.factorize(np.array(parts, object))
         forms = self._forms
         numbers = np.empty(len(different), np.int64)
         for n, w in enumerate(different):
@@ -441,16 +458,14 @@ class Finder:
             numbers[n] = forms[form]
         kind = numbers[codes]
         known = np.array(self._known, float)
-        place = np.array(spans)
         signs = np.frombuffer((" " + text + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
         at = lambda i: signs[i + 1]
-        first, last = place[:, 0], place[:, 1]
         # what may stand before a name and what may not stand after it
         glued = np.isin(at(first - 1), [ord(c) for c in "_@/.$#"]) | _letters(at(first - 1))
         stops = ~(np.isin(at(last), [ord(c) for c in "_@"]) | _letters(at(last)))
         length, particle = known[kind, 4], known[kind, 5] == 1.0
         single = length == 1.0
-        gap = np.full(len(spans), 99)
+        gap = np.full(len(parts), 99)
         gap[1:] = first[1:] - last[:-1]
         sign, after = at(np.roll(last, 1)), at(np.roll(last, 1) + 1)
         near = (gap == 1) & (sign == 32) | np.roll(single, 1) & ((gap == 1) & (sign == 46) | (gap == 2) & (sign == 46) & (after == 32))
@@ -459,7 +474,7 @@ class Finder:
         sums = np.concatenate([np.zeros((5, 1), np.int64), counted.cumsum(1)], axis=1)
         run, found = ~glued, []
         for size in range(1, _MIDDLE + 2):
-            number = len(spans) - size
+            number = len(parts) - size
             if number <= 0:
                 break
             run = run[:number] & near[size:]
@@ -477,14 +492,24 @@ class Finder:
         found.sort(key=lambda f: f[:2])
         words = self._known
         lefts: tuple[int, list[float]] = (-1, [])
+        rights: dict[int, list[float]] = {}  # of the runs that end at a word
+        starts, ends, kinds = first.tolist(), last.tolist(), kind.tolist()
         for i, size, mid in found:
-            start, end = spans[i][0], spans[i + size][1]
+            start, end = starts[i], ends[i + size]
             if lefts[0] != i:
                 lefts = (i, self._left(text, start))
-            yield Candidate("name", start, end, self._own(False, 0.0, words[kind[i]], words[kind[i + size]], mid) + lefts[1] + self._right(text, end) + self._company(text, start, end))
+            right = rights.get(end)
+            if right is None:
+                right = rights[end] = self._right(text, end)
+            yield Candidate("name", start, end, self._own(False, 0.0, words[kinds[i]], words[kinds[i + size]], mid) + lefts[1] + right + self._company(text, start, end))
         comma = np.flatnonzero(~glued[:-1] & (gap[1:] == 2) & (sign[1:] == 44) & (after[1:] == 32) & ~single[:-1] & stops[1:])
-        for i in comma.tolist():
-            yield from self._inverted(text, spans, [words[n] for n in kind[i : i + 3]], stops, i)
+        keys = (kind[comma] * len(words) + kind[comma + 1]).tolist()
+        never: dict[int, bool] = {}  # by the words' forms: neither with an initial nor without
+        for i, key in zip(comma.tolist(), keys):
+            if key not in never:
+                never[key] = not any(self._can_be_inverted(words[kinds[i]], words[kinds[i + 1]], initials) for initials in (0, 1))
+            if not never[key]:
+                yield from self._inverted(text, list(zip(starts[i : i + 3], ends[i : i + 3])), [words[n] for n in kinds[i : i + 3]], stops[i : i + 3].tolist())
 
     def _possible_runs(self, keys: list[int], i: np.ndarray, size: int, kind: np.ndarray, mid: np.ndarray) -> np.ndarray:
         """``_can_be`` of runs with these keys; new ones are weighed together, and remembered."""
@@ -497,19 +522,21 @@ class Finder:
                 known[keys[n]] = can and self._can_be(row)
         return np.array([known[k] for k in keys], bool)
 
-    def _inverted(self, text: str, spans: list, words: list, stops: list, i: int) -> Iterator[Candidate]:
-        """'Family, Given', with an initial after it or without."""
-        start, end = spans[i][0], spans[i + 1][1]
+    def _can_be_inverted(self, family: tuple, given: tuple, initials: int) -> bool:
+        key = (1.0, given, family, (initials, 0, 0, 0, 0))
+        can = self._possible.get(key)
+        if can is None:
+            can = self._possible[key] = self._can_be(self._own(False, 1.0, given, family, key[3]))
+        return can
+
+    def _inverted(self, text: str, spans: list, words: list, stops: list) -> Iterator[Candidate]:
+        """'Family, Given', with an initial after it or without; of the first two or three of some words."""
+        start, end = spans[0][0], spans[1][1]
         family, given = words[0], words[1]
-        follows = i + 2 < len(spans) and spans[i + 2] == (end + 1, end + 2) and text[end] == " " and stops[i + 2] and words[2][3] == 2.0
+        follows = len(spans) > 2 and spans[2] == (end + 1, end + 2) and text[end] == " " and stops[2] and words[2][3] == 2.0
         for initials, stop in [(0, end), *([(1, end + 2)] if follows else [])]:
-            mid = (initials, 0, 0, 0, 0)
-            key = (1.0, given, family, mid)
-            can = self._possible.get(key)
-            if can is None:
-                can = self._possible[key] = self._can_be(self._own(False, 1.0, given, family, mid))
-            if can:
-                yield Candidate("name", start, stop, self._own(False, 1.0, given, family, mid) + self._context(text, start, stop))
+            if self._can_be_inverted(family, given, initials):
+                yield Candidate("name", start, stop, self._own(False, 1.0, given, family, (initials, 0, 0, 0, 0)) + self._context(text, start, stop))
 
     def candidates(self, text: str) -> list[Candidate]:
         out = [*_email(text), *_numbers(text), *_address(text, self._hits(text)), *self._names(text)]

@@ -156,3 +156,38 @@ def test_hardly_a_name_is_left_out_for_its_words(finder):
     assert len(names) > 300 and len(lost) <= len(names) / 1000
     taken = finder.models["name"].predict(np.array([c.x for c in more])) >= finder.thresholds["name"]
     assert taken.sum() <= len(names) / 1000
+
+
+def test_right_hand_context_is_looked_up_once_per_end(finder, monkeypatch):
+    """Runs of words that end at the same word share what stands after it."""
+    from collections import Counter
+
+    seen, right = Counter(), pii.Finder._right
+
+    def counted(self, text, end):
+        seen[end] += 1
+        return right(self, text, end)
+
+    monkeypatch.setattr(pii.Finder, "_right", counted)
+    text = "Please ask Anna Maria Louise Kowalski about it"
+    names = [c for c in finder._untitled(text) if c.kind == "name"]
+    assert len({c.end for c in names}) < len(names)
+    assert max(seen.values()) == 1
+
+
+def test_quick_searches_find_what_the_plain_ones_find():
+    import random
+    import re
+
+    r, plain = random.Random(4), re.compile(pii._NUMBER)
+    parts = ["12", "555-0199", "+49", "(030)", "00", "A1", "DE89 3704 0044", "AB123456C", "X12345678", "٣٤", "7", "$", "/", "-", ".", ",", " ", " ", "five six one", "Z", "\n", "é", "%"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 15)))
+        got, upto = [], 0
+        for m in pii._NUMBER_FROM.finditer(text):
+            if m.start() >= upto:
+                got.append(m.span(1))
+                upto = m.end(1)
+        assert got == [m.span() for m in plain.finditer(text)]
+        words, starts, ends = pii._parted(pii._NAME_PART, text)
+        assert [(w, a, b) for w, a, b in zip(words, starts.tolist(), ends.tolist())] == [(m[0], *m.span()) for m in pii._NAME_PART.finditer(text)]
