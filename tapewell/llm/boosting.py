@@ -63,11 +63,15 @@ class BoostedTrees:
         """Probability of the positive class for every row."""
         n = len(x)
         margin, rows = np.full(n, self.base), np.arange(n)
+        columns = np.ascontiguousarray(x.T)
+        right = np.empty((self.features.shape[1], n), np.int8)
+        flat = right.reshape(-1)
         for f, c, leaf in zip(self.features, self.limits, self.leaves):
-            node = np.zeros(n, int)
+            for k, (j, limit) in enumerate(zip(f.tolist(), c.tolist())):
+                np.greater(columns[j], limit, out=right[k], casting="unsafe")
+            node = np.zeros(n, np.int64)
             for level in range(self.depth):
-                place = 2**level - 1 + node
-                node = 2 * node + (x[rows, f[place]] > c[place])
+                node = 2 * node + flat[(node + (2**level - 1)) * n + rows]
             margin += leaf[node]
         return 1 / (1 + np.exp(-margin))
 

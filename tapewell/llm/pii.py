@@ -111,7 +111,7 @@ class Candidate:
         self.kind, self.start, self.end, self.x = kind, start, end, x
 
 
-_TOKEN, _TOKEN_OR_DASHES = re.compile(r"[\w'’-]+"), re.compile(r"([\w'’-]+|--)")
+_TOKEN, _TOKENS = re.compile(r"[\w'’-]+"), re.compile(r"([\w'’-]+)")
 
 
 def _parted(pattern: re.Pattern, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ class _Index:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        words, starts, ends = _parted(_TOKEN_OR_DASHES, text)
+        words, starts, ends = _parted(_TOKENS, text)
         self.starts, self.ends = starts.tolist(), ends.tolist()
         cues = _CUES_OF.get
         self.cues = [cues(w, ()) for w in map(str.lower, words)]
@@ -493,6 +493,7 @@ class Finder:
         words = self._known
         lefts: tuple[int, list[float]] = (-1, [])
         rights: dict[int, list[float]] = {}  # of the runs that end at a word
+        companies: dict[str, list[float]] = {}  # of runs of the same words
         starts, ends, kinds = first.tolist(), last.tolist(), kind.tolist()
         for i, size, mid in found:
             start, end = starts[i], ends[i + size]
@@ -501,7 +502,11 @@ class Finder:
             right = rights.get(end)
             if right is None:
                 right = rights[end] = self._right(text, end)
-            yield Candidate("name", start, end, self._own(False, 0.0, words[kinds[i]], words[kinds[i + size]], mid) + lefts[1] + right + self._company(text, start, end))
+            run = text[start:end]
+            company = companies.get(run)
+            if company is None:
+                company = companies[run] = self._company(text, start, end)
+            yield Candidate("name", start, end, self._own(False, 0.0, words[kinds[i]], words[kinds[i + size]], mid) + lefts[1] + right + company)
         comma = np.flatnonzero(~glued[:-1] & (gap[1:] == 2) & (sign[1:] == 44) & (after[1:] == 32) & ~single[:-1] & stops[1:])
         keys = (kind[comma] * len(words) + kind[comma + 1]).tolist()
         never: dict[int, bool] = {}  # by the words' forms: neither with an initial nor without
