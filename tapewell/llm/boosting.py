@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Trees between two looks at which rows may still matter.
+STEP = 10
+
 
 class BoostedTrees:
     """Logistic boosting with complete trees of fixed depth; splits at quantiles of the features."""
@@ -59,21 +62,41 @@ class BoostedTrees:
         self.features, self.limits, self.leaves = np.array(features), np.array(limits), np.array(values)
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """Probability of the positive class for every row."""
+    def predict(self, x: np.ndarray, least: float = 0.0) -> np.ndarray:
+        """Probability of the positive class for every row; 0 where it is below ``least``, as soon as no further tree could change that."""
+        if least > 0:
+            return self._at_least(x, least)
         n = len(x)
-        margin, rows = np.full(n, self.base), np.arange(n)
+        return 1 / (1 + np.exp(-self._add(x, np.full(n, self.base), slice(None))))
+
+    def _add(self, x: np.ndarray, margin: np.ndarray, trees: slice) -> np.ndarray:
+        """``margin`` and the leaves of these trees."""
+        n, rows = len(x), np.arange(len(x))
+        margin = margin.copy()
         columns = np.ascontiguousarray(x.T)
         right = np.empty((self.features.shape[1], n), np.int8)
         flat = right.reshape(-1)
-        for f, c, leaf in zip(self.features, self.limits, self.leaves):
+        for f, c, leaf in zip(self.features[trees], self.limits[trees], self.leaves[trees]):
             for k, (j, limit) in enumerate(zip(f.tolist(), c.tolist())):
                 np.greater(columns[j], limit, out=right[k], casting="unsafe")
             node = np.zeros(n, np.int64)
             for level in range(self.depth):
                 node = 2 * node + flat[(node + (2**level - 1)) * n + rows]
             margin += leaf[node]
-        return 1 / (1 + np.exp(-margin))
+        return margin
+
+    def _at_least(self, x: np.ndarray, least: float) -> np.ndarray:
+        """Some trees at a time; rows that even the best leaves of the others leave below ``least`` drop out."""
+        out, alive, margin = np.zeros(len(x)), np.arange(len(x)), np.full(len(x), self.base)
+        best = np.append(self.leaves.max(1)[::-1].cumsum()[::-1], 0.0)
+        needed = np.log(least / (1 - least)) - 1e-9
+        for low in range(0, len(self.leaves), STEP):
+            margin = self._add(x[alive], margin, slice(low, low + STEP))
+            stay = margin + best[min(low + STEP, len(self.leaves))] >= needed
+            alive, margin = alive[stay], margin[stay]
+        p = 1 / (1 + np.exp(-margin))
+        out[alive] = np.where(p >= least, p, 0.0)
+        return out
 
     def one(self, x: np.ndarray) -> float:
         """Probability of a single row, all trees at a time."""

@@ -39,6 +39,8 @@ _DIGIT = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 
 # ---------------------------------------------------------------- generators
 _AT = re.compile(r"\s?(?:@|[\[({]\s?at\s?[\])}])\s?|\sat\s(?=[\w-]+\s?(?:dot\s|[\[(]dot))", re.I)
+#: The same from its first sign that is no space.
+_AT_FROM = re.compile(r"[@\[({aA](?i:(?<=@)\s?|(?<=[\[({])\s?at\s?[\])}]\s?|(?<=\s[aA])t\s(?=[\w-]+\s?(?:dot\s|[\[(]dot)))")
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[\w-]+)*", re.I)
 _NUMBER = (
     rf"(?<![\w$.,])\+?\d{{1,4}}(?:[ .-]?\d{{1,4}}){{0,3}}[ .-](?:(?:{_DIGIT})\b[ -]?){{3,}}"
@@ -47,7 +49,7 @@ _NUMBER = (
     r"|(?<![\w$€£.,])(?:[A-Z]{1,2}[ -]?)?(?:\+ ?|\(\+?)?\d(?:\d|[ .\-/()]{1,2}(?=[\d(]))*\d(?:[ -]?[A-Z](?![\w]))?(?![\w%,]\d|\w)"
 )
 #: The same, looked for only where a first sign of it stands; nothing but that sign is consumed.
-_NUMBER_FROM = re.compile(rf"[\d+(A-Z](?<=(?=({_NUMBER}))[\d+(A-Z])")
+_NUMBER_FROM = re.compile(rf"[\d+(A-Z](?<![\w$].)(?:(?<![A-Z])|(?=[A-Z\d]{{8}}|[A-Z]?[ -]?[+(]{{0,2}} ?\d))(?<=(?=({_NUMBER}))[\d+(A-Z])")
 _PLACE = rf"(?:\d{{4,5}} )?[A-ZÄÖÜÉÁ][\w'’-]+(?: [A-ZÄÖÜÉÁ][a-zß-ÿ'’-]+)?(?: (?:[A-Z]{{1,2}}\d[A-Z\d]? ?\d[A-Z]{{2}}|[A-Z]{{2}} \d{{5}}|\d{{5}}))?"
 _STREET = r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|way|boulevard|blvd|place|pl|square|sq|terrace|close|crescent|gardens|grove|hill|mews|row|walk|park|circle|trail|alley|loop|parkway|highway|hwy)"
 _ADDRESS = [
@@ -107,11 +109,11 @@ _BREAK = re.compile(rf"[.!?]\s|\n|{_RECORD}")
 class Candidate:
     __slots__ = ("kind", "start", "end", "x")
 
-    def __init__(self, kind: str, start: int, end: int, x: list[float]) -> None:
+    def __init__(self, kind: str, start: int, end: int, x: Sequence[float]) -> None:
         self.kind, self.start, self.end, self.x = kind, start, end, x
 
 
-_TOKEN, _TOKENS = re.compile(r"[\w'’-]+"), re.compile(r"([\w'’-]+)")
+_TOKEN = re.compile(r"[\w'’-]+")
 
 
 def _parted(pattern: re.Pattern, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -121,6 +123,61 @@ def _parted(pattern: re.Pattern, text: str) -> tuple[list[str], np.ndarray, np.n
     return parts[1::2], ends[:-1:2], ends[1::2]
 
 
+#: What a sign can be: a letter, part of a word (``_TOKEN``), between the letters of a name (``_PART``), letter or digit, combining, space.
+_IS_LETTER, _IN_TOKEN, _IN_PART, _IS_ALNUM, _COMBINES, _IS_SPACE = 1, 2, 4, 8, 16, 32
+_SIGNS = np.full(0x110000, 255, np.uint8)
+
+
+def _signs(codes: np.ndarray) -> np.ndarray:
+    """What each sign is; 255 stands for a sign not seen before."""
+    out = _SIGNS[codes]
+    new = out == 255
+    if new.any():
+        for code in np.unique(codes[new]).tolist():
+            c = chr(code)
+            known, mark = c.isalnum(), 0x300 <= code <= 0x36F
+            word = known or c in "_'’-"
+            _SIGNS[code] = known * _IS_ALNUM + (known and not c.isdecimal()) * _IS_LETTER + word * _IN_TOKEN + (word or mark) * _IN_PART + mark * _COMBINES + c.isspace() * _IS_SPACE
+        out = _SIGNS[codes]
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _tokens(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of ``_TOKEN`` begin and end."""
+    inside = np.concatenate([[0], (signs & _IN_TOKEN) // _IN_TOKEN, [0]]).astype(np.int8)
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _sentence_ends(codes: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Where the matches of ``_BREAK`` end, but for those after "no." and "nr."."""
+    point = np.isin(codes, [ord(c) for c in ".!?"])
+    stop = point & np.append((signs[1:] & _IS_SPACE) > 0, False)[: len(codes)]
+    if len(codes) > 2:
+        stop[2:] &= ~((codes[2:] == 46) & np.isin(codes[:-2], [ord(c) for c in "nN"]) & np.isin(codes[1:-1], [ord(c) for c in "oOrR"]))
+    line = (codes == 10) & ~np.append(False, point[:-1])[: len(codes)]
+    return np.sort(np.concatenate([np.flatnonzero(stop) + 2, np.flatnonzero(line | (codes == ord(_RECORD))) + 1]))
+
+
+def _parts(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of ``_NAME_PART`` begin and end: from the first to the last letter of a run."""
+    letters = np.flatnonzero(signs & _IS_LETTER)
+    if not len(letters):
+        return letters, letters
+    run = np.cumsum((signs & _IN_PART) == 0)[letters]
+    new = np.flatnonzero(run[1:] != run[:-1])
+    first, last = letters[np.concatenate([[0], new + 1])], letters[np.concatenate([new, [len(letters) - 1]])] + 1
+    more = np.flatnonzero((last < len(signs)) & (last - first > 1))
+    for i in more[(signs[last[more]] & _COMBINES) > 0].tolist():
+        while last[i] < len(signs) and signs[last[i]] & _COMBINES:
+            last[i] += 1
+    return first, last
+
+
 def _lower(text: str) -> str:
     """Small letters, sign by sign: a few capitals have longer small forms and stay."""
     lower = text.lower()
@@ -138,11 +195,11 @@ class _Index:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        words, starts, ends = _parted(_TOKENS, text)
-        self.starts, self.ends = starts.tolist(), ends.tolist()
-        cues = _CUES_OF.get
-        self.cues = [cues(w, ()) for w in map(str.lower, words)]
-        self.stops = [m.end() for m in _BREAK.finditer(text) if text[m.start() - 2 : m.start() + 1].lower() not in ("no.", "nr.")]
+        self.codes = _codes(text)
+        self.signs = _signs(self.codes)
+        self.first, self.last = _tokens(self.signs)
+        self.starts, self.ends = self.first.tolist(), self.last.tolist()
+        self.stops = _sentence_ends(self.codes, self.signs).tolist()
 
     @classmethod
     def of(cls, text: str) -> _Index:
@@ -160,11 +217,11 @@ class _Index:
         """How near the nearest word of each set of cues is, within ``number`` words of the sentence."""
         out = [0.0] * len(_CUES)
         i, j = bisect_right(self.ends, start), bisect_right(self.stops, start)
-        low, starts, cues = self.stops[j - 1] if j else 0, self.starts, self.cues
+        low, starts = self.stops[j - 1] if j else 0, self.starts
         for k in range(i - 1, max(-1, i - 1 - number), -1):
             if starts[k] < low:
                 break
-            for c in cues[k]:
+            for c in _CUES_OF.get(self.text[starts[k] : self.ends[k]].lower(), ()):
                 out[c] = out[c] or float(8 - i + k + 2)
         return out
 
@@ -210,12 +267,25 @@ def _cues(before: Sequence[str], after: Sequence[str]) -> list[float]:
     return _cues_before(before) + _cues_after(after)
 
 
+def _ats(text: str) -> Iterator[tuple[int, int]]:
+    """Where the matches of ``_AT`` begin and end."""
+    at = upto = 0
+    while m := _AT_FROM.search(text, at):
+        start, at = m.start(), m.start() + 1
+        if start > upto and text[start - 1].isspace():
+            start -= 1
+        elif m[0][0] in "aA":  # the space before it is taken
+            continue
+        at = upto = m.end()
+        yield start, upto
+
+
 def _email(text: str) -> Iterator[Candidate]:
-    for m in _AT.finditer(text):
-        a = m.start()
+    for begin, stop in _ats(text):
+        a, sign = begin, text[begin:stop]
         while a and (text[a - 1].isalnum() or text[a - 1] in "._+-"):
             a -= 1
-        left, right = text[a : m.start()], _DOMAIN.match(text, m.end())
+        left, right = text[a:begin], _DOMAIN.match(text, stop)
         if not left or not right:
             continue
         b = right.end()
@@ -229,7 +299,7 @@ def _email(text: str) -> Iterator[Candidate]:
         if not local:
             continue
         parts = len(re.findall(r"\.|dot", domain, re.I))
-        x = [float(parts), float(last.isalpha()), float(len(last)), float(local.replace(".", "").isdigit()), float(domain.replace(".", "").isdigit()), float("@" in m[0]), float(len(local)), float(m[0].strip() == "at"), float(sum(c.isdigit() for c in domain))]
+        x = [float(parts), float(last.isalpha()), float(len(last)), float(local.replace(".", "").isdigit()), float(domain.replace(".", "").isdigit()), float("@" in sign), float(len(local)), float(sign.strip() == "at"), float(sum(c.isdigit() for c in domain))]
         yield Candidate("email", a, b, x + _cues(before, after))
 
 
@@ -256,9 +326,7 @@ def _number_features(span: str, text: str, start: int, end: int) -> list[float]:
 
 def _numbers(text: str) -> Iterator[Candidate]:
     upto = 0
-    for m in _NUMBER_FROM.finditer(text):
-        if m.start() < upto:
-            continue
+    while m := _NUMBER_FROM.search(text, upto):  # on from its end, as every start within would look at the whole number again
         upto = m.end(1)
         span = m[1].rstrip(" -")
         digits = sum(c.isdigit() for c in span) + len(re.findall(_DIGIT, span))
@@ -324,6 +392,12 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return np.array([chr(c).isalnum() for c in different.tolist()], bool)[back]
 
 
+#: Places from which on their surroundings are read together.
+MANY = 32
+#: What is known of a word beside a candidate: its sets of cues; capital, of a firm, common, of what is no number of a person, a deed, a dash.
+_TOKEN_SIGNS = len(_CUES) + 6
+
+
 class Finder:
     """Generators and models together; pickled with the task. ``folder`` holds the public vocabulary."""
 
@@ -337,9 +411,11 @@ class Finder:
         self._possible: dict = {}
         self._forms: dict[tuple, int] = {}
         self._known: list[tuple] = []
+        self._read_of: dict[str, int] = {}
+        self._read_rows: list[tuple] = [(0,) * _TOKEN_SIGNS]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None, "_possible": {}, "_forms": {}, "_known": []}
+        return self.__dict__ | {"_automaton": None, "_possible": {}, "_forms": {}, "_known": [], "_read_of": {}, "_read_rows": [(0,) * _TOKEN_SIGNS]}
 
     def _word(self, w: str) -> tuple[bool, bool, bool, float, float, bool]:
         """Given name, common, of a company, shape, length, particle."""
@@ -374,6 +450,78 @@ class Finder:
             float(bool(follow) and (follow in "@_" or follow.isalnum())), float(follow == ","),
         ] + _cues_after(_after(text, end))
 
+    def _read(self, index: _Index, tokens: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """What the tokens with these numbers are, a row of ``_TOKEN_SIGNS`` each; zeros where not ``inside``."""
+        needed = np.zeros(len(index.starts) + 1, bool)
+        needed[tokens[inside]] = True
+        needed = np.flatnonzero(needed)
+        if len(self._read_rows) > 400_000:
+            self._read_rows, self._read_of = [(0,) * _TOKEN_SIGNS], {}
+        rows, of, text = self._read_rows, self._read_of, index.text
+        number = np.zeros(len(index.starts) + 1, np.int64)
+        got = []
+        for a, b in zip(index.first[needed].tolist(), index.last[needed].tolist()):
+            w = text[a:b]
+            n = of.get(w)
+            if n is None:
+                n = of[w] = len(rows)
+                low, cues = w.lower(), _CUES_OF.get(w.lower(), ())
+                capital = len(w) > 1 and w[0].isupper()
+                rows.append((*(c in cues for c in range(len(_CUES))), capital, low in _SETS["firm"], low in common_words(self.folder), low in _SETS["not"], low in _SETS["did"], low == "--"))
+            got.append(n)
+        number[needed] = got
+        different, back = np.unique(np.where(inside, number[tokens * inside], 0), return_inverse=True)
+        return np.array([rows[n] for n in different.tolist()], bool).reshape(-1, _TOKEN_SIGNS)[back.reshape(tokens.shape)]
+
+    def _lefts(self, text: str, start: np.ndarray) -> np.ndarray:
+        """``_left`` of many places."""
+        index = _Index.of(text)
+        signs = np.concatenate([[0, 0, 0], index.codes])  # from three before
+        at = lambda i: signs[i + 3]
+        nearest = np.searchsorted(index.last, start, side="right") - 1
+        stops = np.array([0, *index.stops])
+        low = stops[np.searchsorted(stops[1:], start, side="right")]
+        back = nearest[:, None] - np.arange(6)
+        inside = back >= 0
+        back = back * inside
+        inside &= index.first[back] >= low[:, None]
+        # the word just before may stand in another sentence
+        beside = (nearest >= 0) & (index.last[back[:, 0]] == start - 1) & (at(start - 1) == 32)
+        prior = self._read(index, back[:, :1], beside[:, None])[:, 0]
+        capital = prior[:, len(_CUES)]
+        out = np.zeros((len(start), 5 + len(_CUES)))
+        out[:, 0] = capital
+        out[:, 1], out[:, 2] = capital & prior[:, len(_CUES) + 1], capital & prior[:, len(_CUES) + 2]
+        out[:, 3] = np.isin(at(start - 1), [ord(c) for c in "@/#$."])
+        out[:, 4] = (at(start - 3) == 45) & (at(start - 2) == 45) & (at(start - 1) == 32)
+        cues = self._read(index, back, inside)[:, :, : len(_CUES)]
+        out[:, 5:] = np.where(cues.any(1), 9.0 - cues.argmax(1), 0.0)
+        return out
+
+    def _rights(self, text: str, end: np.ndarray) -> np.ndarray:
+        """``_right`` of many places."""
+        if len(end) < MANY:
+            return np.array([self._right(text, e) for e in end.tolist()]).reshape(len(end), 8)
+        index = _Index.of(text)
+        signs, is_a = np.concatenate([index.codes, [0, 0]]), np.concatenate([index.signs, [0, 0]])
+        stops = np.array([*index.stops, len(text)])
+        high = stops[np.searchsorted(stops[:-1], end, side="right")]
+        ahead = np.searchsorted(index.first, end, side="left")[:, None] + np.arange(3)
+        inside = ahead < len(index.first)
+        ahead = ahead * inside
+        beside = inside[:, 0] & (index.first[ahead[:, 0]] == end + 1) & (signs[end] == 32)
+        more = self._read(index, ahead[:, :1], beside[:, None])[:, 0]
+        inside &= index.last[ahead] <= high[:, None]
+        after = self._read(index, ahead, inside)
+        _, firm, common, shun, did, dash = range(len(_CUES), _TOKEN_SIGNS)
+        rank = np.cumsum(inside & ~after[:, :, dash], axis=1) * (inside & ~after[:, :, dash])  # of a word among those that count
+        capital = more[:, len(_CUES)]
+        return np.stack([
+            capital, capital & more[:, firm], capital & more[:, common],
+            ((is_a[end] & _IS_ALNUM) > 0) | (signs[end] == 64) | (signs[end] == 95), signs[end] == 44,
+            after[:, :, shun].any(1), ((rank == 1) & after[:, :, did]).any(1), ((rank > 0) & (rank < 3) & after[:, :, firm]).sum(1),
+        ], axis=1).astype(float)
+
     def know(self, names: Sequence[str]) -> None:
         """Take up names of companies."""
         words = [[w.lower() for w in _TOKEN.findall(n)] for n in names]
@@ -444,9 +592,11 @@ class Finder:
     def _untitled(self, text: str) -> Iterator[Candidate]:
         """Every run of words apart by one space, whatever their letters: given name, initials, middle names, particles, family
         name; and every two words around a comma. No list decides, only the trees; runs that they can't accept are skipped."""
-        parts, first, last = _parted(_NAME_PART, text)
-        if len(parts) < 2:
+        index = _Index.of(text)
+        first, last = _parts(index.signs)
+        if len(first) < 2:
             return
+        parts = [text[a:b] for a, b in zip(first.tolist(), last.tolist())]
         codes, different = pd.factorize(np.array(parts, object))
         forms = self._forms
         numbers = np.empty(len(different), np.int64)
@@ -458,7 +608,7 @@ class Finder:
             numbers[n] = forms[form]
         kind = numbers[codes]
         known = np.array(self._known, float)
-        signs = np.frombuffer((" " + text + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        signs = np.concatenate([[32], index.codes, [32, 32]])
         at = lambda i: signs[i + 1]
         # what may stand before a name and what may not stand after it
         glued = np.isin(at(first - 1), [ord(c) for c in "_@/.$#"]) | _letters(at(first - 1))
@@ -488,25 +638,27 @@ class Finder:
             example[back] = np.arange(len(i))
             can = self._possible_runs(different.tolist(), i[example], size, kind, mid[:, example])
             chosen = can[back] if len(i) else np.zeros(0, bool)
-            found += [(int(x), size, m) for x, m in zip(i[chosen], mid[:, chosen].T.tolist())]
-        found.sort(key=lambda f: f[:2])
-        words = self._known
-        lefts: tuple[int, list[float]] = (-1, [])
-        rights: dict[int, list[float]] = {}  # of the runs that end at a word
-        companies: dict[str, list[float]] = {}  # of runs of the same words
-        starts, ends, kinds = first.tolist(), last.tolist(), kind.tolist()
-        for i, size, mid in found:
-            start, end = starts[i], ends[i + size]
-            if lefts[0] != i:
-                lefts = (i, self._left(text, start))
-            right = rights.get(end)
-            if right is None:
-                right = rights[end] = self._right(text, end)
-            run = text[start:end]
-            company = companies.get(run)
-            if company is None:
-                company = companies[run] = self._company(text, start, end)
-            yield Candidate("name", start, end, self._own(False, 0.0, words[kinds[i]], words[kinds[i + size]], mid) + lefts[1] + right + company)
+            found.append((i[chosen], np.full(int(chosen.sum()), size), mid[:, chosen]))
+        words, starts, ends, kinds = self._known, first.tolist(), last.tolist(), kind.tolist()
+        if any(len(f[0]) for f in found):
+            i, size, mid = (np.concatenate(x, axis=-1) for x in zip(*found))
+            order = np.lexsort((size, i))
+            i, size, mid = i[order], size[order], mid[:, order]
+            some, stop = kind[i], kind[i + size]
+            own = np.concatenate([np.zeros((len(i), 2)), known[some, :5], known[stop, :5], mid.T], axis=1)
+            starting, left = np.unique(i, return_inverse=True)
+            ending, right = np.unique(i + size, return_inverse=True)
+            context = np.concatenate([self._lefts(text, first[starting])[left], self._rights(text, last[ending])[right]], axis=1)
+            companies: dict[str, list[float]] = {}  # of runs of the same words
+            spans, last_columns = list(zip(first[i].tolist(), last[i + size].tolist())), []
+            for start, end in spans:
+                run = text[start:end]
+                company = companies.get(run)
+                if company is None:
+                    company = companies[run] = self._company(text, start, end)
+                last_columns.append(company)
+            x = np.concatenate([own, context, np.array(last_columns).reshape(len(i), 3)], axis=1)
+            yield from (Candidate("name", start, end, row) for (start, end), row in zip(spans, x))
         comma = np.flatnonzero(~glued[:-1] & (gap[1:] == 2) & (sign[1:] == 44) & (after[1:] == 32) & ~single[:-1] & stops[1:])
         keys = (kind[comma] * len(words) + kind[comma + 1]).tolist()
         never: dict[int, bool] = {}  # by the words' forms: neither with an initial nor without
@@ -568,7 +720,7 @@ class Finder:
         chosen = []
         for kind, some in found.items():
             if some and kind in self.models:
-                p = self.models[kind].predict(np.array([c.x for c in some]))
+                p = self.models[kind].predict(np.array([c.x for c in some]), self.thresholds[kind])
                 chosen += [(float(q), c.end - c.start, c.start, c.end, kind) for c, q in zip(some, p.tolist()) if q >= self.thresholds[kind]]
         # the surest first, of equals (to a tenth) the longest; what overlaps a chosen span leaves
         order = np.searchsorted(starts, [c[2] for c in chosen], side="right") - 1 if chosen else []

@@ -191,3 +191,46 @@ def test_quick_searches_find_what_the_plain_ones_find():
         assert got == [m.span() for m in plain.finditer(text)]
         words, starts, ends = pii._parted(pii._NAME_PART, text)
         assert [(w, a, b) for w, a, b in zip(words, starts.tolist(), ends.tolist())] == [(m[0], *m.span()) for m in pii._NAME_PART.finditer(text)]
+
+
+def test_surroundings_of_many_names_are_read_together(finder, monkeypatch):
+    calls = []
+    monkeypatch.setattr(pii.Finder, "_left", lambda *a: calls.append(a))
+    monkeypatch.setattr(pii.Finder, "_right", lambda *a: calls.append(a))
+    text = " and ".join(f"Anna Kowal{c}ski" for c in "abcdefghijklmnopqrstuvwxyz" * 4)
+    assert len([c for c in finder._untitled(text) if c.kind == "name"]) > 100 and not calls
+
+
+def _odd_texts(seed, number):
+    import random
+
+    r = random.Random(seed)
+    parts = ["Anna", "kowalski", "Bank", "call", "regards", "O'Neil", "x-", "-- ", "--", "é", "é", "́", "_", "@", "/", "#", "$", "12", "٣", "Ⅷ", "½", ". ", ".", ", ", ",", "!\n", "\n", "No. ", "nr.\n", " ", " ", " ", " ", " ", pii._RECORD, "’", "İ", "[at]", " AT ", " at ", " dot ", "(dot", "[ at ]", "web", "🚀"]
+    return ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(number)]
+
+
+def test_words_and_sentences_found_at_once_are_those_of_the_patterns():
+    for text in _odd_texts(5, 4000):
+        index = pii._Index(text)
+        assert list(zip(index.starts, index.ends)) == [m.span() for m in pii._TOKEN.finditer(text)]
+        assert list(zip(*(x.tolist() for x in pii._parts(index.signs)))) == [m.span() for m in pii._NAME_PART.finditer(text)]
+        assert index.stops == [m.end() for m in pii._BREAK.finditer(text) if text[max(0, m.start() - 2) : m.start() + 1].lower() not in ("no.", "nr.")]
+        assert list(pii._ats(text)) == [m.span() for m in pii._AT.finditer(text)]
+
+
+def test_surroundings_read_together_are_those_of_each(finder, monkeypatch):
+    monkeypatch.setattr(pii, "MANY", 1)
+    for text in _odd_texts(6, 1500):
+        first, last = pii._parts(pii._Index.of(text).signs)
+        if len(first):
+            assert finder._lefts(text, first).tolist() == [finder._left(text, a) for a in first.tolist()]
+            assert finder._rights(text, last).tolist() == [finder._right(text, b) for b in last.tolist()]
+
+
+def test_trees_stop_only_where_nothing_can_change():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(3000, 6))
+    model = BoostedTrees(trees=45, depth=4).fit(x, (x[:, 0] * x[:, 1] + r.normal(size=3000) > 1).astype(float))
+    for least in (0.1, 0.5, 0.9):
+        p = model.predict(x)
+        assert model.predict(x, least).tolist() == np.where(p >= least, p, 0.0).tolist()
