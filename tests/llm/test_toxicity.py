@@ -144,3 +144,32 @@ def test_abuse_without_an_offensive_word(tagger):
     got = tagger.scores([t for _, t in rows])[0] >= tagger.threshold
     truth = np.array([y == "1" for y, _ in rows])
     assert (got & truth).sum() / truth.sum() >= 0.4 and (got & truth).sum() / got.sum() >= 0.85
+
+
+def test_abuse_without_an_offensive_word_against_the_talk_of_the_table(spark, folder, labels, ordinary):
+    """With unlabelled records of the table beside the labels, 0.7 of the same sentences are found (0.45 without)."""
+    talk = toxicity.read_background(spark.read.parquet(f"{folder}/mention.parquet"))
+    model = toxicity.train(labels, ordinary, talk)
+    rows = [line.split("\t") for line in phrasings("implied_phrasings.tsv")]
+    truth = np.array([y == "1" for y, _ in rows])
+    got = model.scores([t for _, t in rows])[0] >= model.threshold
+    assert (got & truth).sum() / truth.sum() >= 0.7 and (got & truth).sum() / got.sum() >= 0.85
+    assert not any(model.scores(ordinary)[0] >= model.threshold)
+    assert flagged(model, "You are a pathetic idiot.", "Nice chart.", "I was an idiot to sell.", "", None) == [True, False, False, False, False]
+
+
+def test_talk_of_a_table_is_chosen_by_id(spark):
+    rows = [(str(i), f"text {i}") for i in range(400)] + [(None, "no id"), ("x", None), ("y", "long " * 1000)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    some = toxicity.read_background(df, 50)
+    assert len(some) == len(set(some)) == 50 and "no id" not in some
+    assert some == toxicity.read_background(df.union(df).repartition(7).orderBy("text"), 50)
+    assert sorted(toxicity.read_background(df, 1000)) == sorted(t for i, t in rows[:400])
+    assert toxicity.read_background(df.where("false")) == []
+
+
+def test_equal_sentences_are_put_together(tagger):
+    one, other = toxicity._marked(tagger.reader, ["[[you fool]]", "nice chart", "[[you fool]]"]), toxicity._marked(tagger.reader, ["nice chart", "you fool"])
+    ids, _, sentence, gold, weight = toxicity._joined((one, 1.0), (other, 0.5))
+    assert weight.tolist() == [2.0, 1.5, 0.5] and sentence.tolist() == [0, 0, 1, 1, 2, 2] and gold.tolist() == [True, True, False, False, False, False]
+    assert ids[:2].tolist() == ids[4:].tolist()
